@@ -62,6 +62,11 @@ _CHANGES = re.compile(
 )
 
 
+def is_plain(text: str) -> bool:
+    """True if folding would change nothing, so that the text can be used as it is."""
+    return text.isascii() or not _CHANGES.search(text)
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """(text', at): text' composed and in prototypes; at[i] is the original position of text'[i], at[-1] the length.
 
