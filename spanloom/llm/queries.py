@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables
+from . import confusables, leakage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -27,3 +27,21 @@ def p1_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in the consistent form."""
     docs = confusables.with_consistent_text(table(spark, sf_dir, "annotated_docs"))
     return docs.select("document_key", "consistent_text")
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item or a passage of it, with the item."""
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p8_leaked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each leaked passage stands and how much of it is equal."""
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p8_without_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its leaked passages."""
+    return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
