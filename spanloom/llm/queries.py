@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables, leakage
+from . import confusables, leakage, stuffing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -45,3 +45,15 @@ def p8_leaked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_without_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its leaked passages."""
     return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are mostly stuffed keywords, links, menus or tags."""
+    return stuffing.found(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's own score, its host's rate and the smoothed score."""
+    return stuffing.page_scores(table(spark, sf_dir, "documents"))
