@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import quantities
+from .session import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension and amount in common units of every measured value."""
+    return quantities.found(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "annotated_docs"))
