@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables, leakage, stuffing
+from . import confusables, leakage, names, stuffing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -57,3 +57,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's own score, its host's rate and the smoothed score."""
     return stuffing.page_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The party that each variant spelling in the extractions means."""
+    return names.found(*(table(spark, sf_dir, t) for t in ("extractions", "parties", "schema_classes")))
+
+
+@query
+def p5_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct spelling that means a party, with the party and the cost of reading it so."""
+    mentions = names.name_mentions(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "schema_classes"))
+    return names.link_spellings(mentions, table(spark, sf_dir, "parties"))
