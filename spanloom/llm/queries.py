@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables, leakage, names, stuffing
+from . import confusables, leakage, names, sentences, stuffing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -70,3 +70,9 @@ def p5_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct spelling that means a party, with the party and the cost of reading it so."""
     mentions = names.name_mentions(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "schema_classes"))
     return names.link_spellings(mentions, table(spark, sf_dir, "parties"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span of every sentence or other unit of every text."""
+    return sentences.found(table(spark, sf_dir, "annotated_docs"))
