@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables, leakage, names, sentences, stuffing
+from . import confusables, leakage, names, packing, pieces, sentences, stuffing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -76,3 +76,32 @@ def p5_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The span of every sentence or other unit of every text."""
     return sentences.found(table(spark, sf_dir, "annotated_docs"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that exceed the limit of their project."""
+    return pieces.found(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "projects"))
+
+
+@query
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with its text."""
+    docs = pieces.with_limits(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "projects"))
+    return pieces.piece_spans(docs, lang_col="lang", with_text=True)
+
+
+ORACLE["p6_found"] = """SELECT document_key FROM annotated_docs JOIN projects USING (project_id) WHERE length(text) > chunk_chars"""
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and position of every text for every container size."""
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each size are."""
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.fill(packing.containers(table(spark, sf_dir, "documents"), specs), specs)
