@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import confusables, leakage, names, packing, pieces, sentences, stuffing
+from . import confusables, leakage, names, packing, personal, pieces, sentences, stuffing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -105,3 +105,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each size are."""
     specs = table(spark, sf_dir, "pack_specs")
     return packing.fill(packing.containers(table(spark, sf_dir, "documents"), specs), specs)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span and kind of all personal information."""
+    return personal.found(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "parties"))
+
+
+@query
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with placeholders in place of personal information."""
+    return personal.redacted(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "parties"))
