@@ -172,3 +172,15 @@ def pattern_spans(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
         ),
     )["out"]
     return rows.select("doc_id", F.inline(places))
+
+
+def typed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: list[str] | None = None) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos, value) of the typed values of every text, weak ones inside stronger dropped."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, k, s, e, text[s:e]) for key, text in zip(b.doc_id, b.text) for s, e, k in spans.typed_spans(text, kinds)]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos", "value"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    return rows.mapInPandas(find, "doc_id long, kind string, start_pos int, end_pos int, value string")

@@ -1,22 +1,379 @@
-"""The registered queries of the core operators and their SQL."""
+"""The registered queries of the core operators and their SQL, each over whole tables and whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .operators import quantities
-from .session import table
+from .config import Options, Schema
+from .operators import decisions, intervals, quantities
+from .operators import text as T
+from .operators.decisions import HashDecider
+from .plans.pipeline import extract, needs_review
+from .session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(f=None, *, sql: str | None = None):
+    def add(g):
+        QUERIES[g.__name__] = g
+        if sql:
+            ORACLE[g.__name__] = sql
+        return g
+
+    return add(f) if f else add
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "annotated_docs").select(F.col("document_key").alias("doc_id"), "text", "lang", "project_id")
+
+
+# ---- scans, lines, patterns
+
+
+@query
+def typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values of every document, weak ones inside stronger dropped."""
+    return T.typed_spans(docs_of(spark, sf_dir))
+
+
+@query(sql=r"SELECT document_key AS doc_id, length(text) AS n FROM annotated_docs WHERE regexp_matches(text, '[^\s\x1c-\x1f\x{85}\p{Z}]')")
+def documents_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with anything but blanks."""
+    return T.not_blank(docs_of(spark, sf_dir)).select("doc_id", F.length("text").alias("n"))
+
+
+LINES = """WITH l AS (SELECT document_key AS doc_id, string_split(text, chr(10)) AS p FROM annotated_docs WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(p) AS t, unnest(range(len(p))) AS line FROM l),
+o AS (SELECT doc_id, line, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM u)"""
+
+
+@query(sql=LINES + " SELECT doc_id, CAST(line AS INT) AS line, CAST(start_pos AS INT) AS start_pos, CAST(start_pos + length(t) AS INT) AS end_pos, t AS text FROM o")
+def lines_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its place."""
+    return T.lines_with_offsets(docs_of(spark, sf_dir))
+
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+
+
+def _spans_sql(pattern: str, table_name: str = "annotated_docs", key: str = "document_key") -> str:
+    return f"""SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS start_pos,
+CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS INT) AS end_pos, m[i] AS value
+FROM (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key} AS doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS m FROM {table_name} WHERE text IS NOT NULL))"""
+
+
+@query(sql=_spans_sql(EMAIL))
+def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Email addresses with their places, without leaving the JVM."""
+    return T.pattern_spans(docs_of(spark, sf_dir), EMAIL)
+
+
+@query(sql=_spans_sql(NUMBER))
+def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with their places."""
+    return T.pattern_spans(docs_of(spark, sf_dir), NUMBER)
+
+
+WORD = r"[\p{L}\p{N}_]+"
+
+
+@query(sql=rf"SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n_tokens, CAST(floor(strlen(text) / 3) AS BIGINT) + 1 AS estimate FROM documents WHERE text IS NOT NULL")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text and the token estimate that requests are packed by."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("n_tokens"), T.token_estimate(F.col("text")).alias("estimate"))
+
+
+@query(sql=rf"""WITH w AS (SELECT document_key, regexp_extract_all(lower(text), '{WORD}') AS m FROM annotated_docs WHERE text IS NOT NULL),
+g AS (SELECT unnest(list_transform(range(1, len(m)), lambda i: m[i] || ' ' || m[i + 1])) AS gram FROM w)
+SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+def token_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each pair of neighbouring words occurs; pairs are counted before the shuffle."""
+    words = docs_of(spark, sf_dir).select(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("m")).filter(F.size("m") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.concat(F.element_at("m", i), F.lit(" "), F.element_at("m", i + 1)))
+    return words.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(sql=rf"""WITH t AS (SELECT DISTINCT lower(list_last(string_split(legal_name, ' '))) AS term FROM parties WHERE party_class = 'person'),
+w AS (SELECT document_key AS doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM annotated_docs WHERE text IS NOT NULL)
+SELECT doc_id, term, count(*) AS n FROM w JOIN t USING (term) GROUP BY doc_id, term""")
+def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a term list in each document: an equi join on the lower-case word."""
+    terms = table(spark, sf_dir, "parties").filter("party_class = 'person'").select(F.lower(F.element_at(F.split("legal_name", " "), -1)).alias("term")).distinct()
+    words = docs_of(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
+    counts = words.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return counts.join(terms, "term").select("doc_id", "term", "n")
+
+
+# ---- intervals
+
+COVERED = f"""WITH e AS ({_spans_sql(EMAIL)}), n AS ({_spans_sql(NUMBER)})"""
+
+
+@query(sql=COVERED + " SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.start_pos <= n.start_pos AND n.end_pos <= e.end_pos)")
+def weak_span_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are no part of an email address."""
+    docs = docs_of(spark, sf_dir)
+    named = lambda df: df.withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e")
+    out = intervals.without_covered(named(T.pattern_spans(docs, NUMBER)), named(T.pattern_spans(docs, EMAIL)).drop("value"), ["doc_id"])
+    return out.select("doc_id", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), "value")
+
+
+@query(sql=LINES + f", n AS ({_spans_sql(NUMBER)}) SELECT n.doc_id, n.start_pos, n.end_pos, n.value, CAST(line AS INT) AS sentence FROM n JOIN o ON o.doc_id = n.doc_id AND o.start_pos <= n.start_pos AND n.end_pos <= o.start_pos + length(t)")
+def candidate_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each number with the line that holds it."""
+    docs = docs_of(spark, sf_dir)
+    spans = T.pattern_spans(docs, NUMBER).withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e")
+    lines = T.lines_with_offsets(docs).select("doc_id", F.col("line").alias("sentence"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
+    out = intervals.assign_to_sentences(spans, lines)
+    return out.select("doc_id", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), "value", "sentence")
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "extractions").filter("start_pos is not null and end_pos is not null and document_key is not null")
+    return rows.withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e").withColumnRenamed("document_key", "doc_id")
+
+
+@query(sql="""SELECT document_key AS doc_id, start_pos AS s, end_pos AS e, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, min(priority) AS priority
+FROM (SELECT document_key, start_pos, end_pos, unnest(sources) AS source, CASE kind WHEN 'entity' THEN 1 WHEN 'field' THEN 2 ELSE 3 END AS priority FROM extractions WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL) GROUP BY ALL""")
+def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per span with all its sources and the best priority."""
+    rank = F.when(F.col("kind") == "entity", 1).when(F.col("kind") == "field", 2).otherwise(3)
+    rows = placed(spark, sf_dir).select("doc_id", "s", "e", F.explode("sources").alias("source"), rank.alias("priority"))
+    return intervals.merge_candidates(rows, ["doc_id"]).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(sql="""SELECT extraction_id, doc_id, s, e FROM (SELECT extraction_id, document_key AS doc_id, start_pos AS s, end_pos AS e, row_number() OVER (PARTITION BY document_key ORDER BY priority, start_pos, end_pos, extraction_id) AS rank
+FROM (SELECT *, CASE kind WHEN 'entity' THEN 1 ELSE 2 END AS priority FROM extractions WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL)) WHERE rank <= 5""")
+def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's five best spans; the cap is the feature."""
+    rows = placed(spark, sf_dir).withColumn("priority", F.when(F.col("kind") == "entity", 1).otherwise(2))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("priority", "s", "e", "extraction_id"))
+    return rows.withColumn("rank", rank).filter("rank <= 5").select("extraction_id", "doc_id", "s", "e")
+
+
+@query(sql="""WITH x AS (SELECT DISTINCT document_key AS doc_id, start_pos AS s, end_pos AS e FROM extractions WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL),
+m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM m)
+SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island""")
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each document that extractions cover."""
+    return intervals.merged_intervals(placed(spark, sf_dir), ["doc_id"])
+
+
+@query(sql="""WITH x AS (SELECT DISTINCT document_key AS doc_id, extraction_text AS text, start_pos AS s FROM extractions WHERE start_pos IS NOT NULL AND document_key IS NOT NULL AND end_pos IS NOT NULL AND extraction_text IS NOT NULL)
+SELECT doc_id, text, s, row_number() OVER (PARTITION BY doc_id, text ORDER BY s) AS k, count(*) OVER (PARTITION BY doc_id, text) AS n FROM x""")
+def occurrence_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which occurrence of its text in the document each extraction is."""
+    rows = placed(spark, sf_dir).select("doc_id", F.col("extraction_text").alias("text"), "s").dropna().distinct()
+    return intervals.occurrence_ordinals(rows, ["doc_id", "text"])
+
+
+@query
+def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of each document that stay when overlapping ones compete."""
+    rows = placed(spark, sf_dir).filter("kind = 'entity' and confidence is not null")
+    pick = F.struct("s", "e", "confidence", "extraction_class", "extraction_id")
+    kept = rows.groupBy("doc_id").agg(F.collect_set(pick).alias("x")).select("doc_id", F.explode(intervals.resolve_overlaps(F.col("x"), "none")).alias("k"))
+    return kept.select("doc_id", "k.extraction_id", "k.s", "k.e")
+
+
+@query(sql="""WITH x AS (SELECT DISTINCT document_key AS doc_id, start_pos AS s, end_pos AS e, extraction_class FROM extractions WHERE kind <> 'sentence' AND start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL),
+b AS (SELECT DISTINCT doc_id, unnest([s, e]) AS p FROM x), g AS (SELECT doc_id, p AS ps, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS pe FROM b),
+o AS (SELECT g.doc_id, ps, pe, extraction_class, row_number() OVER (PARTITION BY g.doc_id, ps ORDER BY e - s, -s, extraction_class) AS r FROM g JOIN x ON x.doc_id = g.doc_id AND x.s <= ps AND pe <= x.e WHERE pe IS NOT NULL)
+SELECT doc_id, ps AS s, pe AS e, extraction_class FROM o WHERE r = 1""")
+def html_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marked stretches of each document's page."""
+    rows = placed(spark, sf_dir).filter("kind <> 'sentence'").select("doc_id", "s", "e", "extraction_class").distinct()
+    return intervals.marked_segments(rows)
+
+
+@query(sql="""SELECT extraction_class, count(*) AS n, sum(CASE WHEN substring(text, start_pos + 1, end_pos - start_pos) <> extraction_text THEN 1 ELSE 0 END) AS bad
+FROM extractions JOIN annotated_docs USING (document_key) WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL GROUP BY extraction_class""")
+def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions of each class, and how many are not what stands at their place."""
+    rows = placed(spark, sf_dir).join(docs_of(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    bad = F.expr("substring(text, s + 1, e - s) <> extraction_text").cast("int")
+    return rows.groupBy("extraction_class").agg(F.count("*").alias("n"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
+
+
+# ---- segmentation (sequential rules; brute-force tests instead of SQL)
+
+
+@query
+def sentences_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the engine's own splitter, none over 600 characters."""
+    schema = Schema.from_dict({"sentence_labels": {"x": "x"}})
+    docs = T.documents(docs_of(spark, sf_dir), "doc_id")
+    return T.scan(docs, schema).select("doc_id", F.posexplode("sentences").alias("sentence", "x")).select("doc_id", "sentence", "x.s", "x.e")
+
+
+@query
+def windows_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of up to 800 characters and 8 sentences with the text around them."""
+    schema = Schema.from_dict({"sentence_labels": {"x": "x"}})
+    rows = T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema).select("doc_id", "text", F.posexplode(T.windows(F.col("sentences"))).alias("window", "w")).select("doc_id", "text", "window", "w.*")
+    return rows.select("doc_id", "window", "first", "last", "s", "e", T.context_before(F.col("text"), F.col("s"), 250).alias("before"), T.context_after(F.col("text"), F.col("e"), 250).alias("after"))
+
+
+@query
+def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate spans of every sentence, merged, ranked and capped."""
+    schema = Schema.from_dict({"entities": {"town": {"description": "a town", "terms": ["Fairholt", "Kestrel Bay", "Novaluz"]}, "permit": {"description": "a permit", "patterns": [r"AGR-\d{4}-\d+"]}}})
+    rows = T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema)
+    return rows.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
+
+
+@query
+def context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each extraction with what stands around it."""
+    rows = placed(spark, sf_dir).join(docs_of(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return rows.select("extraction_id", T.snippet(F.col("text"), F.col("s"), F.col("e"), 25).alias("snippet"), T.ordinal_word(F.pmod("extraction_id", F.lit(12)) + 1).alias("ordinal"))
+
+
+# ---- decisions
+
+WEIGHT = "(('0x' || substr(md5(concat_ws('|', '', {parts})), 1, 8))::BIGINT % 1000 + 1) / 1000.0"
+CLASSES = ["party", "person", "place", "date", "none"]
+
+
+@query(sql=f"""WITH q AS (SELECT doc_id, unnest(range({len(CLASSES)})) AS o, unnest({CLASSES!r}) AS k FROM documents),
+w AS (SELECT *, {WEIGHT.format(parts="'classify', CAST(doc_id AS VARCHAR), '', k")} AS w FROM q), n AS (SELECT *, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, o) AS r FROM n)
+SELECT doc_id, max(CASE WHEN r = 1 THEN k END) AS choice, round(max(CASE WHEN r = 1 THEN p END), 6) AS p, round(max(CASE WHEN r = 1 THEN p END) - max(CASE WHEN r = 2 THEN p END), 6) AS margin,
+CASE WHEN max(CASE WHEN r = 1 THEN p END) < 0.35 OR max(CASE WHEN r = 1 THEN p END) - max(CASE WHEN r = 2 THEN p END) < 0.05 THEN true ELSE false END AS needs_review FROM r GROUP BY doc_id""")
+def top2_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised probabilities, the most probable class, its margin and whether it needs review."""
+    criteria = F.array(*[F.struct(F.lit(c).alias("key"), F.lit(c).alias("value")) for c in CLASSES])
+    q = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit("choice").alias("type"), criteria.alias("criteria"), F.lit("classify").alias("role"), F.col("doc_id").cast("string").alias("subject"), F.lit("").alias("name"))
+    got = decisions.validated(q, HashDecider().decide(q)).withColumn("t", decisions.top(F.col("probs")))
+    review = needs_review(F.col("t.p"), F.col("t.margin"), Options(review_threshold=0.35, review_margin=0.05))
+    return got.select("doc_id", F.col("t.choice").alias("choice"), F.round("t.p", 6).alias("p"), F.round("t.margin", 6).alias("margin"), review.alias("needs_review"))
+
+
+def _tournament_sql() -> str:
+    w = WEIGHT.format(parts="'classify', task, '', k")
+    return f"""WITH t AS (SELECT CAST(project_id AS VARCHAR) AS task FROM projects), o AS (SELECT legal_name AS k, row_number() OVER (ORDER BY party_id) - 1 AS i FROM parties),
+a AS (SELECT task, k, i // 254 AS g, i FROM t, o UNION ALL SELECT task, 'none', g, 1000000 FROM t, (SELECT DISTINCT i // 254 AS g FROM o)),
+aw AS (SELECT *, {w} AS w FROM a), ap AS (SELECT *, w / sum(w) OVER (PARTITION BY task, g) AS p FROM aw),
+ar AS (SELECT *, row_number() OVER (PARTITION BY task, g ORDER BY p DESC, i) AS r FROM ap),
+won AS (SELECT task, k, row_number() OVER (PARTITION BY task ORDER BY p DESC, k DESC) AS i FROM ar WHERE r = 1 AND k <> 'none'),
+b AS (SELECT task, k, i FROM won UNION ALL SELECT DISTINCT task, 'none', 1000000 FROM won), bw AS (SELECT *, {w} AS w FROM b), bp AS (SELECT *, w / sum(w) OVER (PARTITION BY task) AS p FROM bw),
+br AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY p DESC, i) AS r FROM bp)
+SELECT task, CASE WHEN k = 'none' THEN NULL ELSE k END AS choice, round(p, 6) AS p FROM br WHERE r = 1"""
+
+
+@query(sql=_tournament_sql())
+def tournament_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of all registered parties for each project, in rounds of at most 255 options."""
+    # the options of one task are one array; parties is a fixed list of about 1,150
+    options = table(spark, sf_dir, "parties").agg(F.transform(F.array_sort(F.collect_list(F.struct("party_id", "legal_name"))), lambda x: F.struct(x["legal_name"].alias("key"), x["legal_name"].alias("value"))).alias("criteria"))
+    tasks = table(spark, sf_dir, "projects").select(F.col("project_id").cast("string").alias("task"), F.lit("").alias("state"), F.lit("which").alias("instructions"), F.col("project_id").cast("string").alias("subject"), F.lit("").alias("name"), F.lit(1).alias("one"))
+    tasks = tasks.join(F.broadcast(options.withColumn("one", F.lit(1))), "one").drop("one")
+    won = decisions.tournament(HashDecider(), tasks)
+    return won.select("task", "choice", F.round("p", 6).alias("p"))
+
+
+@query(sql="""SELECT e.extraction_id, CASE WHEN e.confidence >= coalesce(s.min_confidence, p.min_confidence) THEN 'accepted' ELSE 'low_confidence' END AS outcome
+FROM extractions e JOIN projects p USING (project_id) LEFT JOIN schema_classes s ON s.project_id = e.project_id AND s.class_id = e.extraction_class WHERE e.confidence IS NOT NULL""")
+def class_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceptance by the class's threshold, else the schema's."""
+    rows = table(spark, sf_dir, "extractions").filter("confidence is not null").select("extraction_id", "project_id", F.col("extraction_class").alias("class_id"), "confidence")
+    classes = table(spark, sf_dir, "schema_classes").select("project_id", "class_id", F.col("min_confidence").alias("own"))
+    schemas = table(spark, sf_dir, "projects").select("project_id", "min_confidence")
+    out = rows.join(schemas, "project_id").join(classes, ["project_id", "class_id"], "left")
+    limit = F.coalesce(F.nanvl("own", F.lit(None).cast("double")), F.col("min_confidence"))
+    return out.select("extraction_id", F.when(F.col("confidence") >= limit, "accepted").otherwise("low_confidence").alias("outcome"))
+
+
+@query(sql="SELECT document_key, sha256(concat(coalesce(model, ''), chr(0), text)) AS cache_key FROM annotated_docs WHERE text IS NOT NULL")
+def answer_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content keys of the cache."""
+    docs = table(spark, sf_dir, "annotated_docs").filter("text is not null")
+    return docs.select("document_key", F.sha2(F.concat_ws("\x00", F.coalesce("model", F.lit("")), "text"), 256).alias("cache_key"))
+
+
+@query
+def request_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each project's documents packed in order into requests under both limits."""
+    docs = table(spark, sf_dir, "annotated_docs").filter("text is not null").select("project_id", "document_key", T.token_estimate(F.col("text")).alias("tokens"))
+    # a project's documents are first put into blocks of keys, so that no fold sees more than a block
+    docs = docs.withColumn("block", F.floor(F.col("document_key") / 1000))
+    return decisions.packed(docs, ["project_id", "block"], "tokens", 54_400, 200, "document_key").withColumnRenamed("o", "document_key")
+
+
+@query(sql="""SELECT document_key, round(sum(coalesce(input_tokens, 0) * 0.042 / 1e6) OVER (PARTITION BY project_id ORDER BY received_at, document_key ROWS UNBOUNDED PRECEDING), 9) AS spent_usd FROM annotated_docs""")
+def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each project had spent when a document came in."""
+    docs = table(spark, sf_dir, "annotated_docs").withColumn("tokens", F.coalesce("input_tokens", F.lit(0)))
+    out = decisions.running_cost(docs.select("document_key", "project_id", "received_at", "tokens"), "tokens", ["project_id"], ["received_at", "document_key"])
+    return out.select("document_key", F.round("spent_usd", 9).alias("spent_usd"))
+
+
+@query(sql="""SELECT project_id, count(*) AS documents, sum(windows) AS windows, sum(candidates) AS candidates, coalesce(sum(input_tokens), 0) AS input_tokens, round(sum(cost_usd), 6) AS cost_usd FROM annotated_docs GROUP BY project_id""")
+def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of each project's documents added up."""
+    docs = table(spark, sf_dir, "annotated_docs")
+    return docs.groupBy("project_id").agg(F.count("*").alias("documents"), F.sum("windows").alias("windows"), F.sum("candidates").alias("candidates"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+@query(sql="SELECT stage, location, count(*) AS n, count(DISTINCT document_key) AS documents FROM (SELECT DISTINCT * FROM doc_errors) GROUP BY stage, location")
+def errors_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct errors of each stage and place."""
+    return table(spark, sf_dir, "doc_errors").distinct().groupBy("stage", "location").agg(F.count("*").alias("n"), F.countDistinct("document_key").alias("documents"))
+
+
+@query(sql="""SELECT project_id, extraction_class, kind, count(*) AS n, sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS rejected, sum(CASE WHEN needs_review THEN 1 ELSE 0 END) AS review FROM extractions GROUP BY ALL""")
+def rejected_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted, rejected and doubtful extractions of each class."""
+    rows = table(spark, sf_dir, "extractions")
+    return rows.groupBy("project_id", "extraction_class", "kind").agg(F.count("*").alias("n"), F.sum(F.col("reason").isNotNull().cast("int")).alias("rejected"), F.sum(F.coalesce(F.col("needs_review").cast("int"), F.lit(0))).alias("review"))
+
+
+@query
+def pipeline_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over every document, with pseudo-probabilities for answers."""
+    schema = Schema.from_dict({
+        "entities": {"party": "a person or organisation", "amount": {"description": "money", "attributes": {"due": "bool", "role": ["price", "fee"]}}},
+        "sentence_labels": {"obligation": "somebody must do something"}, "fields": {"total": {"description": "the total", "source": ["money"]}}, "min_confidence": 0.3,
+    })
+    result = extract(T.documents(docs_of(spark, sf_dir), "doc_id"), schema, HashDecider(), Options(ngrams=False, max_candidates_per_sentence=20))
+    return result.extractions.select("doc_id", "kind", "extraction_class", "extraction_text", "s", "e", F.round("confidence", 6).alias("confidence"), "needs_review")
+
+
+# ---- quantities
 
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimension and amount in common units of every measured value."""
     return quantities.found(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "annotated_docs"))
+
+
+@query
+def p4_dimension_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each project's measured values by dimension, in common units."""
+    found = quantities.found(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "annotated_docs"))
+    projects = table(spark, sf_dir, "extractions").select("extraction_id", "project_id")
+    return cut(found).join(projects, "extraction_id").groupBy("project_id", "dimension").agg(F.count("*").alias("n"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.round(F.avg("amount"), 3).alias("mean"))
+
+
+# ---- the plain relational surface
+
+
+@query(sql="""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def star_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partial aggregation before one small shuffle."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query(sql="""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def star_nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of four tables; the engine picks the join strategies by size."""
+    t = lambda name: table(spark, sf_dir, name)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
