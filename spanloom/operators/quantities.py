@@ -226,6 +226,9 @@ def read_quantity(text: str | None, normalized: str | None, lang: str | None) ->
         pick[0][1] = unit
     if any(not u for _, u in pick):
         return []
+    for before, part in zip(pick, pick[1:]):
+        if part[1] in ("m", "M") and before[1].lower() in ("h", "hr", "hrs", "hour", "hours"):
+            part[1] = "min"
     return [(f"{v.numerator}/{v.denominator}", u) for v, u in pick]
 
 
