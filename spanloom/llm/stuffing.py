@@ -115,11 +115,11 @@ def page_features(text: str) -> list[float]:
             close_block()
             size["list"] += weight_of(line)
             continue
-        if len(words) >= 20 and (_few_words(words) or len(PRICE.findall(line)) >= 5):
+        units = SENTENCE_END.split(line)
+        if len(words) >= 20 and (len(PRICE.findall(line)) >= 5 or _few_words(words) and (len(units) < 3 or _few_words(LETTERS.findall(" ".join(dict.fromkeys(units)).lower())))):
             close_block()
             size["stuffed"] += weight_of(line)
             continue
-        units = SENTENCE_END.split(line)
         for k, unit in enumerate(units):
             if not unit:
                 continue
