@@ -24,7 +24,7 @@ def _parser() -> argparse.ArgumentParser:
     e = sub.add_parser("extract")
     e.add_argument("inputs", nargs="+", help="text files, or JSON lines if they end in .jsonl")
     e.add_argument("--schema", required=True)
-    e.add_argument("--output", required=True)
+    e.add_argument("--output", required=True, help="a folder, or - for the standard output")
     e.add_argument("--html")
     e.add_argument("--service", help="base URL of a decision service; without one a digest decides")
     e.add_argument("--model", default="lookup")
@@ -63,7 +63,11 @@ def main(argv: list[str] | None = None) -> int:
         decider = HttpDecider(Service(args.service, args.model)) if args.service else HashDecider()
         result = extract(docs, Schema.load(args.schema), decider, Options(overlap=args.overlap, on_error=args.on_error, model=args.model))
         annotated = result.annotated()
-        write_jsonl(annotated, args.output)
+        if args.output == "-":
+            for line in annotated.toJSON().toLocalIterator():
+                print(line)
+        else:
+            write_jsonl(annotated, args.output)
         if args.html:
             write_html(annotated, args.html)
         n = annotated.agg(F.count("*").alias("documents"), F.sum(F.size("extractions")).alias("extractions"), F.sum(F.size("errors")).alias("errors")).first()

@@ -184,3 +184,18 @@ def typed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     return rows.mapInPandas(find, "doc_id long, kind string, start_pos int, end_pos int, value string")
+
+
+def regex_spans(df: DataFrame, patterns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s, e, text) of the distinct matches of Python patterns: group 1 where it took part, else the match."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b.doc_id, b.text):
+                found = {x for p in patterns for x in spans.matches(spans.compiled(p), text)}
+                rows += [(key, s, e, text[s:e]) for s, e in sorted(found)]
+            yield pd.DataFrame(rows, columns=["doc_id", "s", "e", "text"])
+
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    return rows.mapInPandas(find, "doc_id string, s int, e int, text string")

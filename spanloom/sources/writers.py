@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -76,3 +77,15 @@ def page_name(number: int, document_id: str | None) -> str:
 def write_html(annotated: DataFrame, path: str) -> None:
     """The pages as JSON lines of (document_id, html) in a folder that all executors can write."""
     html_pages(annotated).write.mode("overwrite").json(path)
+
+
+def write_html_files(annotated: DataFrame, folder: str) -> None:
+    """One file per document in a folder that all executors share, numbered as the rows come."""
+
+    def save(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(os.path.join(folder, page_name(r.number, r.document_id)), "w", encoding="utf-8") as f:
+                f.write(r.html)
+
+    html_pages(annotated).withColumn("number", F.monotonically_increasing_id()).foreachPartition(save)

@@ -153,3 +153,20 @@ def test_failures_by_status():
     e = failure(400, "maximum of 1,000 tokens exceeded", {})
     assert isinstance(e, RequestTooLargeError) and (e.limit_kind, e.limit) == ("tokens", 1000)
     assert failure(503, "", {}).retryable and not failure(404, "", {}).retryable
+
+
+def test_facade_budget_and_field_groups(spark, tmp_path):
+    from spanloom.api import Extractor
+    from spanloom.sources.writers import write_html_files
+
+    schema = Schema.from_dict({"fields": {"no": {"description": "x", "patterns": [r"order (\d+)"]}}})
+    e = Extractor(schema, LookupDecider(spark, fields={"no": "77"}), cache=str(tmp_path / "cache"), spark=spark)
+    got = list(e.extract_many(["the order 77 came", {"text": "none", "document_id": None}, {"text": "order 5", "document_id": "z"}]))
+    assert [g["document_id"] for g in got] == ["0", None, "z"] and [[x["extraction_text"] for x in g["extractions"]] for g in got] == [["77"], [], []]
+    assert got[0]["extractions"][0]["char_interval"] == {"start_pos": 10, "end_pos": 12} and got[2]["rejected"] == []
+    with pytest.raises(TypeError):
+        list(e.extract_many([3]))
+    with pytest.raises(BudgetExceededError):
+        extract(docs(spark), schema.__class__.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark), Options(max_cost_usd=0.0))
+    write_html_files(extract(docs(spark), Schema.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark)).annotated(), str(tmp_path / "pages"))
+    assert len(list((tmp_path / "pages").iterdir())) == 4
