@@ -42,7 +42,7 @@ KINDS = {
 JOINERS = {"&", "+", "and", "e", "et", "y", "und", "u", "en", "i"}
 NICK = {(n, full) for full, names in NICKNAMES.items() for n in names.split()}
 KIND_OF = {k: full for full, names in KINDS.items() for k in [full, *names.split()]}
-LONG_FORMS = [(re.compile(r"\bsociedade anonima\b|\bsociedad anonima\b|\bsociete anonyme\b|\bs\.? ?a\.?(?=$|[ ,])"), " sa "), (re.compile(r"\bg\.? ?m\.? ?b\.? ?h\b\.?"), " gmbh "), (re.compile(r"\bl\.? ?l\.? ?c\b\.?"), " llc "), (re.compile(r"\ba\.g\b\.?"), " ag "), (re.compile(r"\bgesellschaft mit beschrankter haftung\b"), " gmbh "), (re.compile(r"\blimited liability company\b"), " llc ")]
+LONG_FORMS = [(re.compile(r"\bsociedade anonima\b|\bsociedad anonima\b|\bsociete anonyme\b|\bs[./]? ?a\.?(?=$|[ ,])"), " sa "), (re.compile(r"\bg\.? ?m\.? ?b\.? ?h\b\.?"), " gmbh "), (re.compile(r"\bl\.? ?l\.? ?c\b\.?"), " llc "), (re.compile(r"\ba\.g\b\.?"), " ag "), (re.compile(r"\bgesellschaft mit beschrankter haftung\b"), " gmbh "), (re.compile(r"\blimited liability company\b"), " llc ")]
 #: Edits that a word may have; the segments are one more.
 K = 2
 
@@ -122,18 +122,22 @@ def organisation_words(text: str) -> tuple[list[str], str, str]:
 
 
 def given_cost(mention: str, name: str) -> int | None:
-    """What it costs to read one given name as another: 0 equal, nickname or initial, else edits; None if they differ."""
+    """What it costs to read one given name as another: 0 equal, nickname or initial, else edits; None if they differ.
+
+    Two different names that are both known are different, however near.
+    """
     if mention == name or (mention, name) in NICK:
         return 0
     if len(mention) == 1:
         return 0 if name.startswith(mention) else None
     if len(name) == 1:
         return 0 if mention.startswith(name) else None
-    d = edits(mention, name, 1)
-    if d <= 1 and min(len(mention), len(name)) >= 4:
-        return d
+    if mention in NICKNAMES and name in NICKNAMES:
+        return None
+    if min(len(mention), len(name)) >= 3 and max(len(mention), len(name)) >= 4 and edits(mention, name, 1) <= 1:
+        return 1
     for nick, full in NICK:
-        if full == name and len(nick) >= 4 and edits(mention, nick, 1) <= 1:
+        if full == name and len(nick) >= 5 and edits(mention, nick, 1) <= 1:
             return 1
     return None
 
