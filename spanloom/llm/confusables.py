@@ -65,13 +65,17 @@ def lookalike_classes(df: DataFrame, id_col: str, text_col: str, within: list[st
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, within: list[str] | None = None) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of rows with different strings that look the same; see ``lookalike_classes``.
 
-    The classes are found first, so that the join below sees only rows that have a partner.
+    The pairs are formed between the distinct spellings of a class and only then joined to the rows that have them, so
+    that copies of one spelling never meet each other: the work is that of the rows returned.
     """
     rows = cut(lookalike_classes(df, id_col, text_col, within))
     by = [c for c in rows.columns if c not in ("id", "exact")]
-    a = rows.withColumnRenamed("id", "id_a").withColumnRenamed("exact", "exact_a")
-    b = rows.withColumnRenamed("id", "id_b").withColumnRenamed("exact", "exact_b")
-    return a.join(b, by).filter((F.col("id_a") < F.col("id_b")) & (F.col("exact_a") != F.col("exact_b"))).select("id_a", "id_b")
+    spellings = rows.select(*by, "exact").distinct()
+    a, b = spellings.withColumnRenamed("exact", "exact_a"), spellings.withColumnRenamed("exact", "exact_b")
+    kinds = a.join(b, by).filter("exact_a < exact_b")
+    ids = lambda n: rows.select(*by, F.col("exact").alias(f"exact_{n}"), F.col("id").alias(n))
+    pairs = kinds.join(ids("a"), [*by, "exact_a"]).join(ids("b"), [*by, "exact_b"])
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def found(annotated_docs: DataFrame, extractions: DataFrame) -> DataFrame:
