@@ -345,6 +345,75 @@ def pipeline_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.extractions.select("doc_id", "kind", "extraction_class", "extraction_text", "s", "e", F.round("confidence", 6).alias("confidence"), "needs_review")
 
 
+# ---- decisions over spans
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.lines_with_offsets(docs_of(spark, sf_dir)).filter(F.length("text") > 0)
+
+
+LABELS = ["obligation", "risk", "termination"]
+
+
+@query(sql=LINES + f""", q AS (SELECT doc_id, line, t, unnest({LABELS!r}) AS k FROM o WHERE length(t) > 0), w AS (SELECT *, {WEIGHT.format(parts="'label', t, k, 'yes'")} AS p FROM q)
+SELECT doc_id, CAST(line AS INT) AS line, k AS label, round(p, 6) AS p, p < 0.95 AS needs_review FROM w WHERE p >= 0.9""")
+def sentence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that hold for a line, each asked as a yes-or-no question."""
+    q = _lines(spark, sf_dir).withColumn("name", F.explode(F.array(*map(F.lit, LABELS))))
+    q = q.select("doc_id", "line", F.col("text").alias("subject"), "name", F.concat_ws("/", "doc_id", "line", "name").alias("key"), F.lit("noul").alias("type"), F.array().cast("array<struct<key:string,value:string>>").alias("criteria"), F.lit("label").alias("role"))
+    got = decisions.validated(q, HashDecider().decide(q)).filter("error is null and noul >= 0.9")
+    return got.select("doc_id", "line", F.col("name").alias("label"), F.round("noul", 6).alias("p"), (F.col("noul") < 0.95).alias("needs_review"))
+
+
+@query(sql=f"""WITH x AS (SELECT extraction_id, extraction_class AS c, extraction_text AS t FROM extractions WHERE kind = 'entity' AND extraction_text IS NOT NULL),
+v AS (SELECT *, {WEIGHT.format(parts="'verify', t, c, 'yes'")} AS verify, {WEIGHT.format(parts="'attribute', t, 'role', 'provider'")} AS a, {WEIGHT.format(parts="'attribute', t, 'role', 'client'")} AS b, {WEIGHT.format(parts="'attribute', t, 'role', 'unknown'")} AS u FROM x)
+SELECT extraction_id, round(verify, 6) AS verify, CASE WHEN a >= b AND a >= u THEN 'provider' WHEN b >= u THEN 'client' END AS role, round(greatest(a, b, u) / (a + b + u), 6) AS p FROM v WHERE verify >= 0.5""")
+def verify_and_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that pass the verification, with a closed attribute; an unknown value is null."""
+    rows = table(spark, sf_dir, "extractions").filter("kind = 'entity' and extraction_text is not null").select("extraction_id", F.col("extraction_class").alias("name"), F.col("extraction_text").alias("subject"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    v = rows.select("*", F.concat(F.lit("v"), "extraction_id").alias("key"), F.lit("noul").alias("type"), none.alias("criteria"), F.lit("verify").alias("role"))
+    crit = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k).alias("value")) for k in ("provider", "client", "unknown")])
+    a = rows.select("extraction_id", F.lit("role").alias("name"), "subject", F.concat(F.lit("a"), "extraction_id").alias("key"), F.lit("choice").alias("type"), crit.alias("criteria"), F.lit("attribute").alias("role"))
+    verified = decisions.validated(v, HashDecider().decide(v)).filter("noul >= 0.5").select("extraction_id", F.round("noul", 6).alias("verify"))
+    decoded = decisions.validated(a, HashDecider().decide(a)).withColumn("t", decisions.top(F.col("probs")))
+    decoded = decoded.select("extraction_id", F.when(F.col("t.choice") != "unknown", F.col("t.choice")).alias("role"), F.round("t.p", 6).alias("p"))
+    return verified.join(decoded, "extraction_id")
+
+
+@query(sql=f"""WITH x AS (SELECT DISTINCT document_key AS doc_id, extraction_text AS k FROM extractions WHERE kind = 'entity' AND normalized IS NOT NULL AND document_key IS NOT NULL AND extraction_text IS NOT NULL AND extraction_text <> 'none'),
+a AS (SELECT doc_id, k, 0 AS esc FROM x UNION ALL SELECT DISTINCT doc_id, 'none', 1 FROM x), w AS (SELECT *, {WEIGHT.format(parts="'field', CAST(doc_id AS VARCHAR), 'value', k")} AS w FROM a),
+p AS (SELECT *, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, esc, k) AS r FROM p)
+SELECT doc_id, CASE WHEN esc = 1 THEN NULL ELSE k END AS choice, round(p, 6) AS p FROM r WHERE r = 1""")
+def field_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value of each document among its normalised mentions, or none; the SQL holds while no document has over 254."""
+    rows = table(spark, sf_dir, "extractions").filter("kind = 'entity' and normalized is not null and document_key is not null and extraction_text is not null and extraction_text <> 'none'")
+    options = rows.groupBy(F.col("document_key").alias("doc_id")).agg(F.array_sort(F.collect_set("extraction_text")).alias("o"))
+    task = F.col("doc_id").cast("string")
+    tasks = options.select(task.alias("task"), F.lit("").alias("state"), F.lit("which").alias("instructions"), task.alias("subject"), F.lit("value").alias("name"), F.transform("o", lambda x: F.struct(x.alias("key"), x.alias("value"))).alias("criteria"))
+    won = decisions.tournament(HashDecider(), tasks, role="field")
+    return won.select(F.col("task").cast("long").alias("doc_id"), "choice", F.round("p", 6).alias("p"))
+
+
+@query(sql=rf"""WITH m AS (SELECT document_key AS doc_id, regexp_extract_all(text, '{WORD}') AS m FROM annotated_docs WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(range(len(m))) AS token, unnest(m) AS t FROM m),
+w AS (SELECT doc_id, token FROM t WHERE {WEIGHT.format(parts="'tag', t, '', 'yes'")} >= 0.7), i AS (SELECT *, token - row_number() OVER (PARTITION BY doc_id ORDER BY token) AS g FROM w)
+SELECT doc_id, CAST(min(token) AS INT) AS first, CAST(max(token) AS INT) AS last, count(*) AS n FROM i GROUP BY doc_id, g""")
+def tag_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that a tagger marks."""
+    words = docs_of(spark, sf_dir).filter("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token", "subject"))
+    q = words.select("doc_id", "token", "subject", F.concat_ws("/", "doc_id", "token").alias("key"), F.lit("noul").alias("type"), F.array().cast("array<struct<key:string,value:string>>").alias("criteria"), F.lit("tag").alias("role"), F.lit("").alias("name"))
+    # yes-or-no weights need no distribution: the answer column is taken as it is, and no join back is needed
+    marked = q.withColumn("p", (HashDecider().weight(F.col("role"), F.col("subject"), F.col("name"), F.lit("yes")) + 1) / F.lit(1000.0))
+    return intervals.islands(marked, ["doc_id"], "token", "p >= 0.7")
+
+
+@query(sql="SELECT document_key AS doc_id, len(string_split_regex(text, '[.!?]+[ \n]+')) AS pieces FROM annotated_docs WHERE text IS NOT NULL")
+def sentence_simple_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pieces the crudest splitting rule gives, to compare the splitters with."""
+    docs = docs_of(spark, sf_dir).filter("text is not null")
+    return docs.select("doc_id", F.size(F.split("text", r"[.!?]+[ \n]+", -1)).cast("long").alias("pieces"))
+
+
 # ---- quantities
 
 
