@@ -11,7 +11,7 @@ from .operators.decisions import CachedDecider, Decider
 from .operators.text import documents
 from .plans.pipeline import Result
 from .plans.pipeline import extract as run
-from .session import get_spark
+from .session import clean_up, get_spark
 
 DOCUMENT = "document_id string, text string, ordinal long"
 
@@ -37,6 +37,12 @@ class Extractor:
         self.decider = CachedDecider(decider, cache, options.model) if cache else decider
         self.spark = spark or get_spark()
 
+    def __enter__(self) -> Extractor:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        clean_up(self.spark)
+
     def run(self, docs: DataFrame) -> Result:
         """Over a table with a text and perhaps a document_id or doc_id."""
         key = next((c for c in ("doc_id", "document_id") if c in docs.columns), None)

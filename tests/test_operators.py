@@ -146,3 +146,16 @@ def test_scan_handles_odd_rows(spark):
     assert len(rows["1"].sentences) == 3000 and rows["2"].sentences == [] and "3" not in rows
     assert all(segment.sentences("Acme.") == [(0, 5)] for _ in range(1)) and any("gazetteer:x" in c.sources for c in rows["4"].candidates)
     assert T.scan(df.limit(0), schema).count() == 0
+
+
+def test_cut_and_clean_up(spark):
+    from spanloom import session
+
+    df = session.cut(spark.range(5))
+    assert df.count() == 5 and session.shared_dir(spark).startswith("file:") and session.is_small(df, 5) and not session.is_small(df, 4)
+    assert session.clean_up(spark) >= 1
+
+
+def test_islands(spark):
+    df = spark.createDataFrame([(1, k, k in (0, 1, 4, 6, 7, 8)) for k in range(9)], "d int, k int, f boolean")
+    assert sorted((r.first, r.last, r.n) for r in intervals.islands(df, ["d"], "k", "f").collect()) == [(0, 1, 2), (4, 4, 1), (6, 8, 3)]
