@@ -42,6 +42,13 @@ def test_lookalike_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in confusables.lookalike_pairs(docs(spark, rows), "document_key", "text").collect()} == want
 
 
+def test_a_hot_spelling_does_not_meet_itself(spark):
+    rows = docs(spark, []).unionByName(docs(spark, [(0, "Bay")]).drop("document_key").crossJoin(spark.range(20_000).withColumnRenamed("id", "document_key")))
+    rows = rows.unionByName(docs(spark, [(50_000, "Вay"), (50_001, "Bаy")]))
+    pairs = confusables.lookalike_pairs(rows, "document_key", "text")
+    assert pairs.count() == 2 * 20_000 + 1
+
+
 # ---- 2
 
 
