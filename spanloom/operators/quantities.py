@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,49 +21,74 @@ from pyspark.sql import functions as F
 from ..functions.lookalike import fold
 from ..session import cut, is_small
 
-# Dimension, unit, its size in the common unit (µg, µm, µL, ms, hundredths of °C, bytes), its names.
-UNITS: list[tuple[str, str, str, str]] = [
-    ("mass", "mcg", "1", "μg mcg ug microgram micrograms microgramme microgramo micrograma Mikrogramm"),
-    ("mass", "mg", "1000", "mg milligram milligrams milligramme miligramo miligrama Milligramm 毫克 ミリグラム मिलीग्राम มิลลิกรัม مليغرام"),
-    ("mass", "g", "1000000", "g gr gram grams gramme grammes gramo gramos grama gramas Gramm 克 グラム ग्राम กรัม غرام"),
-    ("mass", "kg", "1000000000", "kg kgs kilo kilos quilo quilos kilogram kilograms kilogramme kilogrammes kilogramo kilogramos quilograma quilogramas Kilogramm 千克 公斤 キログラム キロ किलोग्राम किलो กิโลกรัม กิโล كيلوغرام كيلو كيلوجرام"),
-    ("mass", "t", "1000000000000", "t tonne tonnes metric_ton metric_tons tonelada toneladas Tonne Tonnen 吨 トン टन ตัน طن"),
-    ("mass", "lb", "453592370", "lb lbs pound pounds libra libras livre livres Pfund"),
-    ("mass", "oz", "28349523.125", "oz ounce ounces onza onzas onça onças once onces Unze Unzen"),
-    ("length", "mm", "1000", "mm millimetre millimetres millimeter millimeters millimètre milímetro milímetros Millimeter 毫米 ミリメートル मिलीमीटर มิลลิเมตร مليمتر"),
-    ("length", "cm", "10000", "cm centimetre centimetres centimeter centimeters centimètre centimètres centímetro centímetros Zentimeter 厘米 センチメートル सेंटीमीटर เซนติเมตร سنتيمتر"),
-    ("length", "m", "1000000", "m metre metres meter meters mètre mètres metro metros Meter 米 メートル मीटर เมตร متر"),
-    ("length", "km", "1000000000", "km kilometre kilometres kilometer kilometers kilomètre kilomètres kilómetro kilómetros quilômetro quilômetros Kilometer 公里 千米 キロメートル किलोमीटर กิโลเมตร كيلومتر"),
-    ("length", "in", "25400", 'in inch inches " ″ pouce pouces pulgada pulgadas polegada polegadas Zoll 英寸 インチ इंच นิ้ว بوصة'),
-    ("length", "ft", "304800", "ft foot feet ' ′ pied pieds pie pies pé pés Fuß 英尺 フィート फुट ฟุต قدم"),
-    ("length", "yd", "914400", "yd yds yard yards yarda yardas jarda jardas"),
-    ("length", "mi", "1609344000", "mi mile miles milla millas milha milhas mille Meile Meilen 英里 マイル मील ไมล์ ميل"),
-    ("volume", "ml", "1000", "ml mL millilitre millilitres milliliter milliliters mililitro mililitros Milliliter 毫升 ミリリットル मिलीलीटर มิลลิลิตร مليلتر"),
-    ("volume", "cl", "10000", "cl cL centilitre centilitres centiliter centilitro centilitros Zentiliter"),
-    ("volume", "dl", "100000", "dl dL decilitre deciliter decilitro Deziliter"),
-    ("volume", "l", "1000000", "l L litre litres liter liters litro litros Liter 升 リットル लीटर ลิตร لتر"),
-    ("volume", "m3", "1000000000", "m³ m3 cbm cubic_metre cubic_metres cubic_meter cubic_meters mètre_cube mètres_cubes metro_cúbico metros_cúbicos Kubikmeter 立方米 立方メートル"),
-    ("volume", "gal", "3785411.784", "gal gallon gallons galón galones galão galões Gallone Gallonen"),
-    ("volume", "floz", "29573.5295625", "fl_oz fl._oz. fluid_ounce fluid_ounces"),
-    ("duration", "ms", "1", "ms msec millisecond milliseconds milliseconde milissegundo milisegundo milisegundos Millisekunde Millisekunden 毫秒 ミリ秒"),
-    ("duration", "s", "1000", "s sec secs second seconds seconde secondes segundo segundos Sekunde Sekunden 秒 秒間 सेकंड วินาที ثانية"),
-    ("duration", "min", "60000", "min mins minute minutes minuto minutos Minute Minuten 分 分钟 分間 मिनट นาที دقيقة"),
-    ("duration", "h", "3600000", "h hr hrs hour hours heure heures hora horas Stunde Stunden 小时 時間 घंटे घंटा ชั่วโมง ساعة"),
-    ("duration", "d", "86400000", "d day days jour jours día días dia dias Tag Tage Tagen 天 日 日間 दिन วัน يوم"),
-    ("duration", "wk", "604800000", "wk wks week weeks semaine semaines semana semanas Woche Wochen 周 週間 सप्ताह สัปดาห์ أسبوع"),
-    ("temperature", "C", "100", "°C ℃ C degree_Celsius degrees_Celsius degrees_C deg_C celsius Grad grados grados_Celsius degrés degrés_Celsius graus graus_Celsius Grad_Celsius 摄氏度 度 องศา องศาเซลเซียส درجة_مئوية"),
-    ("temperature", "F", "0", "°F F degree_Fahrenheit degrees_Fahrenheit degrees_F deg_F fahrenheit grados_Fahrenheit graus_Fahrenheit degrés_Fahrenheit Grad_Fahrenheit 华氏度"),
-    ("temperature", "K", "100", "K kelvin kelvins"),
-    ("data", "B", "1", "B byte bytes octet octets"),
-    ("data", "kB", "1000", "kB KB kilobyte kilobytes ko"),
-    ("data", "MB", "1000000", "MB megabyte megabytes Mo"),
-    ("data", "GB", "1000000000", "GB gigabyte gigabytes Go"),
-    ("data", "TB", "1000000000000", "TB terabyte terabytes To"),
-    ("data", "KiB", "1024", "KiB kibibyte kibibytes"),
-    ("data", "MiB", "1048576", "MiB mebibyte mebibytes"),
-    ("data", "GiB", "1073741824", "GiB gibibyte gibibytes"),
-    ("data", "TiB", "1099511627776", "TiB tebibyte tebibytes"),
+# Metric bases (dimension, size in the common unit, symbols, names) and what may stand before them.
+# The common units are µg, µm, µL, ms, hundredths of °C and bytes.
+BASES = {
+    "g": ("mass", 10**6, "g gr", "gram gramme gramo grama Gramm", "μ m k"),
+    "m": ("length", 10**6, "m", "metre meter mètre metro", "m c d k"),
+    "l": ("volume", 10**6, "l L", "litre liter litro", "m c d"),
+    "s": ("duration", 1000, "s sec secs", "second seconde segundo Sekunde", "m"),
+    "B": ("data", 1, "B", "byte octet", "k M G T Ki Mi Gi Ti"),
+}
+PREFIXES = {
+    "μ": (Fraction(1, 10**6), "μ u mc", "micro mikro"), "m": (Fraction(1, 1000), "m", "milli mili"), "c": (Fraction(1, 100), "c", "centi zenti"), "d": (Fraction(1, 10), "d", "deci dezi"), "k": (Fraction(1000), "k K", "kilo quilo"),
+    "M": (Fraction(10**6), "M", "mega"), "G": (Fraction(10**9), "G", "giga"), "T": (Fraction(10**12), "T", "tera"), "Ki": (Fraction(2**10), "Ki", "kibi"), "Mi": (Fraction(2**20), "Mi", "mebi"), "Gi": (Fraction(2**30), "Gi", "gibi"), "Ti": (Fraction(2**40), "Ti", "tebi"),
+}
+# The other units (dimension, unit, size, symbols, names); plurals follow by rule.
+OTHERS = [
+    ("mass", "kg", "1000000000", "kgs", "kilo quilo"),
+    ("mass", "t", "1000000000000", "t", "tonne tonelada metric_ton"),
+    ("mass", "lb", "453592370", "lb lbs", "pound libra livre Pfund"),
+    ("mass", "oz", "28349523.125", "oz", "ounce onza onça once Unze"),
+    ("length", "in", "25400", 'in " ″', "inch inche pouce pulgada polegada Zoll"),
+    ("length", "ft", "304800", "ft ' ′", "foot feet pied pie pé Fuß"),
+    ("length", "yd", "914400", "yd yds", "yard yarda jarda"),
+    ("length", "mi", "1609344000", "mi", "mile milla milha Meile"),
+    ("volume", "m3", "1000000000", "m³ m3 cbm", "cubic_metre cubic_meter mètre_cube metro_cúbico Kubikmeter"),
+    ("volume", "gal", "3785411.784", "gal", "gallon galón galone galão galõe Gallone"),
+    ("volume", "floz", "29573.5295625", "fl_oz fl._oz.", "fluid_ounce"),
+    ("duration", "min", "60000", "min mins", "minute minuto"),
+    ("duration", "h", "3600000", "h hr hrs", "hour heure hora Stunde"),
+    ("duration", "d", "86400000", "d", "day jour día Tag"),
+    ("duration", "wk", "604800000", "wk wks", "week semaine semana Woche"),
+    ("temperature", "C", "100", "°C C", "celsius degree_C degree_Celsius deg_C Grad grado degré grau Grad_Celsius grado_Celsius degré_Celsius grau_Celsius"),
+    ("temperature", "F", "0", "°F F", "fahrenheit degree_F degree_Fahrenheit deg_F Grad_Fahrenheit grado_Fahrenheit degré_Fahrenheit grau_Fahrenheit"),
+    ("temperature", "K", "100", "K", "kelvin"),
 ]
+# Names in scripts without letter case.
+CASELESS = {
+    "mg": "毫克 ミリグラム मिलीग्राम มิลลิกรัม مليغرام", "g": "克 グラム ग्राम กรัม غرام", "kg": "千克 公斤 キログラム キロ किलोग्राम किलो กิโลกรัม กิโล كيلوغرام كيلو كيلوجرام", "t": "吨 トン टन ตัน طن",
+    "mm": "毫米 ミリメートル मिलीमीटर มิลลิเมตร مليمتر", "cm": "厘米 センチメートル सेंटीमीटर เซนติเมตร سنتيمتر", "m": "米 メートル मीटर เมตร متر", "km": "公里 千米 キロメートル किलोमीटर กิโลเมตร كيلومتر",
+    "ml": "毫升 ミリリットル मिलीलीटर มิลลิลิตร مليلتر", "l": "升 リットル लीटर ลิตร لتر", "m3": "立方米 立方メートル", "s": "秒 秒間 सेकंड วินาที ثانية", "min": "分 分钟 分間 मिनट นาที دقيقة", "h": "小时 時間 घंटे घंटा ชั่วโมง ساعة",
+    "d": "天 日 日間 दिन วัน يوم", "wk": "周 週間 सप्ताह สัปดาห์ أسبوع", "C": "摄氏度 度 องศา องศาเซลเซียส درجة_مئوية", "F": "华氏度",
+    "in": "英寸 インチ इंच นิ้ว بوصة", "ft": "英尺 フィート फुट ฟุต قدم", "mi": "英里 マイル मील ไมล์ ميل", "ms": "毫秒 ミリ秒",
+}
+
+
+def units() -> list[tuple[str, str, str, list[str], list[str]]]:
+    """(dimension, unit, size, symbols, names): bases with and without prefixes, the others, the caseless names."""
+    out: dict[str, tuple[str, str, str, list[str], list[str]]] = {}
+
+    def add(dimension: str, unit: str, size: str, symbols: list[str], names: list[str]) -> None:
+        row = out.setdefault(unit, (dimension, unit, size, [], []))
+        row[3].extend(x.replace("_", " ") for x in symbols)
+        row[4].extend(x.replace("_", " ") for x in names)
+
+    for base, (dimension, size, symbols, names, allowed) in BASES.items():
+        add(dimension, base, str(size), symbols.split(), names.split())
+        for p in allowed.split():
+            factor, signs, words = PREFIXES[p]
+            value = factor * size
+            short = [sign + x for sign in signs.split() for x in symbols.split()[: 1 + (base == "l")]]
+            add(dimension, p + base, str(Decimal(value.numerator) / Decimal(value.denominator)), short, [w + x for w in words.split() for x in names.split()])
+    for dimension, unit, size, symbols, names in OTHERS:
+        add(dimension, unit, size, symbols.split(), names.split())
+    for unit, names in CASELESS.items():
+        out[unit][3].extend(names.replace("_", " ") for names in names.split())
+    return list(out.values())
+
+
+UNITS = units()
 # Languages that write a decimal comma, multiplying words, number words, words of vague amounts.
 DECIMAL_COMMA = {"de", "fr", "es", "pt", "it", "nl"}
 MULTIPLES = {"k": 1000, "thousand": 1000, "mil": 1000, "mille": 1000, "tausend": 1000, "tsd": 1000, "million": 10**6, "millions": 10**6, "mn": 10**6, "millones": 10**6, "milhões": 10**6, "millionen": 10**6, "billion": 10**9, "dozen": 12, "万": 10**4, "億": 10**8, "亿": 10**8, "千": 1000, "百万": 10**6}
@@ -242,16 +268,27 @@ class Aliases:
         self.exact: dict[str, int] = {}
         self.lower: dict[str, set[int]] = defaultdict(set)
         self.grams: dict[str, set[str]] = defaultdict(set)
-        for n, (_, _, _, names) in enumerate(UNITS):
-            for name in names.split():
-                name = fold(name.replace("_", " "))[0]
-                self.exact.setdefault(name, n)
-                self.lower[name.casefold()].add(n)
+        for n, (_, _, _, symbols, names) in enumerate(UNITS):
+            for name in symbols:
+                self.exact.setdefault(fold(name)[0], n)
+                self.lower[self._key(name)].add(n)
+            for name in names:
+                head, _, rest = self._key(name).partition(" ")
+                for ending in ("", "s", "n", "en", "e") if len(head) > 2 else ("", "s"):
+                    self.lower[f"{head}{ending} {rest}".strip()].add(n)
+                    self.lower[f"{head}{ending} {rest}{ending}".strip()].add(n)
+                    if rest:
+                        self.lower[f"{head} {rest}{ending}"].add(n)
         for name in self.lower:
             if len(name) >= 5:
                 for g in self._grams(name):
                     self.grams[g].add(name)
 
+    @staticmethod
+    def _key(s: str) -> str:
+        """Without letter case and without accents."""
+        return normalize("NFC", re.sub("[\u0300-\u036f]", "", normalize("NFD", fold(s)[0].casefold())))
+
     @staticmethod
     def _grams(s: str) -> set[str]:
         s = f"^{s}$"
@@ -260,7 +297,7 @@ class Aliases:
     def look_up(self, spelling: str) -> int | None:
         if spelling in self.exact:
             return self.exact[spelling]
-        s = spelling.casefold().replace(".", "")
+        s = self._key(spelling).replace(".", "")
         if len(hit := self.lower.get(s, ())) == 1:
             return next(iter(hit))
         if len(s) < 5 or len(s) > 40:
