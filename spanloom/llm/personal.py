@@ -150,6 +150,7 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     low = s.lower()
     if len(low) != len(s):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    low = low.replace("\n", " ")  # cues run on over wrapped lines
     found: list[tuple[int, int, int, str]] = []  # priority, start, end, kind
 
     def add(kind: str, span: tuple[int, int] | None, priority: int) -> None:
