@@ -284,6 +284,7 @@ def link_spellings(mentions: DataFrame, parties: DataFrame, text_col: str = "tex
     near = met.filter(_edits("word", "registered_word") <= K)
     pairs = keys.join(near, "word").join(index.withColumnRenamed("word", "registered_word"), ["registered_word", "kind"])
     scored = pairs.select("text", "kind", "party_id", "legal_name").distinct().withColumn("cost", _cost("text", "legal_name", "kind")).filter(~F.isnan("cost"))
+    scored = cut(scored)
     best = scored.groupBy("text", "kind").agg(F.min("cost").alias("least"), F.min_by("party_id", "cost").alias("party_id"))
     ties = scored.join(best.select("text", "kind", "least"), ["text", "kind"]).filter("cost <= least + 0.01").groupBy("text", "kind").agg(F.count_distinct("party_id").alias("n"))
     return best.join(ties.filter("n = 1"), ["text", "kind"]).select("text", "kind", "party_id", F.col("least").alias("cost"))
