@@ -339,12 +339,12 @@ def rejected_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over every document, with pseudo-probabilities for answers."""
+    """The whole pipeline with its default options over every document, with pseudo-probabilities for answers."""
     schema = Schema.from_dict({
         "entities": {"party": "a person or organisation", "amount": {"description": "money", "attributes": {"due": "bool", "role": ["price", "fee"]}}},
         "sentence_labels": {"obligation": "somebody must do something"}, "fields": {"total": {"description": "the total", "source": ["money"]}}, "min_confidence": 0.3,
     })
-    result = extract(T.documents(docs_of(spark, sf_dir), "doc_id"), schema, HashDecider(), Options(ngrams=False, max_candidates_per_sentence=20))
+    result = extract(T.documents(docs_of(spark, sf_dir), "doc_id"), schema, HashDecider())
     return result.extractions.select("doc_id", "kind", "extraction_class", "extraction_text", "s", "e", F.round("confidence", 6).alias("confidence"), "needs_review")
 
 
