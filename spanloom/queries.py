@@ -304,9 +304,7 @@ def answer_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each project's documents packed in order into requests under both limits."""
     docs = table(spark, sf_dir, "annotated_docs").filter("text is not null").select("project_id", "document_key", T.token_estimate(F.col("text")).alias("tokens"))
-    # a project's documents are first put into blocks of keys, so that no fold sees more than a block
-    docs = docs.withColumn("block", F.floor(F.col("document_key") / 1000))
-    return decisions.packed(docs, ["project_id", "block"], "tokens", 54_400, 200, "document_key").withColumnRenamed("o", "document_key")
+    return decisions.packed(docs, ["project_id"], "tokens", 54_400, 200, "document_key").withColumnRenamed("o", "document_key")
 
 
 @query(sql="""SELECT document_key, round(sum(coalesce(input_tokens, 0) * 0.042 / 1e6) OVER (PARTITION BY project_id ORDER BY received_at, document_key ROWS UNBOUNDED PRECEDING), 9) AS spent_usd FROM annotated_docs""")
