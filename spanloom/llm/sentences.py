@@ -246,7 +246,7 @@ def language(text: str, lang: str | None) -> str:
     for pattern, found in ((THAI, "th"), (re.compile(r"[ऀ-ॿ]"), "hi"), (re.compile(r"[؀-ۿ]"), "ar"), (re.compile(r"[぀-ヿ]"), "ja"), (HAN, "zh")):
         if pattern.search(text):
             return found
-    low = f" {text[:4000].lower()} "
+    low = f" {text.lower()} "
     scores = {c: sum(low.count(f" {w} ") for w in words.split()) for c, words in {"en": "the of and to in is was for", "de": "der die das und ist nicht wurde von", "fr": "le la les des est et du une", "es": "el los las del que una por con", "pt": "o os uma do da não com em para"}.items()}
     return max(scores, key=scores.get) if any(scores.values()) else "en"
 
