@@ -1,31 +1,47 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-Method: content and link features per page, weak labels from their clear cases, bagged decision trees trained on those,
-and page predictions smoothed by the spam rate of the page's host (``source``).
+Method: bagged decision trees on content and link features of the page, trained on weak labels, and page predictions
+smoothed by the spam rate of the page's host (``source``).
+
+The weak labels come from rules that read the page line by line (``spam_share``: what share of it are links, tags, soup,
+stuffed sentences). The trees never see that share nor its parts: their features are counts over the whole page
+(repetition near and far, compressibility, marks, separators, links, tags, capitals). So the forest is free to disagree
+with the rules, and settles the pages on which they are unsure.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
 
-FEATURES = ["spam_share", "link_share", "tag_share", "block_share", "stuffed_share", "clean_share", "list_share", "distinct_share", "words"]
-#: Labelled rows that the trees are trained on, about; taken by a hash of the id. Twice as many at most.
-SAMPLE_ROWS = 4_000
+FEATURES = (
+    "log_words diversity top_word top_words repeated_pairs compressed link_lines links hashes closed ends separators prices words_per_line distinct_lines short_words link_hosts "
+    "near far near_pairs far_pairs markers hash_chars url_chars capitals numbers cells"
+).split()
+#: Pages that the rules label and the trees learn from, about; taken by a hash of the id. Twice as many at most.
+SAMPLE_ROWS = 40_000
 #: Weak labels: pages with more (less) than this share of spam units; pages in between stay unlabelled.
 SURE_SPAM, SURE_HAM = 0.6, 0.4
-TREES, DEPTH, LEAF = 25, 5, 8
-#: The host's rate counts as so many votes beside the page's own forest vote.
-HOST_WEIGHT = 0.1
+TREES, DEPTH, LEAF = 40, 10, 2
+#: Each tree sees as many spam pages as there are and so many times as many others, both drawn with replacement.
+OTHERS = 4
+#: Which weights the host's log odds may get; the one that fits the pages kept back from training best is taken.
+HOST_WEIGHTS = (0.25, 0.5, 1.0)
+#: Every so many-th labelled page is kept back for that choice.
+HELD_OUT = 4
+#: A host counts as if it had so many more pages of the average rate.
+PRIOR_PAGES = 5.0
 
 LINK = re.compile(r"https?://|www\.\w|\]\(")
 MARKER = re.compile(r"\s*(?:[-•*–]|\(?\w{1,3}[.)])\s")
@@ -38,9 +54,9 @@ CJK = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
 
 
 def _few_words(words: list[str]) -> bool:
-    """So few distinct words for so many as only keyword soup has."""
+    """So few distinct words as only keyword soup has: it draws from a bounded list, so the bound levels off."""
     n = len(words)
-    return n >= 10 and len(set(words)) / n < (0.42 if n < 60 else 0.36 if n < 120 else 0.32 if n < 250 else 0.2 if n < 600 else 0.08)
+    return n >= 10 and len(set(words)) < 0.42 * n / (1 + n / 300)
 
 
 def _stuffed(unit: str, words: list[str]) -> bool:
@@ -79,13 +95,11 @@ def _block_is_spam(block: list[str]) -> bool:
     return False
 
 
-def page_features(text: str) -> list[float]:
-    """The FEATURES of one text; shares are of its characters other than blanks."""
+def spam_share(text: str) -> float:
+    """The share of one text, blanks aside, that the rules take for links, tags, soup or stuffed sentences."""
     size: Counter = Counter()
     block: list[str] = []
     weight_of = lambda t: len(t) - t.count(" ")
-    vocabulary: set[str] = set()
-    n_words = 0
 
     def close_block() -> None:
         if block:
@@ -104,8 +118,6 @@ def page_features(text: str) -> list[float]:
             size["list" if listing and line.startswith("http") else "link"] += weight_of(line)
             continue
         words = LETTERS.findall(line.lower())
-        n_words += len(words)
-        vocabulary.update(words)
         if line.count("#") >= 3 and line.count("#") * 2 >= len(line.split()):
             close_block()
             size["tag"] += weight_of(line)
@@ -130,31 +142,85 @@ def page_features(text: str) -> list[float]:
             size["stuffed" if _stuffed(unit, LETTERS.findall(unit.lower())) else "clean"] += weight_of(unit)
     close_block()
     total = sum(size.values()) or 1
-    spam = size["link"] + size["tag"] + size["block"] + size["stuffed"]
-    return [spam / total, size["link"] / total, size["tag"] / total, size["block"] / total, size["stuffed"] / total, size["clean"] / total, size["list"] / total, len(vocabulary) / max(1, n_words), float(n_words)]
+    return (size["link"] + size["tag"] + size["block"] + size["stuffed"]) / total
+
+
+TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]+")
+HOST = re.compile(r"(?:https?://|www\.)([\w.-]+)")
+URL = re.compile(r"(?:https?://|www\.)\S+")
+HASHTAG = re.compile(r"#\w+")
+LISTED = re.compile(r"(?m)^[ \t]*(?:[-•*–]|\(?\w{1,3}[.)])\s.*$")
+MARKS = re.compile(r"[.!?…。！？؟।]")
+DIVIDERS = re.compile(r"[,|;·•>/、，&+*]")
+CAPITALS = re.compile(r"\b[^\W\d_a-z]{3,}\b")
+NUMBERS = re.compile(r"\d+")
 
 
-def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, x array<double>) for every row with an id; a null text counts as empty, a null host as ''."""
+def _returns(items: list, *reaches: int) -> list[float]:
+    """The share of the items that stood there already at most so many places before."""
+    last: dict = {}
+    hits = [0] * len(reaches)
+    for i, x in enumerate(items):
+        if x in last:
+            back = i - last[x]
+            for k, reach in enumerate(reaches):
+                hits[k] += back <= reach
+        last[x] = i
+    return [h / max(1, len(items)) for h in hits]
+
+
+def page_features(text: str) -> list[float]:
+    """The FEATURES of one text, counted over the whole page."""
+    words = TOKEN.findall(text.lower())
+    n, m = len(words), max(1, len(words))
+    counts = Counter(words)
+    pairs = list(zip(words, words[1:]))
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    chars = sum(map(len, lines)) or 1
+    hosts = HOST.findall(text)
+    raw = text.encode("utf-8", "replace")
+    top = counts.most_common(8)
+    whole = sum(map(len, URL.findall(text)))
+    return [
+        math.log1p(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max((k for w, k in top if len(w) >= 4), default=0) / m, sum(k for _, k in top) / m, 1 - len(set(pairs)) / max(1, n - 1), len(zlib.compress(raw, 1)) / max(1, len(raw)),
+        sum(len(x) for x in lines if "http" in x or "www." in x) / chars, len(hosts) / m, text.count("#") / m, sum(len(x) for x in lines if CLOSED.search(x)) / chars, len(MARKS.findall(text)) / m, len(DIVIDERS.findall(text)) / m, len(PRICE.findall(text)) / m,
+        m / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(k for w, k in counts.items() if len(w) <= 3) / m, len(set(hosts)) / max(1, len(hosts)),
+        *_returns([w for w in words if len(w) >= 4], 8, 30), *_returns(pairs, 12, 40),
+        sum(map(len, LISTED.findall(text))) / chars, sum(map(len, HASHTAG.findall(text))) / chars, whole / chars, len(CAPITALS.findall(text)) / m, len(NUMBERS.findall(text)) / m, (text.count("|") + text.count("\t")) / m,
+    ]
+
+
+def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", label_share: float = 1.0) -> DataFrame:
+    """(doc_id, host, x array<double>, sample, label) for every row with an id; a null text counts as empty, a null host as ''.
+
+    The rules label the pages whose id's hash falls in ``label_share`` of its range: 1 spam, 0 none; the label is null for
+    other pages and where the rules are unsure.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "host": b.host, "x": [page_features(t) for t in b.text]})
+            share = [spam_share(t) if on else math.nan for t, on in zip(b.text, b["sample"])]
+            label = [1.0 if x > SURE_SPAM else 0.0 if x < SURE_HAM else None for x in share]
+            yield pd.DataFrame({"doc_id": b.doc_id, "host": b.host, "x": [page_features(t) for t in b.text], "sample": b["sample"], "label": label})
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.filter("doc_id is not null").mapInPandas(scan, "doc_id long, host string, x array<double>")
+    key, host = F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
+    rows = documents.select(key, host, F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
+    rows = rows.withColumn("sample", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, label_share) * (1 << 30)))
+    return rows.mapInPandas(scan, "doc_id long, host string, x array<double>, sample boolean, label double")
 
 
 class Trees:
-    """Bagged decision trees on numpy arrays."""
+    """Bagged decision trees on numpy arrays; each bag holds the spam pages drawn again and OTHERS times as many others."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.trees = []
-        if not len(x):
+        self.trees: list = []
+        self.mean = float(y.mean()) if len(y) else 0.0
+        spam, others = np.flatnonzero(y > 0.5), np.flatnonzero(y <= 0.5)
+        if not len(spam) or not len(others):
             return
         for _ in range(trees):
-            pick = rng.integers(0, len(x), len(x))
+            pick = np.concatenate([rng.choice(spam, len(spam)), rng.choice(others, min(len(others), OTHERS * len(spam)))])
             self.trees.append(self._grow(x[pick], y[pick], DEPTH, rng))
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator):
@@ -180,7 +246,7 @@ class Trees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if not self.trees:
-            return np.where(x[:, 0] > 0.5, 1.0, 0.0)
+            return np.full(len(x), self.mean)
         out = np.zeros(len(x))
         for tree in self.trees:
             out += self._walk(tree, x)
@@ -197,32 +263,61 @@ class Trees:
         return out
 
 
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 0.01, 0.99)
+    return np.log(p / (1 - p))
+
+
+def host_weight(vote: np.ndarray, host: np.ndarray, label: np.ndarray) -> float:
+    """The weight of HOST_WEIGHTS that gives the labels the greatest likelihood; the first of equal ones."""
+    if not len(label):
+        return HOST_WEIGHTS[0]
+    frame = pd.DataFrame({"host": host, "vote": vote})
+    of = frame.groupby("host").vote.agg(["sum", "size"])
+    rate = ((of["sum"] + PRIOR_PAGES * vote.mean()) / (of["size"] + PRIOR_PAGES))[frame.host].to_numpy()
+    shift = _log_odds(rate) - _log_odds(np.array([vote.mean()]))[0]
+
+    def loss(weight: float) -> float:
+        p = np.clip(1 / (1 + np.exp(-(_log_odds(vote) + weight * shift))), 1e-6, 1 - 1e-6)
+        return float(-(label * np.log(p) + (1 - label) * np.log(1 - p)).mean())
+
+    return min(HOST_WEIGHTS, key=loss)
+
+
+def smoothed(vote: Column, host_rate: Column, mean_rate: Column, weight: float) -> Column:
+    """The page's log odds moved by the weighted log odds of its host against the average, as a probability."""
+    odds = lambda p: F.log(F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99)) / (1 - F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))))
+    return 1 / (1 + F.exp(-(odds(vote) + F.lit(weight) * (odds(host_rate) - odds(mean_rate)))))
+
+
 def page_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, spam_share, page_score, host_rate, score, is_spam), one row per row of ``documents`` with an id.
+    """(doc_id, host, page_score, host_rate, score, is_spam), one row per row of ``documents`` with an id.
 
-    A page is spam if its smoothed score exceeds one half. The trees see about SAMPLE_ROWS pages with a clear weak
-    label; features, predictions and host rates cover every page. Where no page has a clear label, or all have the same,
-    the share of spam units decides. Null and empty texts are no spam; a null host is a host of its own; repeated rows
-    are scored each; an empty table gives an empty result.
+    ``page_score`` is the share of trees that vote spam, ``host_rate`` the mean vote of the host's pages (with PRIOR_PAGES
+    average ones), ``score`` the vote moved by the host's odds; a page is spam if its score exceeds one half. The rules
+    label about SAMPLE_ROWS pages; features, votes and host rates cover every page. Where all labels are the same, every
+    page gets that vote, and without any label none is spam. Null and empty texts are pages without words; a null host is
+    a host of its own; repeated rows are scored each; an empty table gives an empty result.
 
-    Host rates are averages that combine before their exchange, and the join back is with one row per host.
+    Host rates are sums that combine before their exchange, and the join back is with one row per host.
     """
-    rows = cut(features(documents, id_col, text_col, host_col))
-    sure = rows.filter((F.col("x")[0] > SURE_SPAM) | (F.col("x")[0] < SURE_HAM))
-    share = SAMPLE_ROWS / max(1, sure.count())
-    sample = sure.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("x").limit(2 * SAMPLE_ROWS).toPandas()
+    share = SAMPLE_ROWS / max(1, documents.count())
+    rows = cut(features(documents, id_col, text_col, host_col, share))
+    sample = rows.filter("sample and label is not null").select("doc_id", "host", "x", "label").limit(2 * SAMPLE_ROWS).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(sample.x.tolist(), dtype=float).reshape(-1, len(FEATURES))
-    y = (x[:, 0] > SURE_SPAM).astype(float)
-    forest = Trees(x, y) if len(y) and 0 < y.mean() < 1 else Trees(x[:0], y[:0])
+    y, back = sample.label.to_numpy(dtype=float), np.arange(len(sample)) % HELD_OUT == 0
+    weight = host_weight(Trees(x[~back], y[~back]).predict(x[back]), sample.host.to_numpy()[back], y[back])
+    forest = Trees(x, y)
 
     @F.pandas_udf(T.DoubleType())
     def vote(x: pd.Series) -> pd.Series:
         return pd.Series(forest.predict(np.array(x.tolist(), dtype=float).reshape(-1, len(FEATURES))))
 
-    voted = rows.select("doc_id", "host", F.col("x")[0].alias("spam_share"), vote("x").alias("page_score"))
-    rates = voted.groupBy("host").agg(F.avg("page_score").alias("host_rate"))
-    score = (F.col("page_score") + HOST_WEIGHT * F.col("host_rate")) / (1 + HOST_WEIGHT)
-    out = voted.join(rates, "host").withColumn("score", score)
+    voted = cut(rows.select("doc_id", "host", vote("x").alias("page_score")))
+    of = voted.groupBy("host").agg(F.sum("page_score").alias("spam"), F.count("*").alias("pages"))
+    mean = of.agg((F.sum("spam") / F.sum("pages")).alias("m")).first()["m"] or 0.0
+    rates = of.select("host", ((F.col("spam") + PRIOR_PAGES * mean) / (F.col("pages") + PRIOR_PAGES)).alias("host_rate"))
+    out = voted.join(rates, "host").withColumn("score", smoothed(F.col("page_score"), F.col("host_rate"), F.lit(mean), weight))
     return out.withColumn("is_spam", F.col("score") > 0.5)
 
 

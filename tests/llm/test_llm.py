@@ -262,10 +262,11 @@ SPAM = ["cheap blinds, blinds sale, buy blinds, blinds near me, " * 12, "#garden
 HAM = [CLEAN * 4, "1. ten sacks of sand\n2. nine sacks of sand\n3. eight sacks of sand", "Name\t4 kg | 2020-01-01\nName\t5 kg | 2020-01-02", CLEAN + "\n\nSources:\nhttps://a.example/1\nhttps://a.example/2", "", "The tax software was tested in Rome on day 1, and the tax software held.\n" * 3]
 
 
-def test_page_features():
-    assert all(stuffing.page_features(t)[0] > 0.5 for t in SPAM), [stuffing.page_features(t)[0] for t in SPAM]
-    assert all(stuffing.page_features(t)[0] < 0.5 for t in HAM), [stuffing.page_features(t)[0] for t in HAM]
-    assert stuffing.page_features(CLEAN + "\n\n" + SPAM[0])[0] > 0.5 > stuffing.page_features(CLEAN * 8 + "\n\n" + SPAM[0])[0]
+def test_rules_of_the_weak_labels():
+    assert all(stuffing.spam_share(t) > 0.5 for t in SPAM), [stuffing.spam_share(t) for t in SPAM]
+    assert all(stuffing.spam_share(t) < 0.5 for t in HAM), [stuffing.spam_share(t) for t in HAM]
+    assert stuffing.spam_share(CLEAN + "\n\n" + SPAM[0]) > 0.5 > stuffing.spam_share(CLEAN * 8 + "\n\n" + SPAM[0])
+    assert all(len(stuffing.page_features(t)) == len(stuffing.FEATURES) for t in [*SPAM, *HAM, "x", "。"])
 
 
 def test_spam_pages(spark):
@@ -286,3 +287,42 @@ def test_trees_learn_held_out_rows():
     y = ((x[:, 1] > 0.4) & (x[:, 3] < 0.7)).astype(float)
     model = stuffing.Trees(x[:600], y[:600])
     assert ((model.predict(x[600:]) > 0.5) == (y[600:] > 0.5)).mean() > 0.95
+
+
+def _page(rng, spam):
+    """A page whose label is known from how it is made, not from the rules."""
+    keys = rng.sample(["blinds", "garden hose", "office chair", "tax forms", "roof tiles", "phone case"], 2)
+    if spam:
+        return rng.choice([", ", " | ", "\n"]).join(f"{rng.choice(['buy', 'cheap', 'best', 'free'])} {rng.choice(keys)}" for _ in range(rng.randint(20, 80)))
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ren", "tos", "ur", "bel", "da"]) for _ in range(rng.randint(2, 4)))
+    return rng.choice([" ", "\n"]).join(f"The {word()} {word()} the {word()} near a {word()} on day {rng.randrange(99)}." for _ in range(rng.randint(3, 40)))
+
+
+def test_forest_is_no_single_threshold_and_right_on_held_out_pages():
+    import numpy as np
+
+    rng = random.Random(12)
+    made = [rng.random() < 0.3 for _ in range(600)]
+    pages = [_page(rng, s) for s in made]
+    labels = np.array([float(stuffing.spam_share(t) > 0.5) for t in pages])
+    x = np.array([stuffing.page_features(t) for t in pages])
+    forest = stuffing.Trees(x[:400], labels[:400])
+    assert ((forest.predict(x[400:]) > 0.5) == np.array(made[400:])).mean() > 0.99
+    assert "spam_share" not in stuffing.FEATURES and len({f for t in forest.trees if isinstance(t, tuple) for f in [t[0]]}) > 1
+
+
+def test_hosts_turn_close_votes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    host = np.repeat(np.array(["a", "b"]), 200)
+    label = (rng.random(400) < np.where(host == "a", 0.9, 0.05)).astype(float)
+    vote = np.clip(0.5 + 0.1 * (label - 0.5) + rng.normal(0, 0.2, 400) + np.where(host == "a", 0.1, -0.1), 0, 1)
+    assert stuffing.host_weight(vote, host, label) == max(stuffing.HOST_WEIGHTS)
+    assert stuffing.host_weight(vote[:0], host[:0], label[:0]) == stuffing.HOST_WEIGHTS[0]
+
+
+def test_smoothing_turns_pages_of_bad_hosts(spark):
+    df = spark.createDataFrame([(0.45, 0.6), (0.45, 0.05), (0.55, 0.6), (0.55, 0.02), (1.0, 0.0), (0.0, 1.0)], "v double, r double")
+    got = [r.s > 0.5 for r in df.select(stuffing.smoothed(F.col("v"), F.col("r"), F.lit(0.1), 0.5).alias("s")).collect()]
+    assert got == [True, False, True, False, True, False]
