@@ -5,7 +5,7 @@ smoothed by the spam rate of the page's host (``source``).
 
 The weak labels come from rules that read the page line by line (``spam_share``: what share of it are links, tags, soup,
 stuffed sentences). The trees never see that share nor its parts: their features are counts over the whole page
-(repetition near and far, compressibility, marks, separators, links, tags, capitals). So the forest is free to disagree
+(repetition near and far, variety of words, marks, separators, links, tags, capitals). So the forest is free to disagree
 with the rules, and settles the pages on which they are unsure.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,11 +25,11 @@ from pyspark.sql import types as T
 from ..session import cut
 
 FEATURES = (
-    "log_words diversity top_word top_words repeated_pairs compressed link_lines links hashes closed ends separators prices words_per_line distinct_lines short_words link_hosts "
-    "near far near_pairs far_pairs markers hash_chars url_chars capitals numbers cells"
+    "log_words diversity top_word top_words repeated_pairs link_lines links hashes closed ends separators prices words_per_line distinct_lines short_words link_hosts "
+    "near far markers hash_chars url_chars capitals numbers cells"
 ).split()
 #: Pages that the rules label and the trees learn from, about; taken by a hash of the id. Twice as many at most.
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 #: Weak labels: pages with more (less) than this share of spam units; pages in between stay unlabelled.
 SURE_SPAM, SURE_HAM = 0.6, 0.4
 TREES, DEPTH, LEAF = 40, 10, 2
@@ -145,48 +144,51 @@ def spam_share(text: str) -> float:
     return (size["link"] + size["tag"] + size["block"] + size["stuffed"]) / total
 
 
-TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]+")
+HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+SIGNS = r"\u0300-\u036f\u064b-\u0652\u0900-\u0963\u0e31-\u0e4e"
+WORD, WORD_OR_HAN = re.compile(rf"[\w{SIGNS}]+"), re.compile(rf"[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])[\w{SIGNS}])+")
 HOST = re.compile(r"(?:https?://|www\.)([\w.-]+)")
 URL = re.compile(r"(?:https?://|www\.)\S+")
 HASHTAG = re.compile(r"#\w+")
 LISTED = re.compile(r"(?m)^[ \t]*(?:[-•*–]|\(?\w{1,3}[.)])\s.*$")
 MARKS = re.compile(r"[.!?…。！？؟।]")
 DIVIDERS = re.compile(r"[,|;·•>/、，&+*]")
-CAPITALS = re.compile(r"\b[^\W\d_a-z]{3,}\b")
-NUMBERS = re.compile(r"\d+")
+CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{3}")
+NUMBERS = re.compile(r"[0-9]+")
+MONEY = re.compile(r"[$€£¥]\s?[0-9]")
 
 
-def _returns(items: list, *reaches: int) -> list[float]:
-    """The share of the items that stood there already at most so many places before."""
+def _returns(items: list, near: int, far: int) -> tuple[float, float]:
+    """The shares of the items that stood there already at most ``near`` and at most ``far`` places before."""
     last: dict = {}
-    hits = [0] * len(reaches)
+    a = b = 0
     for i, x in enumerate(items):
-        if x in last:
-            back = i - last[x]
-            for k, reach in enumerate(reaches):
-                hits[k] += back <= reach
+        back = i - last.get(x, -far - 1)
+        if back <= far:
+            b += 1
+            if back <= near:
+                a += 1
         last[x] = i
-    return [h / max(1, len(items)) for h in hits]
+    n = max(1, len(items))
+    return a / n, b / n
 
 
 def page_features(text: str) -> list[float]:
     """The FEATURES of one text, counted over the whole page."""
-    words = TOKEN.findall(text.lower())
+    words = (WORD_OR_HAN if HAN.search(text) else WORD).findall(text.lower())
     n, m = len(words), max(1, len(words))
     counts = Counter(words)
-    pairs = list(zip(words, words[1:]))
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     chars = sum(map(len, lines)) or 1
-    hosts = HOST.findall(text)
-    raw = text.encode("utf-8", "replace")
+    linked = "http" in text or "www." in text
+    hosts, urls = (HOST.findall(text), URL.findall(text)) if linked else ([], [])
     top = counts.most_common(8)
-    whole = sum(map(len, URL.findall(text)))
     return [
-        math.log1p(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max((k for w, k in top if len(w) >= 4), default=0) / m, sum(k for _, k in top) / m, 1 - len(set(pairs)) / max(1, n - 1), len(zlib.compress(raw, 1)) / max(1, len(raw)),
-        sum(len(x) for x in lines if "http" in x or "www." in x) / chars, len(hosts) / m, text.count("#") / m, sum(len(x) for x in lines if CLOSED.search(x)) / chars, len(MARKS.findall(text)) / m, len(DIVIDERS.findall(text)) / m, len(PRICE.findall(text)) / m,
+        math.log1p(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max((k for w, k in top if len(w) >= 4), default=0) / m, sum(k for _, k in top) / m, 1 - len(set(zip(words, words[1:]))) / max(1, n - 1),
+        sum(len(x) for x in lines if "http" in x or "www." in x) / chars if linked else 0.0, len(hosts) / m, text.count("#") / m, sum(len(x) for x in lines if CLOSED.search(x)) / chars, len(MARKS.findall(text)) / m, len(DIVIDERS.findall(text)) / m, len(MONEY.findall(text)) / m,
         m / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(k for w, k in counts.items() if len(w) <= 3) / m, len(set(hosts)) / max(1, len(hosts)),
-        *_returns([w for w in words if len(w) >= 4], 8, 30), *_returns(pairs, 12, 40),
-        sum(map(len, LISTED.findall(text))) / chars, sum(map(len, HASHTAG.findall(text))) / chars, whole / chars, len(CAPITALS.findall(text)) / m, len(NUMBERS.findall(text)) / m, (text.count("|") + text.count("\t")) / m,
+        *_returns([w for w in words if len(w) >= 4], 8, 30),
+        sum(map(len, LISTED.findall(text))) / chars, sum(map(len, HASHTAG.findall(text))) / chars, sum(map(len, urls)) / chars, len(CAPITALS.findall(text)) / m, len(NUMBERS.findall(text)) / m, (text.count("|") + text.count("\t")) / m,
     ]
 
 
