@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lookalike import skeleton
 from ..session import table
 from . import confusables, leakage, names, packing, personal, pieces, sentences, stuffing
 
@@ -11,6 +14,27 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def _prototypes() -> str:
+    """The look-alike table as rows of SQL, one for each character whose consistent form is another text."""
+    rows = []
+    for code in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE)):
+        c = chr(code)
+        if (form := normalize("NFC", skeleton(c))) != c:
+            rows.append(f"({code}, '{form.replace(chr(39), chr(39) * 2)}')")
+    return ", ".join(rows)
+
+
+#: Strings of both tables with their consistent forms: character by character, then composed.
+LOOKS = f"""WITH proto(code, form) AS (VALUES {_prototypes()}),
+r AS (SELECT 'annotated_docs' AS record_type, document_key AS id, 0 AS d, '' AS c, text AS t FROM annotated_docs WHERE text IS NOT NULL AND document_key IS NOT NULL
+UNION ALL SELECT 'extractions', extraction_id, document_key, extraction_class, extraction_text FROM extractions WHERE extraction_text IS NOT NULL AND extraction_id IS NOT NULL AND document_key IS NOT NULL AND extraction_class IS NOT NULL),
+s AS (SELECT DISTINCT t, nfc_normalize(t) AS n FROM r), u AS (SELECT t, unnest(string_split(n, '')) AS ch, unnest(range(length(n))) AS i FROM s WHERE n <> ''),
+l AS (SELECT t, nfc_normalize(string_agg(coalesce(form, ch), '' ORDER BY i)) AS look FROM u LEFT JOIN proto ON code = unicode(ch) GROUP BY t),
+x AS (SELECT record_type, id, d, c, r.t, coalesce(look, '') AS look FROM r LEFT JOIN l ON l.t = r.t)"""
+
+ORACLE["p1_found"] = LOOKS + """ SELECT DISTINCT a.record_type, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM x a JOIN x b ON a.record_type = b.record_type AND a.look = b.look AND a.d = b.d AND a.c = b.c AND a.t <> b.t AND a.id < b.id"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -22,6 +46,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.found(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "extractions"))
 
 
+@query
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string that looks like a different one, with the class of its look and how many it is like."""
+    return confusables.classes(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "extractions"))
+
+
 @query
 def p1_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in the consistent form."""

@@ -30,6 +30,9 @@ def test_lookalike_pairs(spark):
     ex = spark.createDataFrame([(1, 1, "a", "Bay"), (2, 1, "a", "Вay"), (3, 2, "a", "Вay"), (4, 1, "b", "Вay"), (5, None, "a", "Вay")], "extraction_id long, document_key long, extraction_class string, extraction_text string")
     assert {tuple(r) for r in confusables.found(df, ex).filter("record_type = 'extractions'").collect()} == {("extractions", 1, 2)}
     assert confusables.lookalike_pairs(df.limit(0), "document_key", "text").count() == 0
+    links = confusables.lookalike_classes(df, "document_key", "text").collect()
+    assert sorted((r.id, r.n_links) for r in links) == [(1, 2), (2, 2), (2, 2), (4, 2), (6, 1), (7, 1), (8, 1), (9, 1)] and len({r.class_id for r in links}) == 3
+    assert confusables.lookalike_classes(df.limit(0), "document_key", "text").count() == 0
     assert {r.consistent_text for r in confusables.with_consistent_text(df.filter("document_key in (1, 2)")).collect()} == {"Nadia Bay"}
 
 
@@ -47,6 +50,8 @@ def test_a_hot_spelling_does_not_meet_itself(spark):
     rows = rows.unionByName(docs(spark, [(50_000, "Вay"), (50_001, "Bаy")]))
     pairs = confusables.lookalike_pairs(rows, "document_key", "text")
     assert pairs.count() == 2 * 20_000 + 1
+    links = {r.n_links: r.n for r in confusables.lookalike_classes(rows, "document_key", "text").groupBy("n_links").agg(F.count("*").alias("n")).collect()}
+    assert links == {2: 20_000, 20_001: 2}
 
 
 # ---- 2
