@@ -30,9 +30,6 @@ TWINS = {
 }
 # Other signs that print alike.
 SIGNS = {"‐": "-", "⁃": "-", "˗": "-", "ʼ": "’"}
-# Kana that print as other kana; a skeleton joins them, folding leaves them.
-KANA = dict(zip("へべぺ", "ヘベペ"))
-
 PROTOTYPES: dict[str, str] = {a: b for letters, latin in TWINS.values() for a, b in zip(letters, latin)} | SIGNS
 #: Compatibility forms whose difference is only width, a break rule, a ligature or a letter's place in the word.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"}
@@ -66,14 +63,15 @@ class _Table(dict):
 
 
 _TABLE = _Table()
-_SKELETON = _Table({ord(a): b for a, b in KANA.items()})
+#: A skeleton also joins the one kana whose two forms print alike; folding leaves it.
+_SKELETON = _Table({ord("へ"): "ヘ"})
 
 
 def skeleton(text: str | None) -> str | None:
     """Equal for two texts exactly if they print alike. Null stays null; ASCII text is its own skeleton."""
     if text is None or text.isascii():
         return text
-    return normalize("NFD", normalize("NFC", normalize("NFD", text).translate(_TABLE)).translate(_SKELETON))
+    return normalize("NFD", normalize("NFD", text).translate(_SKELETON))
 
 
 #: What is left in place by folding though its parts print alike: Thai and Lao vowels that are two signs in one.
