@@ -2,49 +2,58 @@
 
 Method: pigeonhole segment join. Each registered name's distinctive words are cut into k+1 segments; an inverted index
 holds the segments, the mention's words look up their substrings at every position an edit could have shifted them to,
-and a banded edit distance verifies the hits. Order, initials, nicknames, titles, legal forms and abbreviations are then
-compared word by word.
+and a banded edit distance verifies the hits. A swap of two letters over a segment's border would spoil two segments, so
+the index also holds the segments of the word with the letters at each border swapped. Order, initials, short forms of
+given names, titles, legal forms and abbreviations are then compared word by word. Which words are given names and which
+only tell an organisation's kind of business is read from the registered names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import category, normalize
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lookalike import skeleton
 from ..session import cut
 
-# Titles, nicknames, legal forms, words of organisations with their abbreviations, joining words.
+# Titles, legal forms, joining words.
 TITLES = set("mr mrs ms miss dr dra prof profa sr sra srta don dona hr herr fr frau mme mlle capt captain gov governor sir judge senhor senhora senor senora monsieur madame".split())
 INITIAL_TITLES = {"m", "d"}
-NICKNAMES = {
-    "alexander": "alex al sandy sasha lex", "anthony": "tony ant", "beatriz": "bia bea", "christopher": "chris kit topher", "daniel": "dan danny", "deborah": "deb debbie", "eduardo": "edu ed eddie dudu",
-    "elizabeth": "liz eliza beth lizzie betty ellie", "francisco": "paco chico pancho fran frank", "heinrich": "heinz heiner", "ingrid": "inga", "jennifer": "jenny jen", "joaquin": "quino", "jose": "ze pepe", "joseph": "joe joey",
-    "katherine": "kate kathy katie kat", "lucia": "lucy luz", "margaret": "peggy maggie meg marge", "maria": "mary mia", "michael": "mike mick mickey", "nadia": "nadja", "oskar": "ossi", "patricia": "pat patty tricia",
-    "renata": "rena", "richard": "rick dick rich ricky", "robert": "bob rob bobby bert", "samuel": "sam sammy", "susan": "sue susie suzy", "thomas": "tom tommy", "tomas": "tom tommy", "ulrike": "ulli rike uli",
-    "victoria": "vicky vic tori", "viktor": "vik vitja", "william": "bill will billy liam", "amina": "mina", "elodie": "elo", "frederic": "fred freddy", "goncalo": "gonza", "kenji": "ken", "priya": "pri", "yara": "yaya", "zelia": "zeli",
-}
 FORMS = {
     "ltd": "ltd", "limited": "ltd", "ltda": "ltda", "limitada": "ltda", "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "llc": "llc", "ag": "ag", "aktiengesellschaft": "ag", "gmbh": "gmbh",
-    "sa": "sa", "plc": "plc", "co": "co", "company": "co", "kg": "kg", "srl": "srl", "sarl": "sarl", "bv": "bv",
-}
-KINDS = {
-    "pharmaceuticals": "pharma pharm pharmaceutical", "industries": "ind inds industry", "manufacturing": "mfg manuf", "brothers": "bros bro", "laboratories": "labs lab laboratory", "logistics": "log logist", "textiles": "text tex textile",
-    "foods": "food fds", "consulting": "consult cons consultants", "services": "svcs svc serv service", "shipping": "ship shpg", "international": "intl int", "technologies": "tech techs technology", "engineering": "eng engr engg", "associates": "assoc assocs assn",
-    "energy": "en energ nrg", "holdings": "hldgs", "systems": "sys", "trading": "trdg",
+    "sa": "sa", "plc": "plc", "co": "co", "company": "co", "kg": "kg", "srl": "srl", "sarl": "sarl", "bv": "bv", "nv": "nv", "oy": "oy", "ab": "ab", "as": "as", "spa": "spa", "llp": "llp", "lp": "lp", "pty": "pty", "pte": "pte",
 }
 JOINERS = {"&", "+", "and", "e", "et", "y", "und", "u", "en", "i"}
-NICK = {(n, full) for full, names in NICKNAMES.items() for n in names.split()}
-KIND_OF = {k: full for full, names in KINDS.items() for k in [full, *names.split()]}
+# Short forms of given names that are no part of the name; what starts or ends the name follows by rule.
+NICKNAMES = {
+    "alexander": "sandy sasha", "alexandra": "sandra sasha", "anthony": "tony", "antonio": "tony toni tonio", "andrew": "drew", "anne": "nancy annie", "barbara": "babs", "catherine": "kate kitty", "charles": "chuck charlie", "christopher": "kit topher", "dorothy": "dolly dot",
+    "edward": "ted ned teddy", "eduardo": "dudu", "eleanor": "nell nora", "elizabeth": "liz lizzie betty bess", "ernesto": "neto", "francis": "frank", "francisco": "paco chico pancho frank", "frances": "fanny", "giovanni": "gianni", "giuseppe": "beppe pino", "guillermo": "memo",
+    "heinrich": "heinz heiner", "helen": "nell", "henry": "harry hank", "ignacio": "nacho", "isabel": "bel chabela", "jacob": "jake", "james": "jim jimmy", "jean": "jeannot", "jesus": "chuy", "joaquin": "quino", "johannes": "hans", "john": "jack", "jonathan": "jon", "jose": "ze pepe", "joseph": "joe joey",
+    "josef": "sepp", "katherine": "kate katie", "kenneth": "kenny", "lawrence": "larry", "lucia": "lucy luz", "luis": "lucho", "manuel": "manolo", "margaret": "peggy maggie meg marge daisy", "maria": "mary mia", "martha": "patty", "mary": "polly molly", "matilda": "tilda", "michael": "mike mick mickey",
+    "nadia": "nadja", "nathaniel": "nat nate", "patricia": "patty tricia", "peter": "pete", "rachel": "shelly", "richard": "dick rick ricky", "robert": "bob bobby bert", "rosario": "charo", "sarah": "sally", "sebastian": "bastian", "steven": "steve", "susan": "sue suzy", "theodore": "ted", "theresa": "tess",
+    "thomas": "tom tommy", "viktor": "vitja", "virginia": "ginny", "walter": "walt", "wilhelm": "willi", "william": "bill billy will liam", "yara": "yaya",
+}
+ENDINGS = ("ey", "ie", "y", "i", "a", "o", "e")
 LONG_FORMS = [(re.compile(r"\bsociedade anonima\b|\bsociedad anonima\b|\bsociete anonyme\b|\bs[./]? ?a\.?(?=$|[ ,])"), " sa "), (re.compile(r"\bg\.? ?m\.? ?b\.? ?h\b\.?"), " gmbh "), (re.compile(r"\bl\.? ?l\.? ?c\b\.?"), " llc "), (re.compile(r"\ba\.g\b\.?"), " ag "), (re.compile(r"\bgesellschaft mit beschrankter haftung\b"), " gmbh "), (re.compile(r"\blimited liability company\b"), " llc ")]
-#: Edits that a word may have; the segments are one more.
-K = 2
+#: Registered words of at least so many letters may have so many edits; shorter ones have to be equal.
+EDITS = ((9, 2), (4, 1))
+K = EDITS[0][1]
+#: A word of at least so many registered organisations, and of so large a share of them, tells only the kind of business.
+KIND_NAMES, KIND_SHARE = 3, 0.005
+#: What the description of a class for names of persons, of organisations holds.
+CLASS_WORDS = {"person": "natural person", "organisation": "company"}
+
+
+def allowed(length: int) -> int:
+    """How many edits a registered word of that length may have."""
+    return next((k for least, k in EDITS if length >= least), 0)
 
 
 def plain(text: str) -> str:
@@ -97,53 +106,80 @@ def person_words(text: str) -> tuple[list[str], bool]:
     return words, turned
 
 
-def organisation_words(text: str) -> tuple[list[str], str, str]:
-    """(distinctive words, kind of business or '', legal form or '')."""
+def organisation_words(text: str) -> tuple[list[str], str]:
+    """(words without legal forms and joining words, legal form or '')."""
     s = plain(text)
     for pattern, form in LONG_FORMS:
         s = pattern.sub(form, s)
-    words, kind, form = [], "", ""
+    words, form = [], ""
     for w in re.findall(r"[^\W_]+(?:['’-][^\W_]+)*|[&+]", s):
-        if w in JOINERS:
-            continue
         if w in FORMS:
             form = FORMS[w]
-        elif w in KIND_OF:
-            kind = KIND_OF[w]
-        else:
+        elif w not in JOINERS:
             words.append(w)
-    if not kind and len(words) > 1:
-        near = [(edits(w, k, 2), n, k) for n, w in enumerate(words) if len(w) >= 5 for k in KINDS if abs(len(w) - len(k)) <= 2]
-        near = [x for x in near if x[0] <= (1 if len(x[2]) < 8 else 2)]
-        if near:
-            _, n, kind = min(near)
-            del words[n]
-    return words, kind, form
-
-
-def given_cost(mention: str, name: str) -> int | None:
-    """What it costs to read one given name as another: 0 equal, nickname or initial, else edits; None if they differ.
-
-    Two different names that are both known are different, however near.
+    return words, form
+
+
+@lru_cache(maxsize=100_000)
+def is_short_form(short: str, name: str) -> bool:
+    """Whether ``short`` is a usual short form of a given name: listed, its start or end, or its start with an ending."""
+    if short in NICKNAMES.get(name, "").split():
+        return True
+    if len(short) >= 2 and len(name) - len(short) >= 2 and name.startswith(short) or len(short) >= 4 and name.endswith(short):
+        return True
+    for end in ENDINGS:
+        stem = short[: len(short) - len(end)]
+        if short.endswith(end) and len(stem) >= 2 and len(name) - len(stem) >= 2:
+            single = stem[:-1] if len(stem) > 2 and (stem[-1] == stem[-2] or stem.endswith("ck")) else stem
+            if name.startswith(stem) and len(stem) >= 3 or name.startswith(single) and len(single) >= 2 and single != stem or len(stem) >= 4 and stem in name:
+                return True
+    return False
+
+
+@lru_cache(maxsize=100_000)
+def abbreviates(short: str, word: str) -> bool:
+    """Whether ``short`` stands for the word: some of its letters in order with the first among them, the start of its
+    consonants, another ending to the same stem, or a typo."""
+    if short == word:
+        return True
+    if len(short) >= 2 and len(short) < len(word):
+        letters = iter(word)
+        if short[0] == word[0] and all(c in letters for c in short):
+            return True
+        consonants = "".join(c for c in word if c not in "aeiou")
+        if len(short) >= 3 and consonants.startswith(short):
+            return True
+    same = next((k for k, (a, b) in enumerate(zip(short, word)) if a != b), min(len(short), len(word)))
+    if same >= 5 and same >= 0.6 * len(word) and len(short) <= len(word) + 2:
+        return True
+    return len(word) >= 4 and edits(short, word, 1 if len(word) < 8 else 2) <= (1 if len(word) < 8 else 2)
+
+
+def given_cost(mention: str, name: str, known: frozenset | set = frozenset()) -> int | None:
+    """What it costs to read one given name as another: 0 equal, short form or initial, else edits; None if they differ.
+
+    A mention that is a registered given name itself (in ``known``) is no other one, however near.
     """
-    if mention == name or (mention, name) in NICK:
+    if mention == name:
         return 0
     if len(mention) == 1:
         return 0 if name.startswith(mention) else None
     if len(name) == 1:
         return 0 if mention.startswith(name) else None
-    if mention in NICKNAMES and name in NICKNAMES:
+    if mention in known:
         return None
+    if is_short_form(mention, name):
+        return 0
     if min(len(mention), len(name)) >= 3 and max(len(mention), len(name)) >= 4 and edits(mention, name, 1) <= 1:
         return 1
-    for nick, full in NICK:
-        if full == name and len(nick) >= 5 and edits(mention, nick, 1) <= 1:
-            return 1
+    if any(len(nick) >= 5 and edits(mention, nick, 1) <= 1 for nick in NICKNAMES.get(name, "").split()):
+        return 1
     return None
 
 
-def person_cost(text: str, legal: str) -> float | None:
-    """Edits and liberties between a mention and a registered person; None if the mention means somebody else."""
+def person_cost(text: str, legal: str, known: frozenset | set = frozenset()) -> float | None:
+    """Edits and liberties between a mention and a registered person; None if the mention means somebody else.
+    ``known``: those of the mention's words that are registered given names."""
     words, turned = person_words(text)
     name, _ = person_words(legal)
     if len(words) < 2 or len(name) < 2:
@@ -153,10 +189,10 @@ def person_cost(text: str, legal: str) -> float | None:
     for n, order in enumerate(orders):
         *given, surname = order
         *own, family = name
-        d = edits(surname, family, 1 if len(family) < 9 else 2)
-        if d > (1 if len(family) < 9 else 2):
+        d = edits(surname, family, allowed(len(family)))
+        if d > allowed(len(family)):
             continue
-        c = given_cost(given[0], own[0])
+        c = given_cost(given[0], own[0], known)
         if c is None or c + d > 2:
             continue
         middle, mine = given[1:], own[1:]
@@ -173,96 +209,140 @@ def person_cost(text: str, legal: str) -> float | None:
     return best
 
 
-def organisation_cost(text: str, legal: str) -> float | None:
-    words, kind, form = organisation_words(text)
-    own, own_kind, own_form = organisation_words(legal)
-    if len(words) != len(own) or not words:
+def organisation_cost(text: str, legal: str, kinds: frozenset | set = frozenset()) -> float | None:
+    """Edits and liberties between a mention and a registered organisation; None if the mention means another one.
+    ``kinds``: those of both names' words that only tell a kind of business."""
+    words, form = organisation_words(text)
+    own, own_form = organisation_words(legal)
+    own_kinds = [w for w in own if w in kinds]
+    own = [w for w in own if w not in kinds] or own
+    if len(own_kinds) and own_kinds[0] in own:
+        own_kinds = []
+    if form and own_form and form != own_form:
         return None
     total = 0.0
-    left = list(own)
-    for w in words:
-        d, name = min((edits(w, x, K), x) for x in left)
-        if d > (1 if len(name) < 9 else K):
+    left = list(words)
+    for name in own:
+        d, w = min(((edits(w, name, K), w) for w in left if w not in kinds or w == name), default=(K + 1, ""))
+        if d > allowed(len(name)):
             return None
         total += d
-        left.remove(name)
+        left.remove(w)
     if total > 2:
         return None
-    if kind and own_kind and kind != own_kind or form and own_form and form != own_form:
-        return None
-    return total + 0.2 * (kind != own_kind) + 0.1 * (form != own_form)
+    missing = list(own_kinds)
+    for w in left:
+        kind = next((k for k in missing if abbreviates(w, k)), None) if w not in kinds else w if w in missing else None
+        if kind is None:
+            return None
+        missing.remove(kind)
+    return total + 0.2 * bool(missing) + 0.1 * (form != own_form)
 
 
-def _piece(word: F.Column, length: F.Column, i: int, shift: F.Column) -> F.Column:
-    """(length, number, text) of segment i of a word of that length, read ``shift`` places further in ``word``."""
-    start, end = F.floor(length * i / (K + 1)), F.floor(length * (i + 1) / (K + 1))
-    text = F.substring(word, (start + shift + 1).cast("int"), (end - start).cast("int"))
-    return F.struct(length.cast("int").alias("length"), F.lit(i).alias("number"), text.alias("piece"))
+def _edits_allowed(length: Column) -> Column:
+    out = F.lit(0)
+    for least, k in reversed(EDITS):
+        out = F.when(length >= least, k).otherwise(out)
+    return out
 
 
-def _segments(word: F.Column) -> F.Column:
-    """The K+1 segments of a registered word."""
-    return F.array(*[_piece(word, F.length(word), i, F.lit(0)) for i in range(K + 1)])
+def _border(length: Column, i: Column, k: Column) -> Column:
+    """Where segment i of k+1 begins in a word of that length."""
+    return F.floor(length * i / (k + 1)).cast("int")
 
 
-def _probes(word: F.Column) -> F.Column:
-    """All (length, number, substring) under which a word can meet the segments of a word within K edits.
+def _segments(word: Column) -> Column:
+    """(length, number, text) of the segments of a registered word, and of the word with the letters at a border swapped."""
+    n, k = F.length(word), _edits_allowed(F.length(word))
 
-    Before segment i at most i edits can lie, and after it at most K-i: so the first segment keeps its place, the last
-    its distance from the end, and those between shift by one at most (K = 2).
-    """
-    n, zero = F.length(word), F.lit(0)
-    at = lambda length: F.array(_piece(word, length, 0, zero), *[_piece(word, length, 1, F.lit(d)) for d in (-1, 0, 1)], _piece(word, length, 2, n - length))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(n - K, F.lit(K + 1)), F.greatest(n + K, F.lit(K + 1))), at)))
+    def swapped(i: Column) -> Column:
+        b = _border(n, i, k)
+        return F.concat(F.substring(word, F.lit(1), b - 1), F.substring(word, b + 1, F.lit(1)), F.substring(word, b, F.lit(1)), F.substring(word, b + 2, n))
 
+    forms = F.when(k > 0, F.concat(F.array(word), F.transform(F.sequence(F.lit(1), k), swapped))).otherwise(F.array(word))
+    each = lambda w: F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(n.alias("length"), i.alias("number"), F.substring(w, _border(n, i, k) + 1, _border(n, i + 1, k) - _border(n, i, k)).alias("piece")))
+    return F.array_distinct(F.flatten(F.transform(forms, each)))
 
-_KEYS = "text string, kind string, word string"
 
+def _probes(word: Column) -> Column:
+    """All (length, number, substring) under which a word can meet the segments of a registered word.
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """(text, kind, word): the words of a name that may be its distinctive ones."""
+    A segment that no edit touched stands shifted by d if the edits before it changed the length by d and those behind it
+    by the rest, so |d| + |rest| is at most the edits allowed.
+    """
+    n = F.length(word)
+    out = []
+    for delta in range(-K, K + 1):  # the registered word is so much longer
+        length = n + delta
+        k = _edits_allowed(length)
+        for d in range(-K, K + 1):  # the segment stands so much further on in the word at hand
+            cost = abs(d) + abs(-delta - d)
+            if cost > K:
+                continue
+            for i in range(K + 1):
+                start, end = _border(length, F.lit(i), k), _border(length, F.lit(i + 1), k)
+                fits = (length > 0) & (k >= cost) & (k >= i) & (start + d >= 0) & (end + d <= n)
+                out.append(F.when(fits, F.struct(length.alias("length"), F.lit(i).alias("number"), F.substring(word, start + d + 1, end - start).alias("piece"))))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+
+
+def _words(rows: DataFrame, text: str, own: bool) -> DataFrame:
+    """(kind, text, word, role) of the distinct names: ``key`` words, that a registered name may be met by, and ``given``
+    names. A mention's order is open, so its first and last word can be either; a registered name's is not."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, kind in zip(b.text, b.kind):
+            for name, kind in zip(b.text, b.kind):
                 if kind == "person":
-                    words, _ = person_words(text)
-                    words = {words[0], words[-1]} if len(words) > 1 else set()
+                    words, _ = person_words(name)
+                    if len(words) > 1:
+                        out += [(kind, name, w, "key") for w in ({words[-1]} if own else {words[0], words[-1]})]
+                        out += [(kind, name, w, "given") for w in ({words[0]} if own else set(words))]
                 else:
-                    words = set(organisation_words(text)[0])
-                out.extend((text, kind, w) for w in words if len(w) > K)
-            yield pd.DataFrame(out, columns=["text", "kind", "word"])
+                    out += [(kind, name, w, "key") for w in set(organisation_words(name)[0])]
+            yield pd.DataFrame(out, columns=["kind", "text", "word", "role"])
 
-    return rows.mapInPandas(scan, _KEYS)
+    return rows.select(F.col(text).alias("text"), "kind").distinct().mapInPandas(scan, "kind string, text string, word string, role string")
 
 
-def _party_index(parties: DataFrame) -> DataFrame:
-    """(party_id, kind, legal_name, word): the distinctive words of each registered name."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, kind, legal in zip(b.party_id, b.kind, b.legal_name):
-                words = person_words(legal)[0][-1:] if kind == "person" else organisation_words(legal)[0]
-                out.extend((i, kind, legal, w) for w in set(words) if len(w) > K)
-            yield pd.DataFrame(out, columns=["party_id", "kind", "legal_name", "word"])
+def kind_words(words: DataFrame) -> DataFrame:
+    """(word): words that so many registered organisations share that they only tell a kind of business.
 
-    return parties.mapInPandas(scan, "party_id long, kind string, legal_name string, word string")
+    At most 1 / KIND_SHARE times the words of an average name, whatever the number of organisations.
+    """
+    own = words.filter("kind = 'organisation' and role = 'key'")
+    counts = own.groupBy("word").agg(F.count("*").alias("n"))
+    total = own.agg(F.count_distinct("text").alias("total"))
+    limit = F.greatest(F.lit(KIND_NAMES), F.ceil(F.col("total") * KIND_SHARE))
+    return counts.join(F.broadcast(total), F.col("n") >= limit).select("word")  # the total is one row
 
 
 @F.pandas_udf(T.IntegerType())
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, K) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([edits(x, y, allowed(len(y))) - allowed(len(y)) for x, y in zip(a, b)], dtype="int32")
 
 
 @F.pandas_udf(T.DoubleType())
-def _cost(text: pd.Series, legal: pd.Series, kind: pd.Series) -> pd.Series:
+def _cost(text: pd.Series, legal: pd.Series, kind: pd.Series, known: pd.Series) -> pd.Series:
     """Null (nan) where the two don't mean the same."""
-    out = [person_cost(t, n) if k == "person" else organisation_cost(t, n) for t, n, k in zip(text, legal, kind)]
+    out = [(person_cost if k == "person" else organisation_cost)(t, n, frozenset(w if w is not None else ())) for t, n, k, w in zip(text, legal, kind, known)]
     return pd.Series([float("nan") if x is None else x for x in out], dtype="float64")
 
 
+def near_words(words: DataFrame, registered: DataFrame) -> DataFrame:
+    """(word, registered_word): all pairs of the distinct words within the edits that the registered word allows.
+
+    The join is on (length, segment number, segment text); no pair is formed that shares no segment. The pairs are spread
+    evenly before their distance is worked out.
+    """
+    inverted = registered.select("word").distinct().select(F.col("word").alias("registered_word"), F.explode(_segments(F.col("word"))).alias("s")).select("registered_word", "s.*")
+    probes = words.select("word").distinct().select("word", F.explode(_probes(F.col("word"))).alias("s")).select("word", "s.*")
+    met = probes.join(inverted, ["length", "number", "piece"]).select("word", "registered_word").distinct()
+    spread = met.repartition(max(8, words.sparkSession.sparkContext.defaultParallelism))
+    return spread.filter(_edits("word", "registered_word") <= 0)
+
+
 def link_spellings(mentions: DataFrame, parties: DataFrame, text_col: str = "text", kind_col: str = "kind") -> DataFrame:
     """(text, kind, party_id, cost): each distinct mention that means exactly one registered party, itself included.
 
@@ -271,29 +351,34 @@ def link_spellings(mentions: DataFrame, parties: DataFrame, text_col: str = "tex
     repeated rows count once; an empty table on either side gives an empty result; other columns are ignored.
 
     Names are reduced to distinct strings and those to distinct words before the segment join, so a name that a third of
-    all rows carry is looked up once. The join is on (length, segment number, segment text); no pair is formed that
-    shares no segment.
+    all rows carry is looked up once. Which words are given names or kinds of business is joined to each name.
     """
-    rows = mentions.select(F.col(text_col).alias("text"), F.col(kind_col).alias("kind")).dropna().filter("kind in ('person', 'organisation')").distinct()
-    keys = cut(_keys(rows))
+    rows = mentions.select(F.col(text_col).alias("text"), F.col(kind_col).alias("kind")).dropna().filter("kind in ('person', 'organisation')")
     registered = parties.select(F.col("party_id").cast("long").alias("party_id"), F.col("party_class").alias("kind"), F.col("legal_name")).dropna().distinct()
-    index = cut(_party_index(registered))
-    inverted = index.select("word").distinct().select(F.col("word").alias("registered_word"), F.explode(_segments(F.col("word"))).alias("s")).select("registered_word", "s.*")
-    probes = keys.select("word").distinct().select("word", F.explode(_probes(F.col("word"))).alias("s")).select("word", "s.*")
-    met = probes.join(inverted, ["length", "number", "piece"]).select("word", "registered_word").distinct()
-    near = met.filter(_edits("word", "registered_word") <= K)
-    pairs = keys.join(near, "word").join(index.withColumnRenamed("word", "registered_word"), ["registered_word", "kind"])
-    scored = pairs.select("text", "kind", "party_id", "legal_name").distinct().withColumn("cost", _cost("text", "legal_name", "kind")).filter(~F.isnan("cost"))
-    scored = cut(scored)
+    own = cut(_words(registered, "legal_name", True))
+    kinds = kind_words(own)
+    marked = cut(own.filter("role = 'given'").select("kind", "word").distinct().unionByName(kinds.select(F.lit("organisation").alias("kind"), "word")))
+    words = cut(_words(rows, "text", False).join(marked.withColumn("marked", F.lit(True)), ["kind", "word"], "left"))
+    known = words.filter("marked and (role = 'given' or kind = 'organisation')").groupBy("kind", "text").agg(F.collect_set("word").alias("known"))
+    own_kinds = own.filter("kind = 'organisation' and role = 'key'").join(kinds, "word", "left_semi").groupBy("kind", F.col("text").alias("legal_name")).agg(F.collect_set("word").alias("own_known"))
+    index = own.filter("role = 'key'").join(kinds.withColumn("kind", F.lit("organisation")), ["kind", "word"], "left_anti").select("kind", F.col("text").alias("legal_name"), "word")
+    bare = own.filter("kind = 'organisation'").select("kind", F.col("text").alias("legal_name")).distinct().join(index, ["kind", "legal_name"], "left_anti")
+    index = cut(index.unionByName(bare.join(own.filter("role = 'key'").withColumnRenamed("text", "legal_name"), ["kind", "legal_name"]).select("kind", "legal_name", "word")))
+    keys = words.filter("role = 'key'").select("kind", "text", "word")
+    near = cut(near_words(keys, index))
+    pairs = keys.join(near, "word").join(index.withColumnRenamed("word", "registered_word"), ["registered_word", "kind"]).select("text", "kind", "legal_name").distinct()
+    pairs = pairs.join(known, ["kind", "text"], "left").join(own_kinds, ["kind", "legal_name"], "left")
+    every = F.concat(F.coalesce("known", F.array().cast("array<string>")), F.coalesce("own_known", F.array().cast("array<string>")))
+    scored = pairs.withColumn("cost", _cost("text", "legal_name", "kind", every)).filter(~F.isnan("cost"))
+    scored = cut(scored.join(registered, ["kind", "legal_name"]).select("text", "kind", "party_id", "cost"))
     best = scored.groupBy("text", "kind").agg(F.min("cost").alias("least"), F.min_by("party_id", "cost").alias("party_id"))
     ties = scored.join(best.select("text", "kind", "least"), ["text", "kind"]).filter("cost <= least + 0.01").groupBy("text", "kind").agg(F.count_distinct("party_id").alias("n"))
     return best.join(ties.filter("n = 1"), ["text", "kind"]).select("text", "kind", "party_id", F.col("least").alias("cost"))
 
 
-def name_mentions(extractions: DataFrame, schema_classes: DataFrame) -> DataFrame:
-    """(extraction_id, text, kind) of the extractions whose class is for names, told by the class's description."""
-    d = F.col("description")
-    kind = F.when(d.contains("natural person"), "person").when(d.contains("company"), "organisation")
+def name_mentions(extractions: DataFrame, schema_classes: DataFrame, class_words: dict[str, str] = CLASS_WORDS) -> DataFrame:
+    """(extraction_id, text, kind) of the extractions whose class is for names, told by what its description holds."""
+    kind = F.coalesce(*[F.when(F.col("description").contains(held), name) for name, held in class_words.items()])
     classes = schema_classes.select(F.col("project_id"), F.col("class_id").alias("extraction_class"), kind.alias("kind")).dropna().distinct()
     rows = extractions.select("extraction_id", "project_id", "extraction_class", F.col("extraction_text").alias("text")).dropna()
     return rows.join(classes, ["project_id", "extraction_class"]).select("extraction_id", "text", "kind")

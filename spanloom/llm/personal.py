@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lookalike import fold
 from ..session import is_small
-from .names import FORMS, KIND_OF, NICKNAMES, edits, plain
+from .names import FORMS, NICKNAMES, edits, plain
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -53,7 +53,7 @@ ADDRESS_PT = re.compile(rf"(?:Rua|Av\.|Avenida|Travessa|Largo|Praça|Alameda|Est
 ADDRESSES = (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES, ADDRESS_PT)
 
 WORD = re.compile(rf"[{L}]+(?:['’-](?![sS](?![{L}]))[{L}]+)*")
-NOT_SURNAMES = {plain(w) for w in [*FORMS, *KIND_OF]} | set("the this that and street avenue lane road lot annex summary section order sample seal container freight gross net transit vertrag paket nachtschicht hafenausschuss".split())
+NOT_SURNAMES = {plain(w) for w in FORMS} | set("the this that and street avenue lane road lot annex summary section order sample seal container freight gross net transit vertrag paket nachtschicht hafenausschuss".split())
 
 
 class Lexicon:

@@ -119,22 +119,44 @@ def test_wrapped_text_equals_unwrapped():
     ("Torviborida & Ekvinard Shpiping", "organisation", 4), ("", "person", None), ("x", "organisation", None),
 ])
 def test_spellings(spark, text, kind, want):
-    costs = {i: (names.person_cost if k == "person" else names.organisation_cost)(text, n) for i, k, n in PARTIES if k == kind and i and n}
+    marked = {"person": frozenset(["daniel", "elodie", "elizabeth", "eduardo"]), "organisation": frozenset(["laboratories", "shipping", "foods"])}[kind]
+    costs = {i: (names.person_cost if k == "person" else names.organisation_cost)(text, n, marked) for i, k, n in PARTIES if k == kind and i and n}
     costs = {i: c for i, c in costs.items() if c is not None}
     best = [i for i, c in costs.items() if c <= min(costs.values()) + 0.01]
     assert (best[0] if len(best) == 1 else None) == want
 
 
-def test_segment_join_equals_brute_force(spark):
+def _typo(rng, s):
+    """One edit: a letter left out, put in or changed, or two neighbours swapped."""
+    i = rng.randrange(len(s) - 1)
+    return rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("abxyz") + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + rng.choice("abxyz") + s[i + 1 :]])
+
+
+def test_segment_join_loses_no_pair(spark):
+    rng = random.Random(15)
+    made = lambda n: "".join(rng.choice("abcdeklmnorst") for _ in range(n))
+    registered = sorted({made(n) for n in range(1, 15) for _ in range(25)} | {"ng", "li", "wu", "abcdefghi"})
+    words = {"abdcefghx", "li", "lo"}
+    for w in registered:
+        for _ in range(3):
+            x = w
+            for _ in range(names.allowed(len(w))):
+                x = _typo(rng, x)
+            words.add(x)
+    want = {(a, b) for a in words for b in registered if names.edits(a, b, names.allowed(len(b))) <= names.allowed(len(b))}
+    df = lambda rows: spark.createDataFrame([(w,) for w in rows], "word string")
+    got = {tuple(r) for r in names.near_words(df(sorted(words)), df(registered)).collect()}
+    assert got == want and ("abdcefghx", "abcdefghi") in got and ("li", "li") in got and ("lo", "li") not in got
+
+
+def test_links_equal_brute_force(spark):
     rng = random.Random(5)
-    legal = [(k, "person", f"{g} {''.join(rng.choice(['ka', 'lo', 'mi', 'ren', 'tos']) for _ in range(rng.randint(2, 4)))}") for k, g in enumerate(["Daniel", "Maria", "Robert"] * 6)]
-    def typo(s):
-        i = rng.randrange(len(s) - 1)
-        return rng.choice([s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :], s])
-    mentions = sorted({typo(n) for _, _, n in legal for _ in range(6)})
+    legal = [(k, "person", f"{g} {''.join(rng.choice(['ka', 'lo', 'mi', 'ren', 'tos']) for _ in range(rng.randint(1, 4)))}") for k, g in enumerate(["Daniel", "Maria", "Robert", "Zuzana", "Thandiwe"] * 6)]
+    mentions = sorted({_typo(rng, n) if rng.random() < 0.7 else n for _, _, n in legal for _ in range(6)})
+    known = frozenset(names.plain(n).split()[0] for _, _, n in legal)
     want = set()
     for m in mentions:
-        costs = {i: c for i, _, n in legal if (c := names.person_cost(m, n)) is not None}
+        costs = {i: c for i, _, n in legal if (c := names.person_cost(m, n, known)) is not None}
         near = [i for i, c in costs.items() if c <= min(costs.values()) + 0.01]
         if len(near) == 1:
             want.add((m, near[0]))
@@ -144,6 +166,18 @@ def test_segment_join_equals_brute_force(spark):
     assert names.link_spellings(rows.limit(0), p).count() == 0 and names.link_spellings(rows, p.limit(0)).count() == 0
 
 
+def test_kinds_of_business_come_from_the_table(spark):
+    legal = [(k, "organisation", f"{n} {kind}") for k, (n, kind) in enumerate((n, kind) for n in ("Zubrano", "Kelwick", "Orlotta") for kind in ("Tanneries", "Orchards"))] + [(10, "organisation", "Marrow Lighting")]
+    p = spark.createDataFrame(legal, "party_id long, party_class string, legal_name string")
+    rows = spark.createDataFrame([(t, "organisation") for t in ("Zubrano Tann.", "Kelwick Orchrds", "Orlota Tanneries", "Orlotta", "Marrow Lightng", "Tanneries Zubrano", "Zubrano Lighting")], "text string, kind string")
+    assert {(r.text, r.party_id) for r in names.link_spellings(rows, p).collect()} == {("Zubrano Tann.", 0), ("Kelwick Orchrds", 3), ("Orlota Tanneries", 4), ("Marrow Lightng", 10), ("Tanneries Zubrano", 0)}
+
+
+@pytest.mark.parametrize("short,name,want", [("danny", "daniel", True), ("tilly", "matilda", False), ("jo", "joanna", True), ("vicky", "victoria", True), ("mario", "maria", False), ("zuza", "zuzana", True), ("thandi", "thandiwe", True), ("bob", "robert", True), ("anna", "hanna", True), ("peter", "paul", False)])
+def test_short_forms(short, name, want):
+    assert names.is_short_form(short, name) == want
+
+
 def test_linked_extractions(spark):
     ex = spark.createDataFrame([(1, 9, "who", "Dan Casmümbe", "c"), (2, 9, "who", "Daniel R. Casmümbe", "c"), (3, 9, "when", "Dan Casmümbe", "c"), (4, 9, "who", None, "c"), (5, None, "who", "Dan Casmümbe", "c"), (6, 9, "who", "z" * 5000, "c"), (1, 9, "who", "Dan Casmümbe", "c")], "extraction_id long, project_id long, extraction_class string, extraction_text string, kind string")
     classes = spark.createDataFrame([(9, "who", "a natural person, as named"), (9, "when", "a date")], "project_id long, class_id string, description string")
