@@ -312,10 +312,8 @@ def kind_words(words: DataFrame) -> DataFrame:
     At most 1 / KIND_SHARE times the words of an average name, whatever the number of organisations.
     """
     own = words.filter("kind = 'organisation' and role = 'key'")
-    counts = own.groupBy("word").agg(F.count("*").alias("n"))
-    total = own.agg(F.count_distinct("text").alias("total"))
-    limit = F.greatest(F.lit(KIND_NAMES), F.ceil(F.col("total") * KIND_SHARE))
-    return counts.join(F.broadcast(total), F.col("n") >= limit).select("word")  # the total is one row
+    total = own.agg(F.count_distinct("text").alias("n")).first()["n"]
+    return own.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= max(KIND_NAMES, total * KIND_SHARE)).select("word")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -323,6 +321,10 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y, allowed(len(y))) - allowed(len(y)) for x, y in zip(a, b)], dtype="int32")
 
 
+#: Not to be moved in front of the exchange that takes repeated pairs out and spreads the rest.
+_edits = _edits.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def _cost(text: pd.Series, legal: pd.Series, kind: pd.Series, known: pd.Series) -> pd.Series:
     """Null (nan) where the two don't mean the same."""
@@ -333,14 +335,15 @@ def _cost(text: pd.Series, legal: pd.Series, kind: pd.Series, known: pd.Series)
 def near_words(words: DataFrame, registered: DataFrame) -> DataFrame:
     """(word, registered_word): all pairs of the distinct words within the edits that the registered word allows.
 
-    The join is on (length, segment number, segment text); no pair is formed that shares no segment. The pairs are spread
-    evenly before their distance is worked out.
+    The join is on (length, segment number, segment text); no pair is formed that shares no segment. Pairs with more plain
+    edits than swaps could explain are dropped at once, the rest spread evenly before their distance is worked out.
     """
     inverted = registered.select("word").distinct().select(F.col("word").alias("registered_word"), F.explode(_segments(F.col("word"))).alias("s")).select("registered_word", "s.*")
-    probes = words.select("word").distinct().select("word", F.explode(_probes(F.col("word"))).alias("s")).select("word", "s.*")
-    met = probes.join(inverted, ["length", "number", "piece"]).select("word", "registered_word").distinct()
-    spread = met.repartition(max(8, words.sparkSession.sparkContext.defaultParallelism))
-    return spread.filter(_edits("word", "registered_word") <= 0)
+    parts = max(8, words.sparkSession.sparkContext.defaultParallelism)
+    probes = words.select("word").distinct().repartition(parts).select("word", F.explode(_probes(F.col("word"))).alias("s")).select("word", "s.*")
+    far = F.levenshtein("word", "registered_word", 2 * K)  # a swap is two of its edits; -1 is more
+    met = probes.join(inverted, ["length", "number", "piece"]).filter((far >= 0) & (far <= 2 * _edits_allowed(F.col("length")))).select("word", "registered_word").distinct()
+    return met.repartition(parts).withColumn("over", _edits("word", "registered_word")).filter("over <= 0").drop("over")
 
 
 def link_spellings(mentions: DataFrame, parties: DataFrame, text_col: str = "text", kind_col: str = "kind") -> DataFrame:
@@ -356,7 +359,7 @@ def link_spellings(mentions: DataFrame, parties: DataFrame, text_col: str = "tex
     rows = mentions.select(F.col(text_col).alias("text"), F.col(kind_col).alias("kind")).dropna().filter("kind in ('person', 'organisation')")
     registered = parties.select(F.col("party_id").cast("long").alias("party_id"), F.col("party_class").alias("kind"), F.col("legal_name")).dropna().distinct()
     own = cut(_words(registered, "legal_name", True))
-    kinds = kind_words(own)
+    kinds = cut(kind_words(own))
     marked = cut(own.filter("role = 'given'").select("kind", "word").distinct().unionByName(kinds.select(F.lit("organisation").alias("kind"), "word")))
     words = cut(_words(rows, "text", False).join(marked.withColumn("marked", F.lit(True)), ["kind", "word"], "left"))
     known = words.filter("marked and (role = 'given' or kind = 'organisation')").groupBy("kind", "text").agg(F.collect_set("word").alias("known"))
