@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from decimal import Context, Decimal, InvalidOperation
 from fractions import Fraction
 from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lookalike import fold
 from ..session import cut, is_small
@@ -89,6 +90,7 @@ def units() -> list[tuple[str, str, str, list[str], list[str]]]:
 
 
 UNITS = units()
+EXACT = Context(prec=60)
 # Languages that write a decimal comma, multiplying words, number words, words of vague amounts.
 DECIMAL_COMMA = {"de", "fr", "es", "pt", "it", "nl"}
 MULTIPLES = {"k": 1000, "thousand": 1000, "mil": 1000, "mille": 1000, "tausend": 1000, "tsd": 1000, "million": 10**6, "millions": 10**6, "mn": 10**6, "millones": 10**6, "milhões": 10**6, "millionen": 10**6, "billion": 10**9, "dozen": 12, "万": 10**4, "億": 10**8, "亿": 10**8, "千": 1000, "百万": 10**6}
@@ -212,7 +214,9 @@ def _structured(normalized: str | None) -> tuple[list[tuple[list[Fraction], str]
         value = next((j[k] for k in ("value", "v", "amount", "number") if k in j), None)
         unit = next((j[k] for k in ("unit", "u", "units") if isinstance(j.get(k), str)), "")
         try:
-            number = [Fraction(Decimal(str(value)))] if value is not None and not isinstance(value, bool) else None
+            exact = Decimal(str(value)) if value is not None and not isinstance(value, bool) else None
+            # a number beyond 10^60 fits no unit's bigint and would only take time
+            number = [Fraction(exact)] if exact is not None and exact.is_finite() and abs(exact.adjusted()) <= 60 else None
         except (InvalidOperation, ValueError, OverflowError):
             number = None
         return ([(number, _spelling(unit))] if number else None), _spelling(unit) or None
@@ -258,6 +262,7 @@ def read_quantity(text: str | None, normalized: str | None, lang: str | None) ->
     return [(f"{v.numerator}/{v.denominator}", u) for v, u in pick]
 
 
+VOWELS = "aeiouáéíóúâêôãõäöüàè"
 WORD_UNIT = re.compile(r"[^\W\d_][\w° .³'\"-]{0,24}|°[CF]|[\"']")
 
 
@@ -279,10 +284,14 @@ class Aliases:
                     self.lower[f"{head}{ending} {rest}{ending}".strip()].add(n)
                     if rest:
                         self.lower[f"{head} {rest}{ending}"].add(n)
+        self.shape: dict[str, tuple[int, Counter]] = {}
+        self.by_length: dict[int, list[str]] = defaultdict(list)
         for name in self.lower:
-            if len(name) >= 5:
+            if len(name) >= 3:
                 for g in self._grams(name):
                     self.grams[g].add(name)
+                self.shape[name] = len(self._grams(name)), self._consonants(name)
+                self.by_length[len(name)].append(name)
 
     @staticmethod
     def _key(s: str) -> str:
@@ -294,27 +303,46 @@ class Aliases:
         s = f"^{s}$"
         return {s[i : i + 2] for i in range(len(s) - 1)}
 
+    @staticmethod
+    def _consonants(s: str) -> Counter:
+        return Counter(c for c in s if c not in VOWELS)
+
+    def near(self, s: str) -> list[tuple[float, str]]:
+        """(distance, name) of all known names within the distance that a spelling of that length may have.
+
+        An edit costs a half at least and touches three bigrams at most, so a name shares all but six for each point of
+        the distance. Where that leaves none to share, the index can't help, and names with nearly the same consonants
+        are tried: a point changes two of them at most. Spellings of three or four letters may double or swap letters only.
+        """
+        if len(s) < 3:
+            return []
+        most = 0.5 if len(s) < 5 else 1.0 if len(s) < 8 else 2.0
+        own = self._grams(s)
+        shared: dict[str, int] = defaultdict(int)
+        for g in own:
+            for name in self.grams.get(g, ()):
+                shared[name] += 1
+        mine = self._consonants(s)
+        out = []
+        for length in range(max(3, len(s) - int(2 * most)), len(s) + int(2 * most) + 1):
+            for name in self.by_length.get(length, ()):
+                grams, consonants = self.shape[name]
+                if shared.get(name, 0) < max(len(own), grams) - 6 * most:
+                    continue
+                if sum(((mine - consonants) + (consonants - mine)).values()) > 2 * most:
+                    continue
+                d = weighted_distance(s, name, most, VOWELS if len(s) >= 5 else "")
+                if d <= most:
+                    out.append((d, name))
+        return out
+
     def look_up(self, spelling: str) -> int | None:
         if spelling in self.exact:
             return self.exact[spelling]
         s = self._key(spelling).replace(".", "")
         if len(hit := self.lower.get(s, ())) == 1:
             return next(iter(hit))
-        if len(s) < 5 or len(s) > 40:
-            return None
-        most = 1.0 if len(s) < 8 else 2.0
-        shared: dict[str, int] = defaultdict(int)
-        own = self._grams(s)
-        for g in own:
-            for name in self.grams.get(g, ()):
-                shared[name] += 1
-        near = []
-        for name, n in shared.items():
-            # one edit touches at most two bigrams (three if it swaps), so nearer names share at least so many
-            if n >= max(len(own), len(name) + 1) - 3 * most and abs(len(name) - len(s)) <= 2 * most:
-                d = weighted_distance(s, name, most)
-                if d <= most:
-                    near.append((d, name))
+        near = self.near(s)
         if not near:
             return None
         best = min(near)[0]
@@ -322,9 +350,8 @@ class Aliases:
         return next(iter(units)) if len(units) == 1 else None
 
 
-def weighted_distance(a: str, b: str, most: float) -> float:
+def weighted_distance(a: str, b: str, most: float, vowels: str = VOWELS) -> float:
     """Edit distance where a doubled letter, a swap or a changed vowel costs half; more than ``most`` may come out as inf."""
-    vowels = "aeiouáéíóúâêôãõäöüàè"
     before: list[float] = []
     row = [j * 1.0 for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
@@ -337,7 +364,7 @@ def weighted_distance(a: str, b: str, most: float) -> float:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, last[j - 2] + 0.5)
             row.append(d)
-        if min(row) > most:
+        if min(row) > most and min(before) > most:
             return float("inf")
     return row[-1]
 
@@ -356,13 +383,29 @@ def alias_dictionary(spellings: DataFrame, col: str = "spelling") -> DataFrame:
     return distinct.mapInPandas(scan, "spelling string, unit string, dimension string, size decimal(23,7)")
 
 
+@F.pandas_udf(T.DecimalType(38, 10))
+def _amount(number: pd.Series, unit: pd.Series, size: pd.Series) -> pd.Series:
+    """The number, however many digits it has, in the common unit; cut after ten decimals, so that halves round right."""
+    out = []
+    for x, u, k in zip(number, unit, size):
+        if u is None:
+            out.append(None)
+            continue
+        v = Fraction(x)
+        exact = (v - 32) * 500 / 9 if u == "F" else v * Fraction(k) - (27315 if u == "K" else 0)
+        whole = abs(exact.numerator) * 10**10 // exact.denominator
+        out.append(Decimal(whole if exact >= 0 else -whole).scaleb(-10, EXACT) if whole < 10**38 else None)
+    return pd.Series(out, dtype=object)
+
+
 def common_units(df: DataFrame, id_col: str = "extraction_id", text_col: str = "extraction_text", normalized_col: str = "normalized", lang_col: str = "lang") -> DataFrame:
     """(id, dimension, amount bigint): one row per row of ``df`` that states a measured value with a unit.
 
     What the text states wins; ``normalized`` supplies only what it lacks. A null language leaves the decimal sign open:
     then the reading that ``normalized`` confirms is taken, else the English one. Null texts count as empty, junk in
     ``normalized`` as nothing. Rows with a null id, vague amounts, percentages, counts and mixed dimensions give no row;
-    a repeated id gives one row if all its rows agree on the dimension (their first amount), none otherwise. An empty
+    a repeated id gives one row if all its rows agree on the dimension (their first amount), none otherwise. Numbers are
+    exact with all their digits; an amount beyond a bigint gives no row. An empty
     table gives an empty result. Only the distinct spellings meet the n-gram index; the dictionary is broadcast if it is
     small and joined otherwise, and the parts of one quantity are put together without a second pass over the table.
     """
@@ -371,25 +414,20 @@ def common_units(df: DataFrame, id_col: str = "extraction_id", text_col: str = "
         for b in batches:
             rows = []
             for key, text, norm, lang in zip(b.id, b.text, b.normalized, b.lang):
-                for k, (number, unit) in enumerate(read_quantity(text, norm, lang)):
-                    n, d = number.split("/")
-                    if len(n) <= 18 and len(d) <= 9:
-                        rows.append((key, k, int(n), int(d), unit))
-            yield pd.DataFrame(rows, columns=["id", "part", "n", "d", "spelling"])
+                rows += [(key, k, number, unit) for k, (number, unit) in enumerate(read_quantity(text, norm, lang))]
+            yield pd.DataFrame(rows, columns=["id", "part", "number", "spelling"])
 
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(normalized_col).cast("string").alias("normalized"), F.col(lang_col).cast("string").alias("lang")]
-    parts = df.select(*cols).filter("id is not null").mapInPandas(scan, "id long, part int, n long, d long, spelling string")
+    parts = df.select(*cols).filter("id is not null").mapInPandas(scan, "id long, part int, number string, spelling string")
     parts = cut(parts)
     aliases = cut(alias_dictionary(parts))
     if is_small(aliases):
         aliases = F.broadcast(aliases)
     rows = parts.join(aliases, "spelling", "left")
-    value = F.col("n").cast("decimal(18,0)") * F.col("size") / F.col("d").cast("decimal(9,0)")
-    celsius = F.when(F.col("unit") == "F", (F.col("n") - F.lit(32) * F.col("d")).cast("decimal(18,0)") * F.lit(500).cast("decimal(3,0)") / (F.lit(9) * F.col("d")).cast("decimal(10,0)"))
-    celsius = celsius.when(F.col("unit") == "K", value - F.lit(27315).cast("decimal(5,0)"))
-    rows = rows.withColumn("amount", F.coalesce(celsius, value).cast("decimal(38,6)"))
+    rows = rows.withColumn("amount", _amount("number", "unit", F.col("size").cast("string")))
     out = rows.groupBy("id").agg(
-        F.sum("amount").alias("total"),
+        F.expr("try_sum(amount)").alias("total"),
+        F.count(F.when(F.col("amount").isNull(), 1)).alias("too_large"),
         F.min("dimension").alias("dimension"),
         F.max("dimension").alias("other"),
         F.count(F.when(F.col("dimension").isNull(), 1)).alias("unknown"),
@@ -397,15 +435,15 @@ def common_units(df: DataFrame, id_col: str = "extraction_id", text_col: str = "
         (F.max("part") + 1).alias("n_distinct"),
     )
     amount = F.col("total") / (F.col("n_parts") / F.col("n_distinct")).cast("decimal(10,0)")
-    out = out.filter("dimension = other and unknown = 0").select("id", "dimension", F.round(amount, 0).cast("long").alias("amount"))
+    out = out.filter("dimension = other and unknown = 0 and too_large = 0").select("id", "dimension", F.round(amount, 0).try_cast("long").alias("amount"))
     return out.filter("amount is not null")
 
 
 QUANTITY_CLASSES = ("quantity", "measurement", "measure")
 
 
-def found(extractions: DataFrame, annotated_docs: DataFrame) -> DataFrame:
+def found(extractions: DataFrame, annotated_docs: DataFrame, classes: tuple[str, ...] = QUANTITY_CLASSES) -> DataFrame:
     """(extraction_id, dimension, amount) over the quantity classes, read in the writing habits of each document's language."""
-    rows = extractions.filter(F.col("extraction_class").isin(*QUANTITY_CLASSES)).select("extraction_id", "document_key", "extraction_text", "normalized")
+    rows = extractions.filter(F.col("extraction_class").isin(*classes)).select("extraction_id", "document_key", "extraction_text", "normalized")
     langs = annotated_docs.select("document_key", "lang").filter("document_key is not null").groupBy("document_key").agg(F.max("lang").alias("lang"))
     return common_units(rows.join(langs, "document_key", "left")).withColumnRenamed("id", "extraction_id")
