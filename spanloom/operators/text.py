@@ -62,7 +62,7 @@ def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataF
 
     def one(text: str) -> tuple[list, list, list, list]:
         sents = segment.sentences(text, options.max_sentence_chars)
-        toks = [segment.tokens(text, s, e) for s, e in sents]
+        toks = segment.tokens_of(segment.tokens(text), sents)
         if not wanted:
             return sents, toks, [], []
         got, errors = spans.candidates(text, sents, toks, classes, stop, options.max_ngram, options.span_source != "tags", options.ngrams, options.candidate_generators)

@@ -152,7 +152,26 @@ def test_failures_by_status():
     assert isinstance(failure(429, "", {"retry-after": "2"}), RateLimitError) and retry_after({"retry-after": "999"}) == 120
     e = failure(400, "maximum of 1,000 tokens exceeded", {})
     assert isinstance(e, RequestTooLargeError) and (e.limit_kind, e.limit) == ("tokens", 1000)
-    assert failure(503, "", {}).retryable and not failure(404, "", {}).retryable
+    assert failure(503, "", {}).retryable and not failure(404, "", {}).retryable and failure(409, "", {}).retryable and not failure(402, "", {}).retryable and not failure(405, "", {}).retryable
+
+
+def test_requests_are_packed_in_order_and_limits_learned(server, monkeypatch):
+    c = Client(Service(server, "m", limits=Limits(max_questions=10)))
+    q = {str(k): {"type": "noul", "instructions": "i" * (k % 5)} for k in range(35)}
+    parts = c.pack(10, q)
+    assert [len(p) for p in parts] == [10, 10, 10, 5] and [k for p in parts for k in p] == list(q) and c.pack(10, {}) == []
+    c.most_tokens = 40
+    assert all(10 + sum(len(json.dumps(x)) // 3 for x in p.values()) <= 60 for p in c.pack(10, q)) and len(c.pack(10, q)) > 10
+    e = RequestTooLargeError("x")
+    c.most_tokens, c.most_questions = 1000, 10
+    c.learn(e, 900, 8, 100)
+    assert (c.most_questions, c.most_tokens) == (5, 720)
+    e.limit_kind, e.limit = "tokens", 200
+    c.learn(e, 700, 5, 100)
+    assert (c.most_questions, c.most_tokens) == (5, 170)
+    e.limit_kind, e.limit = "questions", 3
+    c.learn(e, 700, 5, 100)
+    assert (c.most_questions, c.most_tokens) == (3, 170)
 
 
 def test_facade_budget_and_field_groups(spark, tmp_path):
