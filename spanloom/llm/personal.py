@@ -8,6 +8,7 @@ Names are expanded from given names and initials beside words that are built lik
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookalike import fold
+from ..functions.spans import STOPWORDS
 from ..session import is_small
-from .names import FORMS, NICKNAMES, edits, plain
+from .names import FORMS, NICKNAMES, edits, is_short_form, plain
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 
 # What announces a phone, an identity number, a street; in lower case.
-PHONE_CUES = ["tel.", "tel:", "tel ", "telephone", "telefon", "telefone", "teléfono", "téléphone", "phone", "ph.", "mob.", "mobile", "mobil", "cell", "fax", "t:", "t.:", "call ", "caller on ", "calls to ", "dial ", "ring ", "number, ", "rückfragen unter ", "unter ", " au ", "appelez le ", "ligue para ", "llame al ", "拨打", "电话", "致电", "電話", "फ़ोन", "फोन", "الرقم", "هاتف", "ที่", "โทร"]
-ID_CUES = ["id no.", "id number", "id card", "ssn", "social security", "tax number", "tax no.", "taxpayer", "tax id", "tin", "passport no.", "passport number", "passport", "national insurance", "nino", "gave the number", "cpf", "rg ", "nif", "dni", "nie", "con documento", "documento", "pasaporte", "passaporte", "ausweisnr.", "ausweisnummer", "ausweis", "steuer-id", "steuernummer", "passnummer", "pièce d'identité", "carte d'identité", "passeport", "numéro fiscal", "n° de sécurité sociale", "证件号为", "证件号码", "证件号", "身份证号", "护照号", "旅券番号は", "旅券番号", "個人番号", "पासपोर्ट", "आधार", "जवाज", "جواز", "رقم الهوية", "الهوية", "บัตรประชาชน", "หนังสือเดินทาง", "เลขประจำตัว"]
+PHONE_CUES = ["tel.", "tel:", "tel ", "telephone", "telefon", "telefone", "teléfono", "téléphone", "phone", "ph.", "mob.", "mobile", "mobil", "cell", "fax", "t:", "t.:", "call ", "dial ", "ring ", "unter ", " au ", "appelez le ", "ligue para ", "llame al ", "拨打", "电话", "致电", "電話", "फ़ोन", "फोन", "الرقم", "هاتف", "ที่", "โทร"]
+ID_CUES = ["id no.", "id number", "id card", "ssn", "social security", "tax number", "tax no.", "taxpayer", "tax id", "tin", "passport no.", "passport number", "passport", "national insurance", "nino", "cpf", "rg ", "nif", "dni", "nie", "documento", "pasaporte", "passaporte", "ausweisnr.", "ausweisnummer", "ausweis", "steuer-id", "steuernummer", "passnummer", "pièce d'identité", "carte d'identité", "passeport", "numéro fiscal", "n° de sécurité sociale", "证件号为", "证件号码", "证件号", "身份证号", "护照号", "旅券番号は", "旅券番号", "個人番号", "पासपोर्ट", "आधार", "जवाज", "جواز", "رقم الهوية", "الهوية", "บัตรประชาชน", "หนังสือเดินทาง", "เลขประจำตัว"]
 STREETS_EN = ["street", "st.", "avenue", "ave", "road", "rd.", "rd", "lane", "ln.", "drive", "court", "square", "terrace", "close", "boulevard", "blvd", "way", "place", "row", "hill"]
 STREETS_DE = ["straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer"]
 STREETS_BEFORE = ["rue ", "avenue ", "boulevard ", "place ", "chemin ", "impasse ", "allée ", "quai ", "calle ", "c/ ", "avda. ", "av. ", "avenida ", "plaza ", "paseo ", "rua ", "travessa ", "largo ", "praça ", "alameda ", "estrada "]
@@ -35,25 +37,34 @@ U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿ
 TOWN = rf"[{U}][{L}'’]+(?:[- ](?![A-Z]{{1,2}}\d)(?:(?:le|la|les|de|do|da|dos|am|an der|sur|del|upon)[- ])?[{U}][{L}'’]+){{0,2}}"
 PROPER = rf"[{U}][{L}'’]+(?: [{U}][{L}'’]+)?"
 
-EMAIL_LOCAL = re.compile(r"[A-Za-z0-9À-ž._%+'-]+$")
+EMAIL_LOCAL = re.compile(r"[A-Za-z0-9À-ž._%+'-]")
 EMAIL_HOST = re.compile(r"[A-Za-z0-9À-ž-]+(?:\.[A-Za-z0-9À-ž-]+)+")
 AT_WORD = re.compile(r"\s?[\[({]\s?(?:at|arroba|chez|bei)\s?[\])}]\s?", re.I)
 SPELT_HOST = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?)?(?:dot|punto|ponto|point|punkt)(?:\s?[\])}])?\s?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
 PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .\-/]\(?\d+\)?)*")
 ID = re.compile(r"[A-Z]{1,2}(?:[ -]?\d{2}){3}[ -]?[A-Z](?![A-Za-z\d])|\d{2} \d{6} [A-Z] \d{3}(?!\d)|[A-Z]-?\d{7}-?[A-Z](?![A-Za-z\d])|\d{8}-?[A-Z](?![A-Za-z\d])|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}[- ]\d{2}[- ]\d{4}(?!\d)|\d \d\d \d\d \d\d \d{3} \d{3} \d\d(?!\d)|[A-Z]\d{1,2}[A-Z]?\d{4,8}(?!\d)|[A-Z]\d{6,9}(?!\d)|\d(?:[ ]?\d){8,17}(?!\d)|\d[\d .\-/]{6,18}\d(?!\d)|[A-Z\d]{8,12}(?![A-Za-z\d])")
-ID_LINE = re.compile(r"(?:[A-Z]{2}(?: ?\d\d){3} ?[A-Z]|\d{2} \d{6} [A-Z] \d{3}|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}|\d{18}|\d{17}X|\d{3}[- ]\d{2}[- ]\d{4}|\d \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{15}|[A-Z]\d{7,9}|[A-Z]\d\d[A-Z]\d{5}|\d{9})$")
+ID_SHAPE = re.compile(r"(?:[A-Z]{2}(?: ?\d\d){3} ?[A-Z]|\d{2} \d{6} [A-Z] \d{3}|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}|\d{18}|\d{17}X|\d{3}[- ]\d{2}[- ]\d{4}|\d \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{15}|[A-Z]\d{7,9}|[A-Z]\d\d[A-Z]\d{5}|\d{9})(?![\w-])")
 PHONE_LINE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .\-/]\(?\d+\)?)*$")
+#: Phones in running text without plus or cue: an area code in brackets or with a leading zero, then groups.
+BARE_PHONE = re.compile(r"(?<![\w.,/#-])(?:\(\d{2,4}\)[ -]?\d{3,4}[ .-]\d{3,4}|0\d{1,4}[ /-]\d{3,4}(?:[ -]\d{2,4}){0,2})(?![\w/-]|[.,]\d)")
+#: "The number", "his number": a number that belongs to somebody, if it is built like one.
+OWN_NUMBER = re.compile(r"\b(?:the|his|her|their|my|your|our|ihre|seine|die|su|sus|el|o|seu|sua|le|son|sa|votre)\s(?:number|nummer|número|numéro)\b[,:]?\s(?:is |was |ist |es |é |est )?", re.I)
+#: "A caller on", "call us at": a phone, whatever it is built like.
+CALLS = re.compile(r"\bcall(?:er|ers|s|ed|ing)?\s(?:(?:on|to|at|from|us|me|him|her|them|back)\s){1,2}(?=[\d(+])", re.I)
+NUMBERED = re.compile(r"(?:सं|رقم|ล็อต|เลขที่|号|番号|\b(?:no|nr|nos|ref|lot|invoice|order|permit|art|rechnung|factura|fatura|facture)|n\.?[º°o]|#|§)[.:]?\s?$", re.I)
 LABEL = re.compile(r"(?:t|tel|telefon|tél|teléfono|mob|mobil|mobile|phone|fax|ph)\s*[.:]*\s*$", re.I)
 
 ADDRESS_EN = re.compile(rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, )?\d+[A-Za-z]? {PROPER} (?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Square|Sq\.?|Terrace|Close|Boulevard|Blvd\.?|Way|Place|Pl\.?|Row|Hill)(?:, (?:Apt|Flat|Unit|Suite|No)\.? ?\d+[A-Za-z]?)?,\s{TOWN}(?: [A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}|,? [A-Z]{{2}} \d{{5}}| \d{{5}}(?:-\d{{4}})?)?")
-ADDRESS_DE = re.compile(rf"(?:{PROPER}[- ]?)(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|Straße|Weg|Platz|Allee) \d+ ?[a-z]?(?:-\d+)?,\s\d{{5}} {TOWN}|(?:{PROPER}[- ]?)(?:straße|strasse|str\.|weg|gasse|allee|platz) \d+ ?[a-z]?,\s{TOWN}")
+ADDRESS_DE = re.compile(rf"(?<![{L}])(?:{PROPER}[- ]?)(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|Straße|Weg|Platz|Allee) \d+ ?[a-z]?(?:-\d+)?,\s\d{{5}} {TOWN}|(?<![{L}])(?:{PROPER}[- ]?)(?:straße|strasse|str\.|weg|gasse|allee|platz) \d+ ?[a-z]?,\s{TOWN}")
 ADDRESS_FR = re.compile(rf"\d+(?: (?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai) (?:(?:de|du|des) |de la |de l')?{PROPER},\s(?:\d{{5}} )?{TOWN}", re.I)
 ADDRESS_ES = re.compile(rf"(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo) (?:(?:de|del|la|las|los) )*{PROPER},? (?:n\.?º ?)?\d+(?:, \d+\.?[ºª] ?[A-Za-z]?)?(?:, (?:piso|esc\.) [\w.º]+)?,\s(?:\d{{5}} )?{TOWN}")
 ADDRESS_PT = re.compile(rf"(?:Rua|Av\.|Avenida|Travessa|Largo|Praça|Alameda|Estrada) (?:(?:do|da|dos|das|de) )?{PROPER},? (?:n\.?º ?)?\d+(?:, (?:apto\.?|ap\.?|bloco|\d+\.º) ?[\w.]*)*,\s(?:\d{{4,5}}-\d{{3}} )?{TOWN}")
-ADDRESSES = (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES, ADDRESS_PT)
+ADDRESSES = {"en": (ADDRESS_EN,), "de": (ADDRESS_DE,), "romance": (ADDRESS_FR, ADDRESS_ES, ADDRESS_PT)}
 
 WORD = re.compile(rf"[{L}]+(?:['’-](?![sS](?![{L}]))[{L}]+)*")
-NOT_SURNAMES = {plain(w) for w in FORMS} | set("the this that and street avenue lane road lot annex summary section order sample seal container freight gross net transit vertrag paket nachtschicht hafenausschuss".split())
+# Words that places rather than people begin with.
+PLACE_STARTS = set("san santa santo sao saint bad port porto puerto villa ville mont monte fort lake mount new old los las".split())
+NOT_SURNAMES = {plain(w) for w in FORMS}
 
 
 class Lexicon:
@@ -69,11 +80,12 @@ class Lexicon:
         self._surname: dict[str, bool] = {}
 
     def given_rank(self, word: str) -> int:
-        """2 for a given name as registered, 1 for one edit away, 0 for none."""
+        """3 for a given name as registered, 2 for its start, 1 for another short form or one edit away, 0 for none."""
         got = self._given.get(word)
         if got is None:
             w = plain(word)
-            got = 2 if w in self.given else 1 if len(w) >= 3 and any(len(g) >= 4 and edits(w, g, 1) <= 1 for g in self.given) else 0
+            start = len(w) >= 3 and w not in PLACE_STARTS and w not in STOPWORDS["multi"] and any(g.startswith(w) and len(g) >= len(w) + 2 for g in self.by_start.get(w[0], ()))
+            got = 3 if w in self.given else 2 if start else 1 if len(w) >= 3 and any(len(g) >= 4 and edits(w, g, 1) <= 1 or g[0] == w[0] and is_short_form(w, g) for g in self.given) else 0
             if len(self._given) < 200_000:
                 self._given[word] = got
         return got
@@ -92,7 +104,7 @@ class Lexicon:
 
     def fits(self, given: str, surname: str) -> bool:
         rank = self.given_rank(given)
-        return rank > 0 and self.surname_share(surname) >= (0.34 if rank == 2 else 0.55 if len(given) > 3 else 0.7)
+        return rank > 0 and self.surname_share(surname) >= (0.34 if rank == 3 else 0.5 if rank == 2 else 0.55 if len(given) > 3 else 0.7)
 
     def is_surname(self, word: str) -> bool:
         return self.surname_share(word) >= 0.5
@@ -101,7 +113,7 @@ class Lexicon:
 @lru_cache
 def anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in (("email", ["@", "(at)", "[at]", "( at )", "[ at ]", "{at}", "(arroba)", "[arroba]"]), ("phone", [*PHONE_CUES, "+"]), ("identity_number", ID_CUES), ("street_address", STREETS_EN + STREETS_DE + STREETS_BEFORE)):
+    for kind, cues in (("email", ["@", "(at)", "[at]", "( at )", "[ at ]", "{at}", "(arroba)", "[arroba]"]), ("phone", [*PHONE_CUES, "+"]), ("identity_number", ID_CUES), ("en", STREETS_EN), ("de", STREETS_DE), ("romance", STREETS_BEFORE)):
         for cue in cues:
             kinds = a.get(cue, ()) if cue in a else ()
             a.add_word(cue, (*kinds[:0], kind, len(cue)))
@@ -119,13 +131,13 @@ def _email(s: str, start: int, end: int) -> tuple[int, int] | None:
     else:
         while start and s[start - 1] == " " and end < len(s) and s[end] == " ":
             start, end = start - 1, end + 1
-    local = EMAIL_LOCAL.search(s[max(0, start - 80) : start])
-    if not local:
-        return None
+    first = start
+    while first and EMAIL_LOCAL.match(s, first - 1):
+        first -= 1
     host = (SPELT_HOST if s[start:end].strip() != "@" or " " in s[start:end] else EMAIL_HOST).match(s, end) or EMAIL_HOST.match(s, end)
     if not host:
         return None
-    text = local.group().lstrip(".+-'")
+    text = s[first:start].lstrip(".+-'")
     a, b = start - len(text), host.end()
     return (a, b) if text and text[0].isalnum() else None
 
@@ -157,13 +169,14 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         if span and span[1] > span[0]:
             found.append((priority, span[0], span[1], kind))
 
-    near_address: list[int] = []
+    near_address: list[tuple[int, str]] = []
+    seen: dict[str, int] = {}
     for last, (kind, n) in anchors().iter(low):
         a, b = last - n + 1, last + 1
         if kind == "email":
             add("email", _email(s, a, b), 0)
-        elif kind == "street_address":
-            near_address.append(a)
+        elif kind in ADDRESSES:
+            near_address.append((a, kind))
         elif kind == "phone":
             if s[a] == "+":
                 if b < len(s) and s[b].isdigit() and not (a and (s[a - 1].isalnum() and s[a - 1].isascii())):
@@ -181,28 +194,35 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             got = ID.match(s, p)
             if got and sum(c.isdigit() for c in got.group()) >= 6:
                 add("identity_number", got.span(), 1)
-    if near_address:
-        done = -1
-        for a in near_address:
-            if a < done:
-                continue
-            low_end, high_end = max(0, a - 60), min(len(s), a + 110)
-            for pattern in ADDRESSES:
+    for a, group in near_address:
+        if a >= seen.get(group, -1):
+            # the whole paragraph, however long, and once for each kind of anchor
+            low_end = s.rfind("\n\n", 0, a) + 1
+            seen[group] = high_end = (s.find("\n\n", a) + 1 or len(s) + 1) - 1
+            for pattern in ADDRESSES[group]:
                 for m in pattern.finditer(s, low_end, high_end):
-                    if m.start() <= a + 2 and m.end() > a:
-                        add("street_address", m.span(), 1)
-                        done = max(done, m.end())
+                    add("street_address", m.span(), 1)
     # lines that hold nothing else
     place = 0
     for line in s.split("\n"):
         t = line.strip()
         if 7 <= len(t) <= 32 and any(map(str.isdigit, t)):
             a = place + line.index(t)
-            if ID_LINE.fullmatch(t) and not t.startswith("0") or ID_LINE.fullmatch(t) and re.search(r"[.A-Z-]", t):
+            if ID_SHAPE.fullmatch(t) and not t.startswith("0") or ID_SHAPE.fullmatch(t) and re.search(r"[.A-Z-]", t):
                 add("identity_number", (a, a + len(t)), 3)
             elif PHONE_LINE.fullmatch(t) and 7 <= sum(c.isdigit() for c in t) <= 15 and not re.fullmatch(r"\d{3}-\d{3}-\d{4}-\d|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d", t):
                 add("phone", (a, a + len(t)), 4)
         place += len(line) + 1
+    for m in BARE_PHONE.finditer(s):
+        if not NUMBERED.search(s, max(0, m.start() - 12), m.start()):
+            add("phone", _phone(s, m.start()), 4)
+    for m in CALLS.finditer(s):
+        add("phone", _phone(s, m.end()), 2)
+    for m in OWN_NUMBER.finditer(s):
+        if got := ID_SHAPE.match(s, m.end()):
+            add("identity_number", got.span(), 3)
+        elif m.end() < len(s) and (s[m.end()].isdigit() or s[m.end()] in "+("):
+            add("phone", _phone(s, m.end()), 3)
     # phones that follow an email or stand in brackets with one
     for _, a, b, kind in list(found):
         if kind == "email":
@@ -215,11 +235,11 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     for a, b in _names(s, lexicon):
         add("person_name", (a, b), 5)
     found.sort(key=lambda x: (x[0], x[1] - x[2], x[1]))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # disjoint, in order
     for _, a, b, kind in found:
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
-    taken.sort()
+        k = bisect_left(taken, (b,))
+        if not k or taken[k - 1][1] <= a:
+            taken.insert(k, (a, b, kind))
     if at is None:
         return taken
     return [(at[a], at[b - 1] + 1 if at[b - 1] + 1 >= at[b] or s[b - 1].isspace() else _end(text, at, b), k) for a, b, k in taken]
@@ -237,11 +257,34 @@ GAP = re.compile(r"[ \n]+")
 COMMA = re.compile(r",[ \n]+")
 #: What may stand right before an initial.
 BEFORE_INITIAL = re.compile(r"(?:^|[^\d/°.&\w-][\s]|[^\w/°.&\d-]|[\u0590-\uffff]|[^\W\d_]{2}[.,]?\s|[\])»”\"?!]\s)$")
-HAN_LINE = re.compile(r"(?m)^[一-鿿]{3,6}$(?!\n[^\n]*[一-鿿぀-ヿ])")
-HAN_FRAMES = [re.compile(x) for x in (
-    r"(?<=与)[一-鿿]{2,4}(?=在)", r"(?:(?<=[。！？\n」”])|^)[一-鿿]{2,4}(?=与[^。]{2,40}?在)", r"(?:(?<=[。！？\n」”])|^)[一-鿿]{2,4}(?=代表(?:甲方|乙方)签字|的证件号)", r"(?<=”)[一-鿿]{2,4}(?=低声说)", r"(?<=联系人)[一-鿿]{2,4}(?=，)",
-    r"(?<=連絡先は)[一-鿿]{2,6}(?=、)", r"(?<=」と)[一-鿿]{2,6}(?=[はが](?:答え|尋ね))", r"(?:(?<=[。！？\n」])|^)[一-鿿]{3,6}(?=が(?:甲|乙)を代表|の旅券番号)",
-)]
+# The commonest Chinese surnames; the characters that Japanese surnames are commonly made of.
+SURNAMES_ZH = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩邓冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常汤康易乔赖文施洪季柳温殷庄章鲁葛俞"
+DOUBLE_ZH = "欧阳 司马 诸葛 上官 夏侯 东方 皇甫 尉迟 公孙 慕容 司徒 令狐 端木 南宫".split()
+SURNAMES_JA = "高見沢澤田中山川野村木林森井上下本藤原島松石岡橋口崎谷池小大西東南北宮水青赤黒白金吉福安新古平清竹梅杉桜柳橘菅関渡辺邊斎斉佐伊加後近遠工内丸千五十三八永長武土堀河浜浅今秋星桑服部秦神滝横荒馬矢飯富堤岸畑久世片桐榊保宇江戸手塚笠須根津仲児玉相柴稲葉茂菊柏樫熊猪鈴鶴亀鳥鷹鹿牧浦沖波湯泉瀬湊笹篠栗梶榎柿桃花草芦荻萩蓮門辻町大小杉若芳望緒尾沼堺沢嶋嶺庄倉蔵"
+#: What stands before and behind a Chinese name: marks, and characters that only join words or speak of what a person does.
+BEFORE_ZH = r"(?:(?<![一-鿿㐀-䶿])|(?<=[与和跟由向对给被让请问是及为找致将把说道人员士师生理]))"
+BEHIND_ZH = r"(?![一-鿿㐀-䶿]|[，。]?$)|(?=[与和在的于说道问答代低签称认告负女先将已曾是向对从，。])"
+GIVEN_ZH = r"[^\W\d_\x00-\u4dff\ua000-\U0010ffff与和在的于说道问是为将已向对从把被了不年月日号元方]"
+NAME_ZH = re.compile(rf"{BEFORE_ZH}(?:(?:{'|'.join(DOUBLE_ZH)}){GIVEN_ZH}{{1,2}}|[{SURNAMES_ZH}]{GIVEN_ZH}{{2}})(?:{BEHIND_ZH})")
+#: Two characters are a name only between marks or particles of people.
+PAIR_ZH = re.compile(rf"(?:(?<=[与和跟由向对给])|(?<![一-鿿]))[{SURNAMES_ZH}]{GIVEN_ZH}(?=与[^。]{{1,12}}在|[说问答道]|代表|低声|签字|的证件|女士|先生|，电话)")
+#: A Japanese name: a stretch of Han characters that begins like a surname, up to a particle, a title or a mark.
+NAME_JA = re.compile(rf"(?<![一-鿿々ァ-ヿ])[{SURNAMES_JA}々]{{2}}[一-鿿々]{{1,4}}(?<![号社日年月額書会所部課県市町港約件品度分時条量間人者円場的用])(?=[がはとのをにもへさ、。様氏殿」（(]|$)", re.M)
+KANA = re.compile(r"[ぁ-ヿ]")
+
+
+def _han_names(s: str) -> Iterator[tuple[int, int]]:
+    """Chinese names by their surname and Japanese ones by how surnames are made, between what may stand around them."""
+    if not HAN.search(s):
+        return
+    if KANA.search(s):
+        yield from (m.span() for m in NAME_JA.finditer(s))
+    else:
+        yield from (m.span() for m in NAME_ZH.finditer(s))
+        yield from (m.span() for m in PAIR_ZH.finditer(s))
+
+
+HAN = re.compile(r"[一-鿿]")
 
 
 def _names(s: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
@@ -325,12 +368,7 @@ def _names(s: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
         if end is not None:
             used = end
             yield start, end
-    for frame in HAN_FRAMES:
-        for m in frame.finditer(s):
-            yield m.span()
-    for m in HAN_LINE.finditer(s):
-        if m.end() == len(s.rstrip()) or re.match(r"\n[^\n]*\d|\n[A-Za-z]", s[m.end() : m.end() + 60]):
-            yield m.span()
+    yield from _han_names(s)
 
 
 def lexicon_of(parties: DataFrame) -> Lexicon:
@@ -395,5 +433,5 @@ def redacted(docs: DataFrame, parties: DataFrame, id_col: str = "document_key",
 
 
 def found(annotated_docs: DataFrame, parties: DataFrame) -> DataFrame:
-    """(document_key, pii_kind, start_pos, end_pos), each span once."""
-    return personal_information(annotated_docs, parties).distinct()
+    """(document_key, pii_kind, start_pos, end_pos); spans of a text don't overlap, so each is there once."""
+    return personal_information(annotated_docs, parties)

@@ -74,6 +74,42 @@ def test_personal_information(spark):
     assert personal.found(df.limit(0), parties(spark)).count() == 0 and personal.found(df, parties(spark).limit(0)).filter("pii_kind = 'email'").count() == 2
 
 
+def spans_of(text):
+    lexicon = personal.Lexicon({"daniel", "eduardo"}, {"^ca", "cas", "asm", "smu", "mum", "umb", "mbe", "be$"})
+    return [(k, text[a:b]) for a, b, k in personal.personal_spans(text, lexicon)]
+
+
+def test_nothing_is_cut_at_a_distance():
+    local = "x" * 300 + ".y"
+    assert spans_of(f"write to {local}@ward.example now") == [("email", f"{local}@ward.example")]
+    street = "Rua " + "Santa " * 1 + "Verde, 276, " + "apto. 4, " * 30 + "1000-123 Kestrel"
+    assert spans_of(f"mora na {street}, desde ontem") == [("street_address", street)]
+    far = "5 Long Street, " + "Flat 12, " * 1 + "Kestrel Bay AB1 2CD"
+    assert ("street_address", far) in spans_of("word " * 60 + far + " and more " * 40)
+
+
+def test_numbers_in_running_text():
+    assert spans_of("He left 020 7946 0266 and (646) 555 0184 with us.") == [("phone", "020 7946 0266"), ("phone", "(646) 555 0184")]
+    assert spans_of("A caller on 212-555-0168 said that the number 992 92 8541 was hers.") == [("phone", "212-555-0168"), ("identity_number", "992 92 8541")]
+    assert spans_of("Lot no. 020 7946 0266 and invoice 0997 727 83, contract number 644-621-2521.") == []
+
+
+@pytest.mark.parametrize("text,want", [("昨天欧阳明轩向董事会报告。", ["欧阳明轩"]), ("合同由陈思远签署，与会者有王小明。", ["陈思远", "王小明"]), ("付款\n安全的货物", []), ("山田太郎さんが来た。契約番号は12で、田中一郎と話した。", ["山田太郎", "田中一郎"]), ("整理番号 内部用\n本契約は有効", [])])
+def test_names_in_han_characters(text, want):
+    assert [t for k, t in spans_of(text) if k == "person_name"] == want
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        assert len(spans_of("a.b@c.example, " * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0]
+
+
 # ---- 3
 
 
