@@ -262,8 +262,8 @@ SURNAMES_ZH = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑
 DOUBLE_ZH = "欧阳 司马 诸葛 上官 夏侯 东方 皇甫 尉迟 公孙 慕容 司徒 令狐 端木 南宫".split()
 SURNAMES_JA = "高見沢澤田中山川野村木林森井上下本藤原島松石岡橋口崎谷池小大西東南北宮水青赤黒白金吉福安新古平清竹梅杉桜柳橘菅関渡辺邊斎斉佐伊加後近遠工内丸千五十三八永長武土堀河浜浅今秋星桑服部秦神滝横荒馬矢飯富堤岸畑久世片桐榊保宇江戸手塚笠須根津仲児玉相柴稲葉茂菊柏樫熊猪鈴鶴亀鳥鷹鹿牧浦沖波湯泉瀬湊笹篠栗梶榎柿桃花草芦荻萩蓮門辻町大小杉若芳望緒尾沼堺沢嶋嶺庄倉蔵"
 #: What stands before and behind a Chinese name: marks, and characters that only join words or speak of what a person does.
-BEFORE_ZH = r"(?:(?<![一-鿿㐀-䶿])|(?<=[与和跟由向对给被让请问是及为找致将把说道人员士师生理]))"
-BEHIND_ZH = r"(?![一-鿿㐀-䶿]|[，。]?$)|(?=[与和在的于说道问答代低签称认告负女先将已曾是向对从，。])"
+BEFORE_ZH = r"(?:(?<![一-鿿㐀-䶿])|(?<=[与和跟由向对给被让请问是及为找致将把说道人员士师生理有天日后前]))"
+BEHIND_ZH = r"(?![一-鿿㐀-䶿])|(?=[与和在的于说道问答代低签称认告负女先将已曾是向对从，。])"
 GIVEN_ZH = r"[^\W\d_\x00-\u4dff\ua000-\U0010ffff与和在的于说道问是为将已向对从把被了不年月日号元方]"
 NAME_ZH = re.compile(rf"{BEFORE_ZH}(?:(?:{'|'.join(DOUBLE_ZH)}){GIVEN_ZH}{{1,2}}|[{SURNAMES_ZH}]{GIVEN_ZH}{{2}})(?:{BEHIND_ZH})")
 #: Two characters are a name only between marks or particles of people.
