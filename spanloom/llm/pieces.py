@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import is_small
-from .sentences import units
+from .sentences import thai_starts, units
 
 BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 CLAUSE = re.compile(r"[,;:，；、：]\s*")
@@ -31,21 +31,21 @@ def _near(places: list[int], low: int, high: int, middle: float) -> int | None:
     return min(places[max(i, k - 1) : min(j, k + 1)], key=lambda p: (abs(p - middle), p))
 
 
-def cut_places(text: str, lang: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
+def cut_places(text: str, lang: str | None, thai: frozenset[str] | None = None) -> tuple[list[int], list[int], list[int], list[int]]:
     """Where the next piece may begin: after blocks, after sentences, after clauses, after blanks."""
     blocks = [m.end() for m in BLOCK.finditer(text)]
-    spans = units(text, lang)
+    spans = units(text, lang, thai)
     sentences = [s for s, _ in spans[1:]]
     return blocks, sentences, [m.end() for m in CLAUSE.finditer(text)], [m.end() for m in BLANK.finditer(text)]
 
 
-def pieces(text: str, limit: int, overlap: int = 0, lang: str | None = None) -> list[tuple[int, int]]:
+def pieces(text: str, limit: int, overlap: int = 0, lang: str | None = None, thai: frozenset[str] | None = None) -> list[tuple[int, int]]:
     """[(start, end)] of the pieces, none longer than ``limit``; each begins up to about ``overlap`` before the last end."""
     if len(text) <= limit:
         return [(0, len(text))]
     overlap = max(0, min(overlap, limit // 2))
     most = limit - overlap
-    ranked = cut_places(text, lang)
+    ranked = cut_places(text, lang, thai)
     blocks, sentences, clauses, blanks = ranked
     cores: list[tuple[int, int]] = []
     todo = [(0, len(text))]
@@ -88,11 +88,13 @@ def piece_spans(docs: DataFrame, id_col: str = "document_key", text_col: str = "
     schema = "document_key long, piece int, n_pieces int, start_pos int, end_pos int" + ", text string" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
 
+    thai = thai_starts(docs, text_col)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, text, limit, overlap, lang in zip(b.id, b.text, b.limit, b.overlap, b.lang):
-                spans = pieces(text, int(limit), int(overlap), lang) if limit == limit and limit >= 1 else [(0, len(text))]
+                spans = pieces(text, int(limit), int(overlap), lang, thai) if limit == limit and limit >= 1 else [(0, len(text))]
                 for n, (s, e) in enumerate(spans):
                     rows.append((key, n, len(spans), s, e, text[s:e])[: len(names)])
             yield pd.DataFrame(rows, columns=names)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +32,11 @@ ABBREVIATIONS = {
 }
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Sept Oct Nov Dec"
 GERMAN_MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
-KINDS = "Pharmaceuticals Industries Manufacturing Brothers Laboratories Logistics Textiles Foods Consulting Services Shipping International Technologies Engineering Associates Energy"
+COMPANY = "Firma Gesellschaft Unternehmen Company Messrs Empresa Sociedad Sociedade Société Compagnie"
 FORMS = "Ltda Ltd Limited Limitada Incorporated Inc Corporation Corp LLC L.L.C GmbH G.m.b.H Aktiengesellschaft A.G AG Sociedade S.A S/A SA"
 
 END = r"(?:\.{2,}|…+|[.!?؟।。！？]+)"
 CLOSE = r"(?:[\"'”“’»)\]]|[   ]»)*"
-PLACE = re.compile(r"(?:\.{2,}|…+|[.!?؟।]+)" + CLOSE + r"|[。！？]+[”’」』）\"]*")
-CJK_END = re.compile(r"[。！？]")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 THAI = re.compile(r"[฀-๿]")
 NO_CASE = re.compile(r"[؀-ۿऀ-ॿ฀-๿぀-ヿ㐀-鿿]")
@@ -47,41 +46,53 @@ def _words(s: str) -> str:
     return "|".join(re.escape(w) for w in sorted(s.split(), key=len, reverse=True))
 
 
-@lru_cache
-def rules(lang: str) -> list[tuple[bool, re.Pattern | None, re.Pattern | None]]:
-    """The ordered table of a language: (break?, what stands before the place, what stands after it)."""
-    c = re.compile
+UPPER = r"A-ZÀ-ÖØ-ÞĀĆĈĊČĎĐĒĔĖĘĚĞĠŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽ"
+#: A capitalised name of a business: a word, perhaps another joined to it, and a last word.
+BUSINESS = rf"[{UPPER}]\w+ (?:[&+ey] \w+ )?[{UPPER}]\w+"
+
+
+def rules(lang: str) -> list[tuple[bool, str, str]]:
+    """The ordered table of a language: (break?, what stands before the place, what stands after it); \\A is the start of
+    the block. However far back a rule looks, it sees all of the block."""
     short = ABBREVIATIONS[""] + " " + ABBREVIATIONS.get(lang, "")
+    spelt = r"(?:S\.A|A\.G|L\.L\.C|G\.m\.b\.H)\."
     table = [
         # an ellipsis ends a unit only before a capital letter
-        (False, c(r"(?:\.{2,}|…)" + CLOSE + r"$"), c(r"\s*(?:[^\W\d_A-ZÀ-ÖØ-ÞĀĆĈĊČĎĐĒĔĖĘĚĞĠŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽ]|[,;:\d(–-])")),
-        (True, c(r"(?:\.{2,}|…)" + CLOSE + r"$"), c(r"\s*\S")),
+        (False, r"(?:\.{2,}|…)" + CLOSE, rf"\s*(?:[^\W\d_{UPPER}]|[,;:\d(–-])"),
+        (True, r"(?:\.{2,}|…)" + CLOSE, r"\s*\S"),
         # a mark inside a word or number
-        (False, c(r"[.!?]" + CLOSE + r"$"), c(r"[^\s]")),
+        (False, r"[.!?]" + CLOSE, r"[^\s]"),
         # the frame goes on
-        (False, None, c(r"\s+[,;:]?\s*(?:[a-zß-öø-ÿāćčďđēęěğłńňőœřśşšťūůűźżž]|[α-ω])")),
-        (False, c(r"[.!?]$"), c(r"\s*[,;)\]]")),
+        (False, "", r"\s+[,;:]?\s*(?:[a-zß-öø-ÿāćčďđēęěğłńňőœřśşšťūůűźżž]|[α-ω])"),
+        (False, r"[.!?]", r"\s*[,;)\]]"),
         # list markers
-        (False, c(r"^\s*(?:\(?\d{1,3}|\(?[a-z]|[ivx]{1,4})[.)]$"), None),
+        (False, r"\A\s*(?:\(?\d{1,3}|\(?[a-z]|[ivx]{1,4})[.)]", ""),
         # titles and other words that a full stop only shortens
-        (False, c(rf"(?<![^\W\d_])(?:{_words(short)})\.$"), None),
-        (False, c(rf"(?<![^\W\d_])(?:{_words(MONTHS)})\.$"), c(r"\s+\d")),
-        (False, c(r"(?<!\w)M\.$"), c(r"\s+\S")),
-        (False, c(r"\.$"), c(r"\s+[\u0900-\u097f\u0600-\u06ff]")) if lang == "hi" else (False, c(rf"(?<![^\W\d_])(?:{_words(FORMS)})\.$"), c(r"\s+[\u0600-\u06ff]")),
-        (True, c(r"\b[ap]\.\s?m\.[\"”»)]*$"), c(r"\s")),
-        # a form put before the name, then a form that ends a sentence
-        (False, c(rf"(?<!{')(?<!'.join(k + ' ' for k in KINDS.split())})(?:S\.A|A\.G|L\.L\.C|G\.m\.b\.H)\.$"), c(rf"\s+\w+ (?:[&+ey] \w+ )?(?:{_words(KINDS)})\b")),
-        (True, c(r"(?:S\.A|A\.G|L\.L\.C|G\.m\.b\.H)\.$"), c(r"\s+\S")),
+        (False, rf"(?<![^\W\d_])(?:{_words(short)})\.", ""),
+        (False, rf"(?<![^\W\d_])(?:{_words(MONTHS)})\.", r"\s+\d"),
+        (False, r"(?<!\w)M\.", r"\s+\S"),
+        (False, r"\.", r"\s+[\u0900-\u097f\u0600-\u06ff]") if lang == "hi" else (False, rf"(?<![^\W\d_])(?:{_words(FORMS)})\.", r"\s+[\u0600-\u06ff]"),
+        (True, r"\b[ap]\.\s?m\.[\"”»)]*", r"\s"),
+        # a form put before the name (no name stands before it, or a word for a company), then one that ends a sentence
+        (False, rf"(?<!')(?:(?<![{UPPER}][\w'’-]{{1,40}}[ \n])|(?<=\b(?:{_words(COMPANY)})\s)){spelt}", rf"\s+{BUSINESS}"),
+        (True, spelt, r"\s+\S"),
         # initials, not the last letter of a number
-        (False, c(r"(?:^|(?<!\d)[\s(\"«„“.¡¿])[^\W\d_]\.$"), c(r"\s+[^\W\d_]")),
-        (False, c(r"[\u0590-\uffff][A-Z]\.$"), c(r"\s+[^\W\d_]")),
-        # a business's shortened kind before its form
-        (False, c(r"(?<![^\W\d_])[^\W\d_a-zß-ÿ][^\W\d_]{1,8}\.$"), c(rf"\s+(?:{_words(FORMS)})(?![A-Za-zÀ-ÿ])(?!\.?\s\w+ (?:[&+ey] \w+ )?(?:{_words(KINDS)})\b)", re.I)),
+        (False, r"(?:\A|(?<!\d)[\s(\"«„“.¡¿])[^\W\d_]\.", r"\s+[^\W\d_]"),
+        (False, r"[\u0590-\uffff][A-Z]\.", r"\s+[^\W\d_]"),
+        # a business's shortened kind before its form; a longer word may be a town, and the form the next name's
+        (False, r"(?<![^\W\d_])[^\W\d_a-zß-ÿ][^\W\d_]{1,4}\.", rf"\s+(?i:{_words(FORMS)})(?![A-Za-zÀ-ÿ])"),
+        (False, r"(?<![^\W\d_])[^\W\d_a-zß-ÿ][^\W\d_]{5,8}\.", rf"\s+(?i:{_words(FORMS)})(?![A-Za-zÀ-ÿ])(?!\.?\s{BUSINESS})"),
     ]
     if lang == "de":
-        table[4:4] = [(False, c(r"(?<!\d)\d{1,2}\.$"), c(rf"\s+(?:{_words(GERMAN_MONTHS)})\b")), (False, c(r"(?:\w{3,}nr|(?<!\w)S)\.$"), c(r"\s+[\w(]"))]
-    table.append((True, None, None))
-    return table
+        table[4:4] = [(False, r"(?<!\d)\d{1,2}\.", rf"\s+(?:{_words(GERMAN_MONTHS)})\b"), (False, r"(?:\w{3,}nr|(?<!\w)S)\.", r"\s+[\w(]")]
+    return [*table, (True, "", "")]
+
+
+@lru_cache
+def _decision(lang: str) -> regex.Pattern:
+    """The table as one alternation behind the marks: the first pair that fits decides; group ``on`` is no break."""
+    pairs = [f"(?<={left})(?={right})" + ("" if breaks else "(?P<on>)") for breaks, left, right in rules(lang)]
+    return regex.compile(r"(?V0)(?:[。！？]+[”’」』）\"]*(?P<wide>)|(?:\.{2,}|…+|[.!?؟।]+)" + CLOSE + "(?:" + "|".join(pairs) + "))")
 
 
 MARKER = re.compile(r"\s*(?:[-•*‣▪–]\s|\((?:\d{1,3}|[a-z]|[ivx]{1,4})\)\s|\d{1,3}[.)]\s|(?:[a-z]|[ivx]{2,4})\)\s)")
@@ -190,52 +201,90 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-THAI_START = re.compile(r"(?:สัญญา|ผู้|บริษัท|สินค้า|การ|ใคร|อุณหภูมิ|โปรด|กรุณา|ติดต่อ|หนังสือ|ที่อยู่|เลข|หมายเลข|เขา|เรา|โทร|อีเมล|ส่ง|เมื่อ|นาย|นาง|คุณ|ดร)")
-THAI_NAME = re.compile(r"(?:[^\W\d_฀-๿]+, [^\W\d_฀-๿]+\.?|(?:[^\W\d_฀-๿]+\.? )?(?:[^\W\d_]\. )?[^\W\d_฀-๿]+)(?=รับ|ลง|ส่ง|แจ้ง|เป็น|ได้|มี)")
+#: How many characters of Thai tell what begins there, and behind a name what goes on.
+THAI_KEY, THAI_VERB = 4, 3
+#: What begins a line so often, and makes up such a share of its occurrences behind blanks, begins clauses.
+THAI_LEAST, THAI_SHARE = 2, 0.04
+#: Words that commonly begin a Thai clause; used where no corpus tells.
+THAI_WORDS = "เขา เรา ผม ฉัน คุณ ใคร และ แต่ เมื่อ หาก ถ้า เพราะ ดังนั้น การ ผู้ นาย นาง โปรด กรุณา".split()
+#: Words that lead on to what follows, so that no clause ends behind them.
+THAI_LEADS = re.compile(r"(?:คือ|ชื่อ|ถึง|ที่|โดย|ของ|จาก|และ|หรือ|กับ)$")
+LATIN_NAME = re.compile(r"[^\W\d_฀-๿]+, [^\W\d_฀-๿]+\.?|(?:[^\W\d_฀-๿]+\.? )?(?:[^\W\d_]\. )*[^\W\d_฀-๿]+")
+
+
+def thai_key(s: str, at: int) -> str | None:
+    """What tells whether a clause begins at a place: its first Thai characters, or those behind a name after a star."""
+    if THAI.match(s, at):
+        return s[at : at + THAI_KEY]
+    name = LATIN_NAME.match(s, at)
+    return "*" + s[name.end() : name.end() + THAI_VERB] if name and THAI.match(s, name.end()) else None
+
+
+def thai_places(text: str) -> Iterator[tuple[str, bool]]:
+    """(key, whether it begins a line) of the beginnings of lines and of what stands behind blanks."""
+    for line in text.split("\n"):
+        line = line.strip()
+        if THAI.search(line):
+            if key := thai_key(line, 0):
+                yield key, True
+            yield from ((key, False) for m in re.finditer(r" +", line) if (key := thai_key(line, m.end())))
 
 
-def _thai_breaks(s: str) -> list[int]:
-    """Places after blanks where a new clause begins: before a starting word, or before a name that a verb follows."""
+def thai_starts(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
+    """The keys that begin clauses, told by how often they begin lines in the whole corpus.
+
+    Counts combine before their exchange. What is read to the driver is bounded by the shares: no key has less than
+    one in a thousand of the places that count.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts: dict[str, list[int]] = {}
+            for text in b.text:
+                for key, first in thai_places(fold(text)[0]):
+                    counts.setdefault(key, [0, 0])[not first] += 1
+            yield pd.DataFrame([(k, *n) for k, n in counts.items()], columns=["key", "first", "inner"])
+
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[\u0e00-\u0e7f]")).mapInPandas(scan, "key string, first long, inner long")
+    counts = rows.groupBy("key").agg(F.sum("first").alias("first"), F.sum("inner").alias("inner"))
+    total = counts.agg(F.sum("first").alias("n")).first()["n"] or 0
+    keep = counts.filter((F.col("first") >= max(THAI_LEAST, total / 1000)) & (F.col("first") >= THAI_SHARE * (F.col("first") + F.col("inner"))))
+    return frozenset(r.key for r in keep.select("key").collect())
+
+
+def _thai_breaks(s: str, starts: frozenset[str] | None) -> list[int]:
+    """Places after blanks where a new clause begins: before what begins lines elsewhere, a name with what follows it
+    included, or before a name that meets another at the end of a clause."""
     out = []
     for m in re.finditer(r" +", s):
         rest = m.end()
-        if THAI_START.match(s, rest):
-            if not re.search(r"(?:คือ|ชื่อ|ถึง|ที่|โดย|ของ)$", s[: m.start()]):
-                out.append(m.start())
-            continue
-        name = THAI_NAME.match(s, rest)
-        if name and (THAI.match(s[m.start() - 1]) or s[m.start() - 1] in "?!)" or s[m.start() - 1].isdigit()):
-            out.append(m.start())
-        elif name and "คือ" in s[out[-1] if out else 0 : m.start()]:
-            # two names meet: the first belongs to the clause before
-            had = s[s.rfind("คือ", 0, m.start()) + 3 : m.start()]
-            if len(had.split()) >= 2 and not had.endswith("."):
+        key = thai_key(s, rest)
+        begins = key in starts if starts is not None else s.startswith(tuple(THAI_WORDS), rest)
+        before = s[: m.start()]
+        if key and begins and not THAI_LEADS.search(before):
+            if not key.startswith("*") or THAI.match(before[-1:]) or before[-1:] in "?!)" or before[-1:].isdigit():
                 out.append(m.start())
+            elif "คือ" in (clause := before[out[-1] if out else 0 :]):
+                # two names meet: the first belongs to the clause before
+                had = clause[clause.rfind("คือ") + 3 :]
+                if len(had.split()) >= 2 and not had.endswith("."):
+                    out.append(m.start())
     return out
 
 
 def _places(s: str, lang: str) -> Iterator[int]:
     """Ends of units inside one block."""
-    table = rules(lang)
-    for m in PLACE.finditer(s):
+    last = len(s.rstrip())
+    for m in _decision(lang).finditer(s):
         end = m.end()
-        if end >= len(s.rstrip()):
+        if end >= last:
             return
-        if CJK_END.search(m.group()):
-            closed = m.group()[-1] not in "。！？"
-            rest = s[end:].lstrip(" ")
-            if closed and rest[:1] not in "“「『\n\"":
-                continue
+        if m["wide"] is not None:
+            # within closing signs the unit goes on, unless another quotation begins
+            if m.group()[-1] in "。！？" or s[end:].lstrip(" ")[:1] in "“「『\n\"":
+                yield end
+        elif m["on"] is None:
             yield end
-            continue
-        before = s[max(0, end - 24) : end]
-        if end > 24:
-            before = "\x00" + before
-        for breaks, left, right in table:
-            if (left is None or left.search(before)) and (right is None or right.match(s, end)):
-                if breaks:
-                    yield end
-                break
 
 
 def language(text: str, lang: str | None) -> str:
@@ -251,8 +300,9 @@ def language(text: str, lang: str | None) -> str:
     return max(scores, key=scores.get) if any(scores.values()) else "en"
 
 
-def units(text: str, lang: str | None = None) -> list[tuple[int, int]]:
-    """[(start, end)] of the sentences and other units of a text, in order, without outer blanks."""
+def units(text: str, lang: str | None = None, thai: frozenset[str] | None = None) -> list[tuple[int, int]]:
+    """[(start, end)] of the sentences and other units of a text, in order, without outer blanks; ``thai``: what begins
+    clauses in Thai, as ``thai_starts`` tells from a corpus."""
     plain, at = fold(text)
     code = language(plain, lang)
     spans: list[tuple[int, int]] = []
@@ -262,7 +312,7 @@ def units(text: str, lang: str | None = None) -> list[tuple[int, int]]:
         if not whole:
             cuts = list(_places(s, code))
             if THAI.search(s):
-                cuts = sorted({*cuts, *_thai_breaks(s)})
+                cuts = sorted({*cuts, *_thai_breaks(s, thai)})
         begin = 0
         for end in [*cuts, len(s)]:
             piece = s[begin:end]
@@ -287,12 +337,15 @@ def sentence_spans(docs: DataFrame, id_col: str = "document_key", text_col: str
 
     Null ids and null texts give no rows, nor do empty or blank texts; a null or unknown language is told from the
     script and common words; a repeated row gives its units again; other columns are ignored; an empty table gives an
-    empty result. One pass without a shuffle; the length of a text never cuts a unit.
+    empty result. One pass without a shuffle; the length of a text never cuts a unit. Thai clauses end without marks, so
+    what begins them is first counted over the Thai texts.
     """
 
+    thai = thai_starts(docs, text_col)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(key, n, s, e) for key, text, lang in zip(b.id, b.text, b.lang) for n, (s, e) in enumerate(units(text, lang))]
+            rows = [(key, n, s, e) for key, text, lang in zip(b.id, b.text, b.lang) for n, (s, e) in enumerate(units(text, lang, thai))]
             yield pd.DataFrame(rows, columns=["document_key", "ordinal", "start_pos", "end_pos"])
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")

@@ -127,7 +127,22 @@ def test_many_spans_take_time_in_proportion():
     ("", None, []), (" \n ", "en", []),
 ])
 def test_sentence_rules(text, lang, want):
-    assert [text[a:b] for a, b in sentences.units(text, lang)] == want
+    thai = frozenset({"สัญญ", "สินค", "*รับ"})
+    assert [text[a:b] for a, b in sentences.units(text, lang, thai)] == want
+
+
+def test_thai_clauses_are_learned_from_the_lines_of_the_corpus(spark):
+    rows = docs(spark, [(k, t) for k, t in enumerate(["วันนี้ฝนตกหนัก", "วันนี้ร้อนมาก แต่ไม่มีลม", "Ann Leeรับสินค้าแล้ว", "Bob Royรับสินค้าแล้ว วันนี้ฝนตก", None, "", "no Thai at all"])])
+    starts = sentences.thai_starts(rows)
+    assert starts == frozenset({"วันน", "*รับ"})
+    cut = lambda t: [t[a:b] for a, b in sentences.units(t, "th", starts)]
+    assert cut("ไม่มีลม วันนี้ร้อน มาก Sue Kayรับของ") == ["ไม่มีลม", "วันนี้ร้อน มาก", "Sue Kayรับของ"]
+    assert sentences.thai_starts(rows.limit(0)) == frozenset()
+
+
+def test_rules_see_the_whole_block():
+    t = "Kopie an die " + "Donaudampfschifffahrtsgesellschaftsvertragsnr. 12 ging ab. Der Rest blieb."
+    assert [t[a:b] for a, b in sentences.units(t, "de")] == [t[: t.index(" Der")], "Der Rest blieb."]
 
 
 def test_sentence_spans(spark):
