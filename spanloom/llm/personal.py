@@ -45,12 +45,15 @@ PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .\-/]\(?\
 ID = re.compile(r"[A-Z]{1,2}(?:[ -]?\d{2}){3}[ -]?[A-Z](?![A-Za-z\d])|\d{2} \d{6} [A-Z] \d{3}(?!\d)|[A-Z]-?\d{7}-?[A-Z](?![A-Za-z\d])|\d{8}-?[A-Z](?![A-Za-z\d])|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}[- ]\d{2}[- ]\d{4}(?!\d)|\d \d\d \d\d \d\d \d{3} \d{3} \d\d(?!\d)|[A-Z]\d{1,2}[A-Z]?\d{4,8}(?!\d)|[A-Z]\d{6,9}(?!\d)|\d(?:[ ]?\d){8,17}(?!\d)|\d[\d .\-/]{6,18}\d(?!\d)|[A-Z\d]{8,12}(?![A-Za-z\d])")
 ID_SHAPE = re.compile(r"(?:[A-Z]{2}(?: ?\d\d){3} ?[A-Z]|\d{2} \d{6} [A-Z] \d{3}|[A-Z]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{11}|\d{18}|\d{17}X|\d{3}[- ]\d{2}[- ]\d{4}|\d \d\d \d\d \d\d \d{3} \d{3} \d\d|\d{15}|[A-Z]\d{7,9}|[A-Z]\d\d[A-Z]\d{5}|\d{9})(?![\w-])")
 PHONE_LINE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d+(?:[ .\-/]\(?\d+\)?)*$")
+BEHIND_PHONE_CUE = re.compile(r"[\s.:]{0,4}(?:(?:on|no\.?|nr\.?)\s)?")
+BEHIND_ID_CUE = re.compile(r"[\s:.,]{0,3}(?:(?:no|nr|n|nº|number|is|ist|est|es|é|n\.º|n°)\b[.º:]?\s*){0,2}")
 #: Phones in running text without plus or cue: an area code in brackets or with a leading zero, then groups.
 BARE_PHONE = re.compile(r"(?<![\w.,/#-])(?:\(\d{2,4}\)[ -]?\d{3,4}[ .-]\d{3,4}|0\d{1,4}[ /-]\d{3,4}(?:[ -]\d{2,4}){0,2})(?![\w/-]|[.,]\d)")
 #: "The number", "his number": a number that belongs to somebody, if it is built like one.
-OWN_NUMBER = re.compile(r"\b(?:the|his|her|their|my|your|our|ihre|seine|die|su|sus|el|o|seu|sua|le|son|sa|votre)\s(?:number|nummer|número|numéro)\b[,:]?\s(?:is |was |ist |es |é |est )?", re.I)
+OWNER = re.compile(r"\b(?:the|his|her|their|my|your|our|ihre|seine|die|su|sus|el|o|seu|sua|le|son|sa|votre)\s$", re.I)
+BEHIND_NUMBER = re.compile(r"[,:]?\s(?:is |was |ist |es |é |est )?")
 #: "A caller on", "call us at": a phone, whatever it is built like.
-CALLS = re.compile(r"\bcall(?:er|ers|s|ed|ing)?\s(?:(?:on|to|at|from|us|me|him|her|them|back)\s){1,2}(?=[\d(+])", re.I)
+CALLS = re.compile(r"(?:er|ers|s|ed|ing)?\s(?:(?:on|to|at|from|us|me|him|her|them|back)\s){1,2}(?=[\d(+])", re.I)
 NUMBERED = re.compile(r"(?:सं|رقم|ล็อต|เลขที่|号|番号|\b(?:no|nr|nos|ref|lot|invoice|order|permit|art|rechnung|factura|fatura|facture)|n\.?[º°o]|#|§)[.:]?\s?$", re.I)
 LABEL = re.compile(r"(?:t|tel|telefon|tél|teléfono|mob|mobil|mobile|phone|fax|ph)\s*[.:]*\s*$", re.I)
 
@@ -61,7 +64,9 @@ ADDRESS_ES = re.compile(rf"(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Paseo) (?:(?:de
 ADDRESS_PT = re.compile(rf"(?:Rua|Av\.|Avenida|Travessa|Largo|Praça|Alameda|Estrada) (?:(?:do|da|dos|das|de) )?{PROPER},? (?:n\.?º ?)?\d+(?:, (?:apto\.?|ap\.?|bloco|\d+\.º) ?[\w.]*)*,\s(?:\d{{4,5}}-\d{{3}} )?{TOWN}")
 ADDRESSES = {"en": (ADDRESS_EN,), "de": (ADDRESS_DE,), "romance": (ADDRESS_FR, ADDRESS_ES, ADDRESS_PT)}
 
-WORD = re.compile(rf"[{L}]+(?:['’-](?![sS](?![{L}]))[{L}]+)*")
+CAPITALS = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isupper())
+#: Capitalised words: names, given names and initials; whatever stands between two of them is their gap.
+WORD = re.compile(rf"(?<![{L}])(?<![{L}]['’-])[{CAPITALS}][{L}]*(?:['’-](?![sS](?![{L}]))[{L}]+)*")
 # Words that places rather than people begin with.
 PLACE_STARTS = set("san santa santo sao saint bad port porto puerto villa ville mont monte fort lake mount new old los las".split())
 NOT_SURNAMES = {plain(w) for w in FORMS}
@@ -113,7 +118,7 @@ class Lexicon:
 @lru_cache
 def anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in (("email", ["@", "(at)", "[at]", "( at )", "[ at ]", "{at}", "(arroba)", "[arroba]"]), ("phone", [*PHONE_CUES, "+"]), ("identity_number", ID_CUES), ("en", STREETS_EN), ("de", STREETS_DE), ("romance", STREETS_BEFORE)):
+    for kind, cues in (("email", ["@", "(at)", "[at]", "( at )", "[ at ]", "{at}", "(arroba)", "[arroba]"]), ("phone", [*PHONE_CUES, "+"]), ("identity_number", ID_CUES), ("call", ["call"]), ("number", ["number", "nummer", "número", "numéro"]), ("en", STREETS_EN), ("de", STREETS_DE), ("romance", STREETS_BEFORE)):
         for cue in cues:
             kinds = a.get(cue, ()) if cue in a else ()
             a.add_word(cue, (*kinds[:0], kind, len(cue)))
@@ -177,6 +182,15 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             add("email", _email(s, a, b), 0)
         elif kind in ADDRESSES:
             near_address.append((a, kind))
+        elif kind == "call":
+            if (m := CALLS.match(s, b)) and not (a and s[a - 1].isalpha()):
+                add("phone", _phone(s, m.end()), 2)
+        elif kind == "number":
+            if (m := BEHIND_NUMBER.match(s, b)) and OWNER.search(s, max(0, a - 8), a):
+                if got := ID_SHAPE.match(s, m.end()):
+                    add("identity_number", got.span(), 3)
+                elif m.end() < len(s) and (s[m.end()].isdigit() or s[m.end()] in "+("):
+                    add("phone", _phone(s, m.end()), 3)
         elif kind == "phone":
             if s[a] == "+":
                 if b < len(s) and s[b].isdigit() and not (a and (s[a - 1].isalnum() and s[a - 1].isascii())):
@@ -184,12 +198,12 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             elif not (a and low[a - 1].isalpha() and low[a].isalpha() and low[a].isascii() and low[a - 1].isascii()):
                 if low[a:b] == "ที่" and low[max(0, a - 3) : a] == "เลข":
                     continue
-                m = re.compile(r"[\s.:]{0,4}(?:(?:on|no\.?|nr\.?)\s)?").match(s, b)
+                m = BEHIND_PHONE_CUE.match(s, b)
                 p = m.end() if m else b
                 if p < len(s) and (s[p].isdigit() or s[p] in "+("):
                     add("phone", _phone(s, p), 2)
         elif not (a and low[a - 1].isalpha() and low[a].isascii() and low[a - 1].isascii()) and (b >= len(s) or not (low[b - 1].isascii() and low[b - 1].isalpha() and low[b].isalpha() and low[b].isascii())):
-            m = re.compile(r"[\s:.,]{0,3}(?:(?:no|nr|n|nº|number|is|ist|est|es|é|n\.º|n°)\b[.º:]?\s*){0,2}").match(s, b)
+            m = BEHIND_ID_CUE.match(s, b)
             p = m.end() if m else b
             got = ID.match(s, p)
             if got and sum(c.isdigit() for c in got.group()) >= 6:
@@ -216,13 +230,6 @@ def personal_spans(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     for m in BARE_PHONE.finditer(s):
         if not NUMBERED.search(s, max(0, m.start() - 12), m.start()):
             add("phone", _phone(s, m.start()), 4)
-    for m in CALLS.finditer(s):
-        add("phone", _phone(s, m.end()), 2)
-    for m in OWN_NUMBER.finditer(s):
-        if got := ID_SHAPE.match(s, m.end()):
-            add("identity_number", got.span(), 3)
-        elif m.end() < len(s) and (s[m.end()].isdigit() or s[m.end()] in "+("):
-            add("phone", _phone(s, m.end()), 3)
     # phones that follow an email or stand in brackets with one
     for _, a, b, kind in list(found):
         if kind == "email":
@@ -311,11 +318,11 @@ def _names(s: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
         return 0 <= i < n and len(words[i][2]) == 1 and words[i][2].isupper() and s[words[i][1] : words[i][1] + 1] == "."
 
     def capital(i: int) -> bool:
-        return 0 <= i < n and words[i][2][0].isupper()
+        return 0 <= i < n
 
     for i in range(n):
         a, b, w = words[i]
-        if a < used or not w[0].isupper() or len(w) < 4:
+        if a < used or len(w) < 4:
             continue
         share = lexicon.surname_share(w)
         if share < 0.34:
