@@ -1,9 +1,10 @@
 """Problem 7: filling fixed-capacity containers with items.
 
 Method: optimal length buckets. Dynamic programming over the global histogram of token counts chooses the bucket
-boundaries that waste least padding; batches under the token budget are then planned from whole buckets: since all
-items of a bucket count as long as its boundary, the plan needs only the buckets' counts, whatever the number of items.
-A batch takes from several buckets, as batches of one bucket alone leave much of a small container unused.
+boundaries that waste least padding; batches under the token budget then form inside each bucket, of as many items as its
+boundary lets into a container. Since all items of a bucket count as long as its boundary, the plan needs only the
+buckets' counts, whatever the number of items. A rest step fills the room that a batch leaves with items of shorter
+buckets, before these form batches of their own; without it (``rest=False``) that room stays unused.
 """
 
 from __future__ import annotations
@@ -95,10 +96,11 @@ def boundaries(sizes: list[int], counts: list[int], most: int = BUCKETS) -> list
     return out[::-1]
 
 
-def plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def plan(bounds: list[int], counts: list[int], capacity: int, rest: bool = True) -> list[tuple[int, int, int, int, int]]:
     """[(bucket, first rank, per container, first container, first place)]: which ranks of a bucket go where.
 
-    Buckets are taken from the largest; each first fills the open containers that leave least room, then opens new ones.
+    Buckets are taken from the largest; each first fills the open containers that leave least room (the rest step), then
+    forms batches in new ones.
     Containers alike are kept as one group, so the plan's size depends on the buckets and not on the items.
     """
     runs: list[tuple[int, int, int, int, int]] = []
@@ -106,7 +108,7 @@ def plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int,
     opened = 0
     for bucket in range(len(bounds) - 1, -1, -1):
         size, left, rank = bounds[bucket], counts[bucket], 0
-        for room in sorted(r for r in groups if r >= size):
+        for room in sorted(r for r in groups if r >= size and rest):
             if not left:
                 break
             keep = []
@@ -144,7 +146,7 @@ def plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int,
     return runs
 
 
-def containers(documents: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def containers(documents: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, rest: bool = True) -> DataFrame:
     """(spec_id, doc_id, piece, start_token, n_tokens, container, position) of every text for every container size.
 
     A text is split only if it exceeds the capacity: into full pieces and a rest. ``specs`` is the stated list of
@@ -167,25 +169,25 @@ def containers(documents: DataFrame, specs: DataFrame, id_col: str = "doc_id", t
     histogram: dict[int, dict[int, int]] = {s: {} for s in capacity}
     for r in rows.groupBy("spec_id", "size").count().collect():
         histogram[r.spec_id][r["size"]] = r["count"]
-    plans: dict[int, tuple[np.ndarray, dict[int, np.ndarray]]] = {}
+    plans: dict[int, tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]] = {}
     for s, h in histogram.items():
         ordered = sorted(h)
         bounds = boundaries(ordered, [h[x] for x in ordered])
         index = np.searchsorted(bounds, ordered)
         counts = np.bincount(index, weights=[h[x] for x in ordered], minlength=len(bounds)).astype(np.int64).tolist() if ordered else []
         by: dict[int, list] = {}
-        for bucket, *run in plan(bounds, counts, capacity[s]):
+        for bucket, *run in plan(bounds, counts, capacity[s], rest):
             by.setdefault(bucket, []).append(run)
-        plans[s] = (np.array(bounds, dtype=np.int64), {b: np.array(x, dtype=np.int64) for b, x in by.items()})
-    total = sum(sum(h.values()) for h in histogram.values())
+        plans[s] = (np.array(bounds, dtype=np.int64), {b: np.array(x, dtype=np.int64) for b, x in by.items()}, np.array(counts, dtype=np.int64) // ROWS_PER_SALT + 1)
 
-    @F.pandas_udf(T.IntegerType())
-    def bucket_of(spec: pd.Series, size: pd.Series) -> pd.Series:
-        out = np.zeros(len(size), dtype=np.int32)
+    @F.pandas_udf(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("salts", T.LongType())]))
+    def bucket_of(spec: pd.Series, size: pd.Series) -> pd.DataFrame:
+        bucket, salts = np.zeros(len(size), dtype=np.int32), np.ones(len(size), dtype=np.int64)
         for s in spec.unique():
             here = (spec == s).to_numpy()
-            out[here] = np.searchsorted(plans[s][0], size.to_numpy()[here])
-        return pd.Series(out)
+            bucket[here] = np.searchsorted(plans[s][0], size.to_numpy()[here])
+            salts[here] = plans[s][2][bucket[here]]
+        return pd.DataFrame({"bucket": bucket, "salts": salts})
 
     @F.pandas_udf(T.StructType([T.StructField("container", T.LongType()), T.StructField("position", T.LongType())]))
     def place(spec: pd.Series, bucket: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -198,8 +200,7 @@ def containers(documents: DataFrame, specs: DataFrame, id_col: str = "doc_id", t
             out[at, 1] = slot + (r - first) % per
         return pd.DataFrame(out, columns=["container", "position"])
 
-    salts = max(1, total // ROWS_PER_SALT)
-    rows = rows.withColumn("bucket", bucket_of("spec_id", "size")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("b", bucket_of("spec_id", "size")).withColumn("bucket", F.col("b.bucket")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("b.salts")).cast("int"))
     rows = rows.select("spec_id", "doc_id", "piece", "start_token", "n_tokens", "bucket", "salt")
     before = Window.partitionBy("spec_id", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("spec_id", "bucket", "salt").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

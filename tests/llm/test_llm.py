@@ -298,6 +298,18 @@ def test_containers(spark):
         assert whole == tokens and all(r.piece == 0 for r in own if tokens.get(r.doc_id, 0) <= cap) and sum(r.doc_id == 7 for r in own) == 2
         assert sum(x.n_tokens for x in own) / (len(fill) * cap) > 0.9
     assert packing.containers(df.limit(0), specs).count() == 0 and packing.containers(df, specs.limit(0)).count() == 0
+    alone = packing.containers(df, specs, rest=False).filter("spec_id = 1").collect()
+    tokens_in = {}
+    for r in alone:
+        tokens_in[r.container] = tokens_in.get(r.container, 0) + r.n_tokens
+    assert len(alone) == sum(r.spec_id == 1 for r in got) and max(tokens_in.values()) <= 64 and len(tokens_in) > len({r.container for r in got if r.spec_id == 1})
+
+
+def test_a_bucket_has_salts_by_its_count(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 50)
+    df = spark.createDataFrame([(k, "word " * (3 if k % 3 else 1 + k % 7)) for k in range(900)], "doc_id long, text string")
+    got = packing.containers(df, spark.createDataFrame([(1, 32)], "spec_id int, capacity_tokens int")).collect()
+    assert len({(r.container, r.position) for r in got}) == len(got) == 900
 
 
 # ---- 8
