@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Options, as_schema
-from .operators.decisions import CachedDecider, Decider
+from .data import AnnotatedDocument
+from .operators.decisions import AnswerCache, CachedDecider, Decider
 from .operators.text import documents
 from .plans.pipeline import Result
 from .plans.pipeline import extract as run
-from .session import clean_up, get_spark
+from .session import clean_up, cleaning, get_spark
 
 DOCUMENT = "document_id string, text string, ordinal long"
 
@@ -32,7 +35,7 @@ def _as_row(item: object, ordinal: int) -> tuple:
 class Extractor:
     """A schema, a decider and options, ready for documents; answers are cached at ``cache`` if that is given."""
 
-    def __init__(self, schema: object, decider: Decider, options: Options = Options(), cache: str | None = None, spark: SparkSession | None = None):
+    def __init__(self, schema: object, decider: Decider, options: Options = Options(), cache: str | AnswerCache | None = None, spark: SparkSession | None = None):
         self.schema, self.options = as_schema(schema), options
         self.decider = CachedDecider(decider, cache, options.model) if cache else decider
         self.spark = spark or get_spark()
@@ -51,13 +54,24 @@ class Extractor:
     def extract(self, text: str) -> dict:
         return next(self.extract_many([text]))
 
-    def extract_many(self, items: Iterable) -> Iterator[dict]:
-        """Nested results in the order of the items, which are the caller's own and so fit the driver."""
-        rows = [_as_row(x, n) for n, x in enumerate(items)]
-        own = self.spark.createDataFrame([(str(n), t) for _, t, n in rows], "doc_id string, text string")
-        found = {r.document_id: r.asDict(recursive=True) for r in self.run(own).annotated().toLocalIterator()}
-        for key, _, n in rows:
-            yield found[str(n)] | {"document_id": key}
+    def extract_many(self, items: Iterable, at_once: int = 1000) -> Iterator[dict]:
+        """Nested results in the order of the items. So many items are in flight at once: only their texts and results are
+        held, and what a batch wrote is deleted after it."""
+        for batch in batched(enumerate(items), at_once):
+            rows = [_as_row(x, n) for n, x in batch]
+            with cleaning(self.spark):
+                own = self.spark.createDataFrame([(str(n), t) for _, t, n in rows], "doc_id string, text string")
+                found = {r.document_id: r.asDict(recursive=True) for r in self.run(own).annotated().toLocalIterator()}
+            for key, _, n in rows:
+                yield found[str(n)] | {"document_id": key}
+
+    def documents(self, items: Iterable, at_once: int = 1000) -> Iterator[AnnotatedDocument]:
+        """The results as plain values."""
+        return map(AnnotatedDocument.from_row, self.extract_many(items, at_once))
+
+    async def aextract(self, text: str) -> dict:
+        """``extract`` without blocking the event loop."""
+        return await asyncio.to_thread(self.extract, text)
 
 
 def extract(items: object, schema: object, decider: Decider, options: Options = Options()) -> object:

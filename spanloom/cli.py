@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from .config import Options, Schema
@@ -73,8 +75,8 @@ def main(argv: list[str] | None = None) -> int:
         n = annotated.agg(F.count("*").alias("documents"), F.sum(F.size("extractions")).alias("extractions"), F.sum(F.size("errors")).alias("errors")).first()
         print(f"{n.documents} documents, {n.extractions} extractions, {n.errors} errors", file=sys.stderr)
         return 1 if n.errors else 0
-    except (SpanloomError, OSError, ValueError) as e:
-        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+    except (SpanloomError, PySparkException, Py4JError, OSError, ValueError) as e:
+        print(f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else e!r}", file=sys.stderr)
         return 2
 
 

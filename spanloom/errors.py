@@ -20,11 +20,11 @@ class ResponseValidationError(SpanloomError):
 
 
 class ExtractionError(SpanloomError):
-    """A unit failed and the policy is to raise; ``errors`` holds what failed."""
+    """A unit failed and the policy is to raise; ``errors`` holds what failed, ``result`` the tables of what did not."""
 
-    def __init__(self, message: str, errors: list | None = None):
+    def __init__(self, message: str, errors: list | None = None, result: object = None):
         super().__init__(message)
-        self.errors = errors or []
+        self.errors, self.result = errors or [], result
 
 
 class SchemaError(SpanloomError, ValueError):

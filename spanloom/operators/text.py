@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..config import Options, Schema
 from ..functions import segment, spans
 from ..schemas import SCAN
 
+LINE_FEED = segment.regex.compile("\n")
 #: A regular expression class for every character that counts as a blank.
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 def documents(df: DataFrame, id_col: str | None = "document_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the id as text; invalid characters become U+FFFD; without an id column, the row's ordinal."""
-    key = F.col(id_col).cast("string") if id_col and id_col in df.columns else F.monotonically_increasing_id().cast("string")
+    """(doc_id, text): the id as text, or the row's ordinal where there is none; invalid characters become U+FFFD."""
+    ordinal = F.monotonically_increasing_id().cast("string")
+    key = F.coalesce(F.col(id_col).cast("string"), ordinal) if id_col and id_col in df.columns else ordinal
     return df.select(key.alias("doc_id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
 
 
@@ -38,19 +43,31 @@ def piece(text: Column, s: Column, e: Column) -> Column:
 
 
 def lines_with_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, start_pos, end_pos, text) of every line, split on the line feed only."""
-    parts = F.split(F.col(text_col), "\n", -1)
-    places = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(x)).alias("e")))).alias("out")),
-    )["out"]
-    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(places.alias("p"), parts.alias("t"))).alias("line", "x"))
-    return rows.select("doc_id", "line", F.col("x.p.s").alias("start_pos"), F.col("x.p.e").alias("end_pos"), F.col("x.t").alias("text"))
+    """(doc_id, line, start_pos, end_pos, text) of every line, split on the line feed only; one pass, linear in the text."""
+
+    def lines(key, text: str) -> Iterator[tuple]:
+        at = 0
+        for n, line in enumerate(text.split("\n")):
+            yield key, n, at, at + len(line), line
+            at += len(line) + 1
+
+    return _each(df, id_col, text_col, lines, "line int, start_pos int, end_pos int, text string")
+
+
+def _each(df: DataFrame, id_col: str, text_col: str, rows_of, columns: str) -> DataFrame:
+    """(doc_id, columns..): the rows that a function of (id, text) gives for each text that is not null, in one pass."""
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for key, text in zip(b.doc_id, b.text) for r in rows_of(key, text)], columns=names)
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    return rows.mapInPandas(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
 def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataFrame:
-    """One Arrow pass over (doc_id, text): sentences, tokens and the ranked candidates of each sentence.
+    """One Arrow pass over (doc_id, text): sentences, windows with their state, their sentences and ranked candidates.
 
     Candidates with the same span are one, with all their sources and the best priority; each sentence keeps the best
     by (priority, start, end), three times as many where it holds CJK characters. A failing custom generator is an
@@ -60,59 +77,115 @@ def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataF
     classes = [(e.id, list(e.patterns), [*e.terms, *e.examples]) for e in schema.entities]
     wanted = bool(schema.entities) or any("any" in f.source for f in schema.fields)
 
-    def one(text: str) -> tuple[list, list, list, list]:
-        sents = segment.sentences(text, options.max_sentence_chars)
-        toks = segment.tokens_of(segment.tokens(text), sents)
-        if not wanted:
-            return sents, toks, [], []
+    about: dict[str, object] = {}
+    if schema.description:
+        about["document_type"] = schema.description
+    if schema.instructions:
+        about["guidelines"] = schema.instructions
+    if schema.entities:
+        about["entity_types"] = {e.id: e.definition() for e in schema.entities}
+    tagging = options.span_source in ("tags", "hybrid")
+
+    def candidates_of(text: str, sents: list, toks: list) -> tuple[dict[int, list[tuple]], list[tuple[str, str]]]:
         got, errors = spans.candidates(text, sents, toks, classes, stop, options.max_ngram, options.span_source != "tags", options.ngrams, options.candidate_generators)
         merged: dict[tuple[int, int, int], list] = {}
         for n, s, e, source, p in got:
             row = merged.setdefault((n, s, e), [set(), p])
             row[0].add(source)
             row[1] = min(row[1], p)
-        by: dict[int, list] = {}
+        by: dict[int, list[tuple]] = {}
         for (n, s, e), (sources, p) in merged.items():
             by.setdefault(n, []).append((p, s, e, sorted(sources)))
-        kept = []
         for n, rows in by.items():
             most = options.max_candidates_per_sentence * (3 if any(spans.is_cjk(text[a:b]) for a, b in toks[n]) else 1)
-            kept += [(n, s, e, text[s:e], sources, p) for p, s, e, sources in sorted(rows)[:most]]
-        return sents, toks, sorted(kept), errors
+            by[n] = sorted((s, e, sources, p) for p, s, e, sources in sorted(rows)[:most])
+        return by, errors
+
+    def page(key: str, text: str) -> tuple:
+        sents = segment.sentences(text, options.max_sentence_chars)
+        toks = segment.tokens_of(segment.tokens(text), sents) if wanted or tagging else [[] for _ in sents]
+        cands, errors = candidates_of(text, sents, toks) if wanted else ({}, [])
+        wins = []
+        for w, (first, last) in enumerate(segment.windows(sents, options.window_chars, options.window_sentences)):
+            s, e = sents[first][0], sents[last][1]
+            own = {f"S{k - first + 1}": text[a:b] for k, (a, b) in enumerate(sents[first : last + 1], first)}
+            before, after = segment.context_before(text, s, options.context_chars), segment.context_after(text, e, options.context_chars)
+            state = about | ({"preceding_text": before} if before else {}) | {"text": text[s:e] if first == last else own} | ({"following_text": after} if after else {})
+            refs = {n: "`text`" if first == last else f"`text.S{n - first + 1}`" for n in range(first, last + 1)}
+            wins.append({
+                "window": w, "first": first, "last": last, "s": s, "e": e, "state": json.dumps(state, ensure_ascii=False),
+                "sentences": [{"sentence": n, "s": sents[n][0], "e": sents[n][1], "text": text[sents[n][0] : sents[n][1]], "ref": refs[n], "tokens": [{"s": a, "e": b} for a, b in toks[n]] if tagging else []} for n in refs],
+                "candidates": [candidate(text, n, refs[n], sents[n], *c) for n in refs for c in cands.get(n, ())],
+            })
+        return key, text, [{"s": a, "e": b} for a, b in sents], wins, [{"stage": "candidates", "where": f"generator:{g}", "error": e} for g, e in errors]
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        span = lambda x: {"s": x[0], "e": x[1]}
         for b in batches:
-            rows = []
-            for key, text in zip(b.doc_id, b.text):
-                sents, toks, cands, errors = one(text)
-                rows.append((
-                    key, text, [span(x) for x in sents], [[span(x) for x in t] for t in toks],
-                    [dict(zip(("sentence", "s", "e", "text", "sources", "priority"), c)) for c in cands],
-                    [{"stage": "candidates", "where": f"generator:{g}", "error": e} for g, e in errors],
-                ))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "sentences", "tokens", "candidates", "errors"])
+            yield pd.DataFrame([page(key, text) for key, text in zip(b.doc_id, b.text)], columns=["doc_id", "text", "sentences", "windows", "errors"])
 
     return docs.select("doc_id", "text").filter("text is not null").mapInPandas(pages, SCAN)
 
 
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
+
+
+def candidate(text: str, sentence: int, ref: str, span: tuple[int, int], s: int, e: int, sources: list[str], priority: int) -> dict:
+    """A candidate row; where its words stand several times in the sentence, which of them it is and what surrounds it."""
+    part = text[s:e]
+    occurrence = context = None
+    if text.count(part, *span) > 1 and len(places := sorted({s, *spans.occurrences(text, part, *span)})) > 1:
+        k = places.index(s)
+        occurrence = f"the {ORDINALS[k] if k < len(ORDINALS) else f'#{k + 1}'} of {len(places)} occurrences in {ref}"
+        context = segment.snippet(text, s, e, 25)
+    return {"sentence": sentence, "s": s, "e": e, "text": part, "sources": sources, "priority": priority, "ref": ref, "occurrence": occurrence, "context": context}
+
+
+def window_rows(scanned: DataFrame) -> DataFrame:
+    """(doc_id, window, first, last, s, e, state, sentences, candidates) of every window."""
+    return scanned.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
+
+
+def candidate_rows(scanned: DataFrame) -> DataFrame:
+    """(doc_id, window, state and a candidate's columns): the state comes along from the window, without a join."""
+    return window_rows(scanned).select("doc_id", "window", "state", F.explode("candidates").alias("c")).select("doc_id", "window", "state", "c.*")
+
+
+def windows_with_context(df: DataFrame, chars: int = 250, most_chars: int = 800, most_sentences: int = 8, most_sentence_chars: int = 600, lines: bool = False) -> DataFrame:
+    """(doc_id, window, first, last, s, e, before, after): sentences (or lines that are not blank) packed into windows, with
+    the text around them; one pass over (doc_id, text), linear in it."""
+
+    def rows(key, text: str) -> Iterator[tuple]:
+        if lines:
+            at, units = 0, []
+            for line in text.split("\n"):
+                if line.strip():
+                    units.append((at, at + len(line)))
+                at += len(line) + 1
+        else:
+            units = segment.sentences(text, most_sentence_chars)
+        for w, (first, last) in enumerate(segment.windows(units, most_chars, most_sentences)):
+            s, e = units[first][0], units[last][1]
+            yield key, w, first, last, s, e, segment.context_before(text, s, chars), segment.context_after(text, e, chars)
+
+    return _each(df, "doc_id", "text", rows, "window int, first int, last int, s int, e int, before string, after string")
+
+
 def windows(sentences: Column, most_chars: int = 800, most_sentences: int = 8) -> Column:
     """array<struct<first,last,s,e>>: sentences packed in order while the window stays within both limits.
 
-    The first sentence of a window always fits. A fold over the array; packing starts anew at each cut.
+    The first sentence of a window always fits; linear in the sentences.
     """
-    kind = "array<struct<first:int,last:int,s:int,e:int>>"
+    kind = ArrayType(StructType([StructField(c, IntegerType()) for c in ("first", "last", "s", "e")]))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        n = acc["n"]
-        fits = F.coalesce((x["e"] - last["s"] <= most_chars) & (last["last"] - last["first"] + 1 < most_sentences), F.lit(False))
-        wider = F.struct(last["first"].alias("first"), n.alias("last"), last["s"].alias("s"), x["e"].alias("e"))
-        fresh = F.struct(n.alias("first"), n.alias("last"), x["s"].alias("s"), x["e"].alias("e"))
-        out = F.when(fits, F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc["out"], F.array(fresh)))
-        return F.struct((n + 1).alias("n"), out.cast(kind).alias("out"))
+    @F.pandas_udf(kind)
+    def pack(rows: pd.Series) -> pd.Series:
+        out = []
+        for x in rows:
+            sents = [(y["s"], y["e"]) for y in x] if x is not None else []
+            out.append([{"first": a, "last": b, "s": sents[a][0], "e": sents[b][1]} for a, b in segment.windows(sents, most_chars, most_sentences)])
+        return pd.Series(out)
 
-    return F.aggregate(sentences, F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("out")), step)["out"]
+    return pack(sentences)
 
 
 def context_before(text: Column, start: Column, chars: int) -> Column:
@@ -153,25 +226,43 @@ def token_estimate(s: Column) -> Column:
     return F.floor(F.octet_length(s) / 3) + 1
 
 
+def sentence_spans(df: DataFrame, most_chars: int = 600) -> DataFrame:
+    """(doc_id, sentence, s, e) of the sentences of every text; one pass."""
+    return _each(df, "doc_id", "text", lambda key, text: ((key, n, s, e) for n, (s, e) in enumerate(segment.sentences(text, most_chars))), "sentence int, s int, e int")
+
+
 def pattern_spans(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_pos, end_pos, value) of every match of one pattern, without leaving the JVM.
+    """(doc_id, start_pos, end_pos, value) of every match of one pattern; one pass, linear in the text."""
+    find = segment.regex.compile(pattern).finditer
+    return _each(df, id_col, text_col, lambda key, text: ((key, *m.span(), m.group()) for m in find(text)), "start_pos int, end_pos int, value string")
 
-    The pieces between the matches and the matches themselves alternate, so positions are running sums of lengths.
-    """
-    hits = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
-    gaps = F.split(F.col(text_col), pattern, -1)
-    rows = df.select(F.col(id_col).alias("doc_id"), hits.alias("m"), gaps.alias("g")).filter(F.size("m") > 0)
-    places = F.aggregate(
-        F.arrays_zip("m", "g"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start_pos"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end_pos"), x["m"].alias("value")))))
-            .alias("out"),
-        ),
-    )["out"]
-    return rows.select("doc_id", F.inline(places))
+
+def uncovered_spans(df: DataFrame, weak: str, strong: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_pos, end_pos, value) of the matches of a weak pattern that don't lie inside the union of the matches of
+    stronger ones, or are exactly one of them. Both are sorted within the text's own row, so nothing is shuffled."""
+    find, over = segment.regex.compile(weak).finditer, [segment.regex.compile(p).finditer for p in strong]
+
+    def rows(key, text: str) -> Iterator[tuple]:
+        own = [m.span() for m in find(text)]
+        hidden = spans.inside(set(own), [m.span() for f in over for m in f(text)])
+        yield from ((key, a, b, text[a:b]) for a, b in own if (a, b) not in hidden)
+
+    return _each(df, id_col, text_col, rows, "start_pos int, end_pos int, value string")
+
+
+def spans_in_lines(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_pos, end_pos, value, sentence) of every match with the line that holds it; a match over a line end is
+    left out. Lines are disjoint and in order, so each match finds its own by bisection in the same pass."""
+    find = segment.regex.compile(pattern).finditer
+
+    def rows(key, text: str) -> Iterator[tuple]:
+        starts = [0, *(m.end() for m in LINE_FEED.finditer(text))]
+        for m in find(text):
+            n = bisect_right(starts, m.start()) - 1
+            if n + 1 == len(starts) or m.end() < starts[n + 1]:
+                yield key, *m.span(), m.group(), n
+
+    return _each(df, id_col, text_col, rows, "start_pos int, end_pos int, value string, sentence int")
 
 
 def typed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: list[str] | None = None) -> DataFrame:

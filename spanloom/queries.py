@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Options, Schema
 from .operators import decisions, intervals, quantities
 from .operators import text as T
-from .operators.decisions import HashDecider
+from .operators.decisions import HashDecider, LookupDecider
 from .plans.pipeline import extract, needs_review
-from .session import cut, table
+from .session import cut, numbered, shared_dir, table
+from .sources.readers import read_jsonl
+from .sources.writers import write_jsonl
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -120,20 +124,13 @@ COVERED = f"""WITH e AS ({_spans_sql(EMAIL)}), n AS ({_spans_sql(NUMBER)})"""
 @query(sql=COVERED + " SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.start_pos <= n.start_pos AND n.end_pos <= e.end_pos)")
 def weak_span_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that are no part of an email address."""
-    docs = docs_of(spark, sf_dir)
-    named = lambda df: df.withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e")
-    out = intervals.without_covered(named(T.pattern_spans(docs, NUMBER)), named(T.pattern_spans(docs, EMAIL_FAST)).drop("value"), ["doc_id"])
-    return out.select("doc_id", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), "value")
+    return T.uncovered_spans(docs_of(spark, sf_dir), NUMBER, [EMAIL_FAST])
 
 
 @query(sql=LINES + f", n AS ({_spans_sql(NUMBER)}) SELECT n.doc_id, n.start_pos, n.end_pos, n.value, CAST(line AS INT) AS sentence FROM n JOIN o ON o.doc_id = n.doc_id AND o.start_pos <= n.start_pos AND n.end_pos <= o.start_pos + length(t)")
 def candidate_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each number with the line that holds it."""
-    docs = docs_of(spark, sf_dir)
-    spans = T.pattern_spans(docs, NUMBER).withColumnRenamed("start_pos", "s").withColumnRenamed("end_pos", "e")
-    lines = T.lines_with_offsets(docs).select("doc_id", F.col("line").alias("sentence"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
-    out = intervals.assign_to_sentences(spans, lines)
-    return out.select("doc_id", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), "value", "sentence")
+    return T.spans_in_lines(docs_of(spark, sf_dir), NUMBER)
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,13 +173,16 @@ def occurrence_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.occurrence_ordinals(rows, ["doc_id", "text"])
 
 
-@query
+@query(sql="""WITH x AS (SELECT document_key AS doc_id, start_pos AS s, end_pos AS e, extraction_class AS c, max(confidence) AS p FROM extractions
+WHERE kind = 'entity' AND confidence IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL GROUP BY ALL),
+o AS (SELECT doc_id, list([{'s': s, 'e': e, 'c': c, 'p': p}] ORDER BY floor(p / 0.1 + 1e-9) DESC, e - s DESC, s, c) AS l FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(l, lambda a, y: CASE WHEN len(list_filter(a, lambda k: k.s < y[1].e AND y[1].s < k.e)) > 0 THEN a ELSE list_concat(a, y) END)) AS k FROM o)
+SELECT doc_id, k.s AS s, k.e AS e, k.c AS extraction_class, k.p AS confidence FROM k""")
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entities of each document that stay when overlapping ones compete."""
+    """The entities of each document that stay when overlapping ones compete; repeated rows count once."""
     rows = placed(spark, sf_dir).filter("kind = 'entity' and confidence is not null")
-    pick = F.struct("s", "e", "confidence", "extraction_class", "extraction_id")
-    kept = rows.groupBy("doc_id").agg(F.collect_set(pick).alias("x")).select("doc_id", F.explode(intervals.resolve_overlaps(F.col("x"), "none")).alias("k"))
-    return kept.select("doc_id", "k.extraction_id", "k.s", "k.e")
+    rows = rows.groupBy("doc_id", "s", "e", "extraction_class").agg(F.max("confidence").alias("confidence"))
+    return intervals.without_overlaps(rows, ["doc_id"]).select("doc_id", "s", "e", "extraction_class", "confidence")
 
 
 @query(sql="""WITH x AS (SELECT DISTINCT document_key AS doc_id, start_pos AS s, end_pos AS e, extraction_class FROM extractions WHERE kind <> 'sentence' AND start_pos IS NOT NULL AND end_pos IS NOT NULL AND document_key IS NOT NULL),
@@ -210,28 +210,51 @@ def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sentences_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by the engine's own splitter, none over 600 characters."""
-    schema = Schema.from_dict({"sentence_labels": {"x": "x"}})
-    docs = T.documents(docs_of(spark, sf_dir), "doc_id")
-    return T.scan(docs, schema).select("doc_id", F.posexplode("sentences").alias("sentence", "x")).select("doc_id", "sentence", "x.s", "x.e")
+    return T.sentence_spans(T.documents(docs_of(spark, sf_dir), "doc_id"))
 
 
 @query
 def windows_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of up to 800 characters and 8 sentences with the text around them."""
-    schema = Schema.from_dict({"sentence_labels": {"x": "x"}})
-    rows = T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema).select("doc_id", "text", F.posexplode(T.windows(F.col("sentences"))).alias("window", "w")).select("doc_id", "text", "window", "w.*")
-    return rows.select("doc_id", "window", "first", "last", "s", "e", T.context_before(F.col("text"), F.col("s"), 250).alias("before"), T.context_after(F.col("text"), F.col("e"), 250).alias("after"))
+    return T.windows_with_context(T.documents(docs_of(spark, sf_dir), "doc_id"))
+
+
+BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+NOT_BLANK = r"[^\s\x1c-\x1f\x{85}\p{Z}]"
+
+
+@query(sql=LINES + f""", nb AS (SELECT doc_id, line, CAST(start_pos AS BIGINT) AS s, CAST(start_pos + length(t) AS BIGINT) AS e FROM o WHERE regexp_matches(t, '{NOT_BLANK}')),
+g AS (SELECT doc_id, list([{{'f': k, 'l': k, 's': s, 'e': e}}] ORDER BY k) AS l FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS k FROM nb) GROUP BY doc_id),
+w AS (SELECT doc_id, list_reduce(l, lambda a, y: CASE WHEN y[1].f - a[-1].f < 8 AND y[1].e - a[-1].s <= 800 THEN list_concat(a[:-2], [{{'f': a[-1].f, 'l': y[1].f, 's': a[-1].s, 'e': y[1].e}}]) ELSE list_concat(a, y) END) AS w FROM g),
+x AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS n FROM w), y AS (SELECT x.doc_id, n, w.f AS f, w.l AS l, w.s AS s, w.e AS e, greatest(w.s - 250, 0) AS lo, least(w.e + 250, length(text)) AS hi, text FROM x JOIN annotated_docs ON document_key = x.doc_id),
+c AS (SELECT *, substr(text, lo + 1, s - lo) AS b, substr(text, e + 1, hi - e) AS a FROM y)
+SELECT doc_id, CAST(n AS INT) AS "window", CAST(f AS INT) AS "first", CAST(l AS INT) AS "last", CAST(s AS INT) AS s, CAST(e AS INT) AS e,
+regexp_replace(CASE WHEN lo > 0 AND regexp_matches(substr(text, lo, 1), '{NOT_BLANK}') THEN regexp_replace(b, '^{NOT_BLANK}*', '') ELSE b END, '^{BLANK}+|{BLANK}+$', '', 'g') AS "before",
+regexp_replace(CASE WHEN hi < length(text) AND regexp_matches(substr(text, hi + 1, 1), '{NOT_BLANK}') THEN regexp_replace(a, '{NOT_BLANK}*$', '') ELSE a END, '^{BLANK}+|{BLANK}+$', '', 'g') AS "after" FROM c""")
+def windows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of up to 800 characters and 8 lines that are not blank, with the text around them."""
+    return T.windows_with_context(docs_of(spark, sf_dir), lines=True)
 
 
 @query
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidate spans of every sentence, merged, ranked and capped."""
     schema = Schema.from_dict({"entities": {"town": {"description": "a town", "terms": ["Fairholt", "Kestrel Bay", "Novaluz"]}, "permit": {"description": "a permit", "patterns": [r"AGR-\d{4}-\d+"]}}})
-    rows = T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema)
-    return rows.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
+    return T.candidate_rows(T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema)).drop("state")
 
 
-@query
+PERMIT = r"AGR-\d{4}-\d+"
+
+
+@query(sql=f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, start_pos AS s, end_pos AS e, value AS text FROM ({_spans_sql(PERMIT.replace(chr(92) + 'd', '[0-9]'))})")
+def class_pattern_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a class's own pattern finds."""
+    return T.regex_spans(docs_of(spark, sf_dir), [PERMIT])
+
+
+@query(sql=f"""WITH x AS (SELECT extraction_id, start_pos AS s, end_pos AS e, text, greatest(start_pos - 25, 0) AS lo, least(end_pos + 25, length(text)) AS hi FROM extractions JOIN annotated_docs USING (document_key) WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL AND text IS NOT NULL)
+SELECT extraction_id, concat(CASE WHEN lo > 0 THEN '…' ELSE '' END, trim(regexp_replace(substr(text, lo + 1, hi - lo), '{BLANK}+', ' ', 'g')), CASE WHEN hi < length(text) THEN '…' ELSE '' END) AS snippet,
+coalesce((['first', 'second', 'third', 'fourth', 'fifth', 'sixth', 'seventh', 'eighth', 'ninth', 'tenth'])[extraction_id % 12 + 1], '#' || CAST(extraction_id % 12 + 1 AS VARCHAR)) AS ordinal FROM x""")
 def context_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each extraction with what stands around it."""
     rows = placed(spark, sf_dir).join(docs_of(spark, sf_dir).select("doc_id", "text"), "doc_id")
@@ -293,6 +316,75 @@ def class_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("extraction_id", F.when(F.col("confidence") >= limit, "accepted").otherwise("low_confidence").alias("outcome"))
 
 
+@query(sql=f"""WITH q AS (SELECT doc_id, unnest(range(5)) AS i FROM documents), w AS (SELECT *, {WEIGHT.format(parts="'attribute', CAST(doc_id AS VARCHAR), 'level', CAST(i AS VARCHAR)")} AS w FROM q)
+SELECT doc_id, round(sum(i * w) / sum(w), 6) AS score FROM w GROUP BY doc_id""")
+def score_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each document: the expectation over its levels, where no number is given."""
+    criteria = F.array(*[F.struct(F.lit(str(k)).alias("key"), F.lit(f"level {k}").alias("value")) for k in range(5)])
+    q = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit("score").alias("type"), criteria.alias("criteria"), F.lit("attribute").alias("role"), F.col("doc_id").cast("string").alias("subject"), F.lit("level").alias("name"))
+    return decisions.validated(q, HashDecider().decide(q)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+KNOWN = {"Fairholt": "town", "Kestrel Bay": "town", "Novaluz": "town"}
+
+
+@query(sql="SELECT DISTINCT extraction_text AS subject, CASE WHEN extraction_text IN ('Fairholt', 'Kestrel Bay', 'Novaluz') THEN 'town' ELSE 'none' END AS choice, 0.9 AS p FROM extractions WHERE extraction_text IS NOT NULL")
+def lookup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct mention's class by a list of known ones."""
+    criteria = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k).alias("value")) for k in ("town", "person", "none")])
+    rows = table(spark, sf_dir, "extractions").select(F.col("extraction_text").alias("subject")).dropna().distinct()
+    q = rows.select("subject", F.md5("subject").alias("key"), F.lit("").alias("state"), F.lit("choice").alias("type"), F.lit("which").alias("instructions"), criteria.alias("criteria"), F.lit("classify").alias("role"), F.lit("").alias("name"))
+    got = decisions.validated(q, LookupDecider(spark, entities=KNOWN).decide(q)).withColumn("t", decisions.top(F.col("probs")))
+    return got.select("subject", F.col("t.choice").alias("choice"), F.round("t.p", 6).alias("p"))
+
+
+@query(sql=f"""WITH q AS (SELECT DISTINCT extraction_class AS c FROM extractions), o AS (SELECT c, unnest(range(3)) AS o, unnest(['a', 'b', 'none']) AS k FROM q),
+w AS (SELECT *, {WEIGHT.format(parts="'classify', c, '', k")} AS w FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY w DESC, o) AS r FROM w)
+SELECT c AS extraction_class, k AS choice, 0 AS asked_again FROM r WHERE r = 1""")
+def cached_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked twice through the answer cache: the second time nothing reaches the decider."""
+    criteria = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k).alias("value")) for k in ("a", "b", "none")])
+    rows = table(spark, sf_dir, "extractions").select("extraction_class").distinct()
+    q = rows.select("extraction_class", F.col("extraction_class").alias("key"), F.col("extraction_class").alias("state"), F.lit("choice").alias("type"), F.lit("which").alias("instructions"), criteria.alias("criteria"), F.lit("classify").alias("role"), F.col("extraction_class").alias("subject"), F.lit("").alias("name"))
+    cache = decisions.TableCache(f"{shared_dir(spark).rstrip('/')}/cache-{uuid.uuid4().hex}")
+    decisions.CachedDecider(HashDecider(), cache).decide(q).count()
+    again = decisions.CachedDecider(decisions.FailingDecider(HashDecider(), "true"), cache).decide(q)
+    got = decisions.validated(q, again).withColumn("t", decisions.top(F.col("probs")))
+    return got.select("extraction_class", F.col("t.choice").alias("choice"), F.col("error").isNotNull().cast("int").alias("asked_again"))
+
+
+@query(sql="SELECT extraction_id, coalesce(start_pos, -1) AS start, coalesce(end_pos, -1) AS \"end\" FROM extractions")
+def interval_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each extraction begins and ends, -1 without an interval."""
+    rows = table(spark, sf_dir, "extractions").select("extraction_id", F.when(F.col("start_pos").isNotNull() | F.col("end_pos").isNotNull(), F.struct("start_pos", "end_pos")).alias("char_interval"))
+    return intervals.with_positions(rows).select("extraction_id", "start", "end")
+
+
+@query(sql="SELECT count(*) AS rows, 1 AS first, count(*) AS last, count(*) AS numbers FROM documents")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that pages of documents get: from 1 without a gap."""
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id"))
+    return rows.agg(F.count("*").alias("rows"), F.min("number").cast("int").alias("first"), F.max("number").alias("last"), F.count_distinct("number").alias("numbers"))
+
+
+@query(sql="SELECT CAST(document_key AS VARCHAR) AS doc_id, text FROM annotated_docs WHERE text IS NOT NULL")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    docs = docs_of(spark, sf_dir).filter("text is not null")
+    write_jsonl(docs.select(F.col("doc_id").cast("string").alias("document_id"), "text"), path)
+    return read_jsonl(spark, path)
+
+
+@query(sql="SELECT count(*) AS rows, count(document_id) AS given, count(DISTINCT document_id) AS ids, 0 AS without FROM annotated_docs")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a document: ids may be missing, and then are the row's number, or be used again."""
+    docs = table(spark, sf_dir, "annotated_docs")
+    ids = T.documents(docs, "document_id").select("doc_id", F.lit(1).alias("one"))
+    known = docs.select(F.col("document_id").alias("doc_id")).dropna().distinct().withColumn("known", F.lit(1))
+    return ids.join(known, "doc_id", "left").agg(F.count("*").alias("rows"), F.count("known").alias("given"), F.count_distinct(F.when(F.col("known") == 1, F.col("doc_id"))).alias("ids"), F.sum(F.col("doc_id").isNull().cast("int")).alias("without"))
+
+
 @query(sql="SELECT document_key, sha256(concat(coalesce(model, ''), chr(0), text)) AS cache_key FROM annotated_docs WHERE text IS NOT NULL")
 def answer_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content keys of the cache."""
@@ -300,7 +392,10 @@ def answer_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("document_key", F.sha2(F.concat_ws("\x00", F.coalesce("model", F.lit("")), "text"), 256).alias("cache_key"))
 
 
-@query
+@query(sql="""WITH d AS (SELECT project_id, document_key AS k, CAST(floor(strlen(text) / 3) AS BIGINT) + 1 AS t FROM annotated_docs WHERE text IS NOT NULL),
+l AS (SELECT project_id, list([{'k': k, 'r': 0::BIGINT, 'n': 1::BIGINT, 'u': t}] ORDER BY k, t) AS l FROM d GROUP BY project_id),
+p AS (SELECT project_id, unnest(list_reduce(l, lambda a, y: list_concat(a, CASE WHEN a[-1].u + y[1].u <= 54400 AND a[-1].n < 200 THEN [{'k': y[1].k, 'r': a[-1].r, 'n': a[-1].n + 1, 'u': a[-1].u + y[1].u}] ELSE [{'k': y[1].k, 'r': a[-1].r + 1, 'n': 1::BIGINT, 'u': y[1].u}] END))) AS x FROM l)
+SELECT project_id, CAST(x.k AS VARCHAR) AS document_key, CAST(x.r AS INT) AS request FROM p""")
 def request_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each project's documents packed in order into requests under both limits."""
     docs = table(spark, sf_dir, "annotated_docs").filter("text is not null").select("project_id", "document_key", T.token_estimate(F.col("text")).alias("tokens"))

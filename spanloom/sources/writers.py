@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import numbered
+
 # Colours of classes, in turn.
 PALETTE = ("#ffd54f", "#80deea", "#a5d6a7", "#ef9a9a", "#ce93d8", "#ffcc80", "#90caf9", "#e6ee9c", "#f48fb1", "#bcaaa4")
 
@@ -54,6 +56,16 @@ def to_html(text: str, spans: list[tuple[int, int, str, str]], title: str = "")
     return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><p>{legend}</p><pre style="white-space:pre-wrap">{"".join(out)}</pre>'
 
 
+def tooltip(x: dict) -> str:
+    """Class, confidence, attributes, scores, normalised value and the need of a review, at most 120 characters."""
+    parts = [x["c"]] + ([f"{x['p']:.2f}"] if x["p"] is not None else [])
+    parts += [f"{k}: {v}" for k, v in (x["a"] or {}).items() if v is not None]
+    parts += [f"{k} {v:.2f}" for k, v in (x["v"] or {}).items() if v is not None]
+    parts += ([f"= {x['n']}"] if x["n"] is not None else []) + (["review"] if x["r"] else [])
+    told = " · ".join(parts)
+    return told if len(told) <= 120 else told[:117] + "…"
+
+
 def html_pages(annotated: DataFrame) -> DataFrame:
     """(document_id, html) of each document; sentence labels aren't marked, field values are."""
 
@@ -61,11 +73,11 @@ def html_pages(annotated: DataFrame) -> DataFrame:
         for b in batches:
             pages = []
             for key, text, found in zip(b.document_id, b.text, b.x):
-                spans = [(x["s"], x["e"], x["c"], f"{x['c']} {x['p']:.2f}" if x["p"] is not None else x["c"]) for x in (found if found is not None else ()) if x["s"] is not None]
+                spans = [(x["s"], x["e"], x["c"], tooltip(x)) for x in (found if found is not None else ()) if x["s"] is not None]
                 pages.append(to_html(text or "", spans, key or ""))
             yield pd.DataFrame({"document_id": b.document_id, "html": pages})
 
-    row = F.transform(F.filter("extractions", lambda x: x["kind"] != "sentence"), lambda x: F.struct(x["char_interval"]["start_pos"].alias("s"), x["char_interval"]["end_pos"].alias("e"), x["extraction_class"].alias("c"), x["confidence"].alias("p")))
+    row = F.transform(F.filter("extractions", lambda x: x["kind"] != "sentence"), lambda x: F.struct(x["char_interval"]["start_pos"].alias("s"), x["char_interval"]["end_pos"].alias("e"), x["extraction_class"].alias("c"), x["confidence"].alias("p"), x["attributes"].alias("a"), x["scores"].alias("v"), x["normalized"].alias("n"), x["needs_review"].alias("r")))
     return annotated.select("document_id", "text", row.alias("x")).mapInPandas(render, "document_id string, html string")
 
 
@@ -80,7 +92,7 @@ def write_html(annotated: DataFrame, path: str) -> None:
 
 
 def write_html_files(annotated: DataFrame, folder: str) -> None:
-    """One file per document in a folder that all executors share, numbered as the rows come."""
+    """One file per document, numbered from 1 as the rows come, in a folder that is mounted on every executor."""
 
     def save(rows) -> None:
         os.makedirs(folder, exist_ok=True)
@@ -88,4 +100,4 @@ def write_html_files(annotated: DataFrame, folder: str) -> None:
             with open(os.path.join(folder, page_name(r.number, r.document_id)), "w", encoding="utf-8") as f:
                 f.write(r.html)
 
-    html_pages(annotated).withColumn("number", F.monotonically_increasing_id()).foreachPartition(save)
+    numbered(html_pages(annotated)).foreachPartition(save)

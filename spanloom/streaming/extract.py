@@ -11,6 +11,7 @@ from ..config import Options, Schema
 from ..operators import text as T
 from ..operators.decisions import Decider
 from ..plans.pipeline import Result, extract
+from ..session import cleaning
 
 
 def extract_stream(documents: DataFrame, schema: Schema, decider: Decider, sink: Callable[[Result, int], None], checkpoint: str, options: Options = Options(), once: bool = True) -> StreamingQuery:
@@ -18,7 +19,8 @@ def extract_stream(documents: DataFrame, schema: Schema, decider: Decider, sink:
     document be processed once. ``maxFilesPerTrigger`` on the source bounds how many are in flight."""
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(extract(batch, schema, decider, options), number)
+        with cleaning(batch.sparkSession):  # what the batch wrote is not needed once the sink has taken its result
+            sink(extract(batch, schema, decider, options), number)
 
     writer = documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -129,6 +129,74 @@ def test_cache_asks_once(spark, tmp_path):
     assert sorted(map(str, d.decide(rows).select("probs").collect())) == first and Counting.asked == 1
 
 
+def test_memory_cache_forgets_the_longest_unused(spark):
+    rows = q(spark, [("1", "choice", AB)]).withColumns({"state": F.lit("s"), "instructions": F.lit("i"), "role": F.lit("r"), "subject": F.lit("x"), "name": F.lit("")})
+    cache = decisions.MemoryCache(2)
+    for state in ("s", "t", "s", "u"):
+        decisions.CachedDecider(decisions.HashDecider(), cache).decide(rows.withColumn("state", F.lit(state))).collect()
+    again = lambda state: decisions.CachedDecider(decisions.FailingDecider(decisions.HashDecider(), "true"), cache).decide(rows.withColumn("state", F.lit(state))).count()
+    assert len(cache.answers) == 2 and again("s") == again("u") == 1 and again("t") == 0
+
+
+def test_unfit_kept_answers_are_asked_again_and_old_ones_dropped(spark, tmp_path):
+    rows = q(spark, [("1", "choice", AB)]).withColumns({"state": F.lit("s"), "instructions": F.lit("i"), "role": F.lit("r"), "subject": F.lit("x"), "name": F.lit("")})
+    cache = decisions.TableCache(str(tmp_path / "cache"))
+    bad = rows.select(decisions.cache_key("lookup").alias("cache_key"), F.lit(None).cast("array<struct<k:string,p:double>>").alias("probs"), *[F.lit(None).cast(t).alias(c) for c, t in (("noul", "double"), ("score", "double"), ("choice", "string"), ("confidence", "double"))])
+    cache.store(bad)
+    assert decisions.CachedDecider(decisions.HashDecider(), cache).decide(rows).filter("probs is not null").count() == 1
+    assert decisions.CachedDecider(decisions.FailingDecider(decisions.HashDecider(), "true"), cache).decide(rows).filter("probs is not null").count() == 1
+    cache.retain(spark, "2999-01-01")
+    assert cache.lookup(rows.select(decisions.cache_key("lookup").alias("cache_key"))).count() == 0
+
+
+def test_failures_can_be_made_to_raise(spark):
+    rows = q(spark, [("1", "choice", AB)]).withColumns({"role": F.lit("r"), "subject": F.lit("x"), "name": F.lit("")})
+    with pytest.raises(RuntimeError):
+        decisions.FailingDecider(decisions.HashDecider(), "key = '1'", RuntimeError()).decide(rows)
+
+
+def test_overlaps_of_long_groups(spark):
+    rows = [(1, 3 * k + d, 3 * k + d + 2, 0.5 + 0.1 * (d == 1), "a") for k in range(30_000) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, s int, e int, confidence double, extraction_class string")
+    kept = intervals.without_overlaps(df, ["doc_id"])
+    assert kept.count() == 30_000 and kept.filter("s % 3 <> 1").count() == 0 and intervals.without_overlaps(df, ["doc_id"], "all").count() == 60_000
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (20_000, 160_000):
+        df = spark.createDataFrame([(1, "Line 12 ends here.\n" * n)], "doc_id int, text string")
+        began = time.perf_counter()
+        assert T.lines_with_offsets(df).count() == n + 1 and T.spans_in_lines(df, r"[0-9]+").count() == n and T.windows_with_context(df, lines=True).count() == -(-n // 8)
+        took[n] = time.perf_counter() - began
+    assert took[160_000] < 8 * 4 * took[20_000]
+
+
+def test_suppression_in_a_row(spark):
+    df = spark.createDataFrame([(1, "a1@b2.ex 33 a@44.xx 5"), (2, None)], "doc_id int, text string")
+    assert [r.value for r in T.uncovered_spans(df, "[0-9]+", [r"\w+@[\w.]+"]).collect()] == ["33", "5"]
+
+
+def test_shared_folder(spark):
+    from spanloom import session
+    from spanloom.errors import ConfigurationError
+
+    class Conf:
+        def __init__(self, **kv):
+            self.kv = kv
+
+        def get(self, k, default=None):
+            return self.kv.get(k.replace(".", "_"), default)
+
+    fake = lambda **kv: type("S", (), {"conf": Conf(**kv)})()
+    assert session.shared_dir(fake(spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y" and session.shared_dir(fake(spark_master="local[4]")).startswith("file:")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ConfigurationError):
+            session.shared_dir(fake(spark_master=master))
+
+
 def test_packing_and_cost(spark):
     rows = spark.createDataFrame([("s", k, 10) for k in range(35)] + [("t", 0, 500)], "state string, k int, tokens int")
     got = decisions.packed(rows, ["state"], "tokens", 1000, 10, "k").groupBy("state", "request").count().collect()
@@ -144,7 +212,7 @@ def test_scan_handles_odd_rows(spark):
     df = spark.createDataFrame([("1", "Acme pays. " * 3000), ("2", ""), ("3", None), ("4", "Acme."), ("4", "Acme.")], "doc_id string, text string")
     rows = {r.doc_id: r for r in T.scan(df, schema).collect()}
     assert len(rows["1"].sentences) == 3000 and rows["2"].sentences == [] and "3" not in rows
-    assert all(segment.sentences("Acme.") == [(0, 5)] for _ in range(1)) and any("gazetteer:x" in c.sources for c in rows["4"].candidates)
+    assert all(segment.sentences("Acme.") == [(0, 5)] for _ in range(1)) and any("gazetteer:x" in c.sources for w in rows["4"].windows for c in w.candidates)
     assert T.scan(df.limit(0), schema).count() == 0
 
 

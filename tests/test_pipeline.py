@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.cli import main
 from spanloom.config import Limits, Options, Schema
 from spanloom.errors import AuthenticationError, BudgetExceededError, ConfigurationError, ExtractionError, RateLimitError, RequestTooLargeError
-from spanloom.operators.decisions import HashDecider, LookupDecider
+from spanloom.operators.decisions import FailingDecider, HashDecider, LookupDecider
 from spanloom.plans.pipeline import extract
 from spanloom.sources.readers import read_jsonl, read_text_files
 from spanloom.sources.service import Client, HttpDecider, Service, failure, retry_after
@@ -44,18 +44,121 @@ def test_end_to_end(spark):
     assert {x.document_id for x in html_pages(r.annotated()).collect()} == {"a", "b", "c", "d"}
 
 
-class Silent:
-    def decide(self, questions):
-        return HashDecider().decide(questions).filter("key not like 'c/c%'")
-
-
 def test_failures_are_isolated_or_raised(spark):
     small = Schema.from_dict({"entities": {"person": "a person"}})
-    r = extract(docs(spark), small, Silent(), Options(on_error="skip", ngrams=False))
+    silent = FailingDecider(HashDecider(), "key rlike '^c/[0-9]+:c/'")
+    r = extract(docs(spark), small, silent, Options(on_error="skip", ngrams=False))
     assert {(x.doc_id, x.stage) for x in r.errors.collect()} == {("c", "window")}
     assert r.extractions.filter("doc_id = 'c'").count() == 0
-    with pytest.raises(ExtractionError):
-        extract(docs(spark), small, Silent(), Options(ngrams=False))
+    with pytest.raises(ExtractionError) as e:
+        extract(docs(spark), small, silent, Options(ngrams=False))
+    assert e.value.result.extractions.count() == r.extractions.count() > 0 and e.value.errors[0]["doc_id"] == "c"
+
+
+def test_null_and_reused_ids(spark):
+    rows = [("a", "Bob left."), ("a", "Bob stayed."), (None, "Bob slept."), ("b", "Bob ran."), ("", "Bob sat."), ("a:b", None)]
+    r = extract(spark.createDataFrame(rows, "doc_id string, text string"), Schema.from_dict({"entities": {"person": "a person"}, "sentence_labels": {"all": "x"}}), LookupDecider(spark, entities={"Bob": "person"}, labels={"all": "Bob"}))
+    got = sorted(((x.doc_id, x.kind) for x in r.extractions.collect()), key=str)
+    assert got == sorted([(k, kind) for k, t in rows if t for kind in ("entity", "sentence")], key=str)
+    pages = r.annotated().collect()
+    assert sorted((str(x.document_id), x.text, len(x.extractions)) for x in pages) == sorted((str(k), t, 2 if t else 0) for k, t in rows)
+    assert sorted(str(x.doc_id) for x in r.metrics.collect()) == sorted(str(k) for k, _ in rows) and r.ungrounded().count() == 0
+
+
+class Noting:
+    """Keeps the questions that reach it."""
+
+    def __init__(self, inner):
+        self.inner, self.seen = inner, []
+
+    def decide(self, questions):
+        self.seen += questions.select("role", "state", "instructions", "subject", "key").collect()
+        return self.inner.decide(questions)
+
+
+def test_questions_say_what_they_are_about(spark):
+    schema = Schema.from_dict({"description": "a contract", "instructions": "be strict", "entities": {"person": {"description": "a person", "attributes": {"role": ["buyer", "seller"]}}}, "sentence_labels": {"end": "can be ended"}, "fields": {"who": {"description": "the buyer", "source": "person"}}})
+    noting = Noting(LookupDecider(spark, entities={"Bob": "person"}, fields={"who": "Bob"}))
+    text = "Bob saw Bob. Then he left."
+    r = extract(spark.createDataFrame([("a", text)], "doc_id string, text string"), schema, noting)
+    asked = {}
+    for q in noting.seen:
+        asked.setdefault(q.role, []).append((json.loads(q.state), json.loads(q.instructions), q))
+    state = asked["classify"][0][0]
+    assert state == {"document_type": "a contract", "guidelines": "be strict", "entity_types": {"person": state["entity_types"]["person"]}, "text": {"S1": "Bob saw Bob.", "S2": "Then he left."}}
+    bobs = sorted((told["occurrence"], told["context"]) for _, told, q in asked["classify"] if q.subject == "Bob")
+    assert bobs == [("the first of 2 occurrences in `text.S1`", "Bob saw Bob. Then he left."), ("the second of 2 occurrences in `text.S1`", "Bob saw Bob. Then he left.")]
+    assert all("`text.S1`" in told["question"] and told["span"] == "Bob" for _, told, _ in asked["attribute"]) and all("occurrence" in told and told["entity_type"] == "person" for _, told, _ in asked["verify"])
+    assert {told["question"][-11:-1] for _, told, _ in asked["label"]} == {"`text.S1`"[-10:], "`text.S2`"[-10:]} or all("`text.S" in told["question"] for _, told, _ in asked["label"])
+    assert asked["field"][0][0] == {"document_type": "a contract", "guidelines": "be strict", "text": text} and asked["field"][0][1]["definition"] == "the buyer"
+    m = r.metrics.first()
+    assert m.questions == len({q.key for q in noting.seen}) and m.input_tokens > 0 and m.candidates == sum(len(w.candidates) for w in r.scan.first().windows)
+    one = extract(spark.createDataFrame([("a", "Bob left.")], "doc_id string, text string"), schema, noting).scan.first().windows[0]
+    assert json.loads(one.state)["text"] == "Bob left." and one.candidates[0].ref == "`text`" and one.candidates[0].occurrence is None
+
+
+def test_a_failing_normaliser_gives_null(spark):
+    def number(text):
+        return {"length": len(text)} if text == "Bob" else 1 / 0
+
+    schema = Schema.from_dict({"entities": {"person": {"description": "a person", "normalize": number}, "org": {"description": "an org", "normalize": str.upper}}})
+    r = extract(spark.createDataFrame([("a", "Bob met Ann at Acme.")], "doc_id string, text string"), schema, LookupDecider(spark, entities={"Bob": "person", "Ann": "person", "Acme": "org"}))
+    assert {x.extraction_text: x.normalized for x in r.extractions.collect()} == {"Bob": '{"length": 3}', "Ann": None, "Acme": "ACME"}
+
+
+def test_tagged_words_become_candidates(spark):
+    schema = Schema.from_dict({"entities": {"thing": "a thing"}})
+    decider_ = LookupDecider(spark, entities={"red door": "thing"})
+    for mode in ("tags", "hybrid"):
+        r = extract(spark.createDataFrame([("a", "He saw a red door. It was shut.")], "doc_id string, text string"), schema, decider_, Options(span_source=mode))
+        assert [(x.extraction_text, "tagger" in x.sources) for x in r.extractions.collect()] == [("red door", True)] and r.metrics.first().questions > 7
+
+
+def test_values_and_batches(spark):
+    import asyncio
+
+    from spanloom import AnnotatedDocument, CharInterval, ExampleData, Extraction, Extractor, session
+
+    example = ExampleData("Bob left.", [Extraction("person", "Bob", CharInterval(0, 3), {"role": "buyer"})])
+    assert example.extractions[0].start == 0 and Extraction("x", "y").end == -1
+    e = Extractor([example], LookupDecider(spark, entities={"Bob": "person"}), spark=spark)
+    written = len(session._WRITTEN)
+    got = list(e.documents(["Bob left.", "Nobody.", {"text": "Bob, Bob.", "document_id": "k"}], at_once=2))
+    assert [len(d.by_class("person")) for d in got] == [1, 0, 2] and got[2].document_id == "k" and not got[2].ungrounded() and isinstance(got[0], AnnotatedDocument)
+    assert len(session._WRITTEN) == written  # what a batch wrote is gone
+    assert asyncio.run(e.aextract("Bob."))["extractions"][0]["extraction_text"] == "Bob"
+
+
+def test_lines_that_are_no_documents(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"text": "ok"}\n{"txt": 1}\n', encoding="utf-8")
+    with pytest.raises(Exception, match="bad.jsonl:2"):
+        read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+    schema = tmp_path / "s.json"
+    schema.write_text(json.dumps({"sentence_labels": {"x": "x"}}))
+    assert main(["extract", str(tmp_path / "bad.jsonl"), "--schema", str(schema), "--output", str(tmp_path / "o")]) == 2
+    assert main(["extract", str(tmp_path / "none.jsonl"), "--schema", str(schema), "--output", str(tmp_path / "o")]) == 2
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for f in "ab":
+        (tmp_path / "d" / f"{f}.jsonl").write_text("".join(json.dumps({"text": f"{f}{k}"}) + "\n" + "\n" * (k % 3 == 0) for k in range(300)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = {r.doc_id: r.text for r in read_jsonl(spark, str(tmp_path / "d")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {f"{f}.jsonl:{n}": json.loads(line)["text"] for f in "ab" for n, line in enumerate((tmp_path / "d" / f"{f}.jsonl").read_text().split("\n"), 1) if line}
+    assert rows == want
+
+
+def test_tooltips():
+    from spanloom.sources.writers import tooltip
+
+    x = {"c": "person", "p": 0.5, "a": {"role": "buyer", "x": None}, "v": {"verify": 0.9}, "n": "BOB", "r": True}
+    assert tooltip(x) == "person · 0.50 · role: buyer · verify 0.90 · = BOB · review"
+    assert len(tooltip(x | {"n": "y" * 500})) == 118 and tooltip({"c": "p", "p": None, "a": None, "v": None, "n": None, "r": False}) == "p"
 
 
 def test_jsonl_files_and_cli(spark, tmp_path):
@@ -188,4 +291,4 @@ def test_facade_budget_and_field_groups(spark, tmp_path):
     with pytest.raises(BudgetExceededError):
         extract(docs(spark), schema.__class__.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark), Options(max_cost_usd=0.0))
     write_html_files(extract(docs(spark), Schema.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark)).annotated(), str(tmp_path / "pages"))
-    assert len(list((tmp_path / "pages").iterdir())) == 4
+    assert sorted(f.name[:4] for f in (tmp_path / "pages").iterdir()) == ["0001", "0002", "0003", "0004"]
