@@ -43,6 +43,23 @@ def typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.typed_spans(docs_of(spark, sf_dir))
 
 
+STRONG = r"""WITH u AS (SELECT document_key AS doc_id, regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(?:https?://|www\.)[^\s\x1c-\x1f\x{85}\p{Z}<>"''()]*[^\s\x1c-\x1f\x{85}\p{Z}<>"''().,;:!?]') AS m,
+string_split_regex(text, '(?:^|[^\p{L}\p{N}_])(?:https?://|www\.)[^\s\x1c-\x1f\x{85}\p{Z}<>"''()]*[^\s\x1c-\x1f\x{85}\p{Z}<>"''().,;:!?]') AS g FROM annotated_docs WHERE text IS NOT NULL),
+q AS (SELECT document_key AS doc_id, regexp_extract_all(text, '["“«][^"”»\n]{2,80}["”»]') AS m, string_split_regex(text, '["“«][^"”»\n]{2,80}["”»]') AS g FROM annotated_docs WHERE text IS NOT NULL),
+a AS (SELECT 'url' AS kind, * FROM u UNION ALL SELECT 'quoted', * FROM q),
+e AS (SELECT kind, doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM a),
+p AS (SELECT kind, doc_id, m[i] AS v, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INT) AS s FROM e),
+t AS (SELECT kind, doc_id, s + CASE WHEN kind = 'quoted' OR NOT regexp_matches(v, '^(?:https?://|www\.)') THEN 1 ELSE 0 END AS s, CASE WHEN kind = 'quoted' THEN substr(v, 2, length(v) - 2) WHEN regexp_matches(v, '^(?:https?://|www\.)') THEN v ELSE substr(v, 2) END AS v FROM p),
+z AS (SELECT kind, doc_id, s + length(v) - length(regexp_replace(v, '^[\s\x1c-\x1f\x{85}\p{Z}]+', '')) AS s, regexp_replace(v, '^[\s\x1c-\x1f\x{85}\p{Z}]+|[\s\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS v FROM t)
+SELECT DISTINCT doc_id, kind, CAST(s AS INT) AS start_pos, CAST(s + length(v) AS INT) AS end_pos, v AS value FROM z WHERE v <> ''"""
+
+
+@query(sql=STRONG)
+def typed_strong_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed values that nothing suppresses and whose pattern SQL can say: links and quotations."""
+    return T.typed_spans(docs_of(spark, sf_dir), kinds=["url", "quoted"])
+
+
 @query(sql=r"SELECT document_key AS doc_id, length(text) AS n FROM annotated_docs WHERE regexp_matches(text, '[^\s\x1c-\x1f\x{85}\p{Z}]')")
 def documents_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with anything but blanks."""
@@ -298,8 +315,8 @@ def tournament_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of all registered parties for each project, in rounds of at most 255 options."""
     # the options of one task are one array; parties is a fixed list of about 1,150
     options = table(spark, sf_dir, "parties").agg(F.transform(F.array_sort(F.collect_list(F.struct("party_id", "legal_name"))), lambda x: F.struct(x["legal_name"].alias("key"), x["legal_name"].alias("value"))).alias("criteria"))
-    tasks = table(spark, sf_dir, "projects").select(F.col("project_id").cast("string").alias("task"), F.lit("").alias("state"), F.lit("which").alias("instructions"), F.col("project_id").cast("string").alias("subject"), F.lit("").alias("name"), F.lit(1).alias("one"))
-    tasks = tasks.join(F.broadcast(options.withColumn("one", F.lit(1))), "one").drop("one")
+    tasks = table(spark, sf_dir, "projects").select(F.col("project_id").cast("string").alias("task"), F.lit("").alias("state"), F.lit("which").alias("instructions"), F.col("project_id").cast("string").alias("subject"), F.lit("").alias("name"))
+    tasks = tasks.withColumn("criteria", options.scalar())
     won = decisions.tournament(HashDecider(), tasks)
     return won.select("task", "choice", F.round("p", 6).alias("p"))
 
