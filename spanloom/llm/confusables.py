@@ -74,14 +74,14 @@ def lookalike_rows(df: DataFrame, id_col: str, text_col: str, within: list[str]
 
 
 def lookalike_classes(df: DataFrame, id_col: str, text_col: str, within: list[str] | None = None) -> DataFrame:
-    """(id, class_id, n_links): every row whose text looks like a different text, the class of its look, and how many rows
-    have another spelling of it; see ``lookalike_rows``. In proportion to the rows, however large a class is."""
+    """(id, class_id, n_links): every row whose text looks like a different text, the class of its look (named by its
+    least id), and how many rows have another spelling of it; see ``lookalike_rows``. In proportion to the rows, however large a class is."""
     rows = cut(lookalike_rows(df, id_col, text_col, within))
     by = [c for c in rows.columns if c not in ("id", "exact")]
-    own = rows.groupBy(*by, "exact").agg(F.count("*").alias("n"))
-    links = own.groupBy(*by).agg(F.sum("n").alias("total")).join(own, by).withColumn("n_links", F.col("total") - F.col("n")).drop("n", "total")
+    own = rows.groupBy(*by, "exact").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    links = own.groupBy(*by).agg(F.sum("n").alias("total"), F.min("least").alias("class_id")).join(own, by).withColumn("n_links", F.col("total") - F.col("n")).drop("n", "least", "total")
     out = _salted(rows).join(_on_every_salt(links), [*by, "exact", "salt"])
-    return out.select("id", F.md5(F.concat_ws("/", F.hex("look"), *[F.col(c).cast("string") for c in by[1:]])).alias("class_id"), "n_links")
+    return out.select("id", "class_id", "n_links")
 
 
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, within: list[str] | None = None) -> DataFrame:

@@ -397,7 +397,10 @@ def lexicon_of(parties: DataFrame) -> Lexicon:
                     out.update(w[i : i + 3] for i in range(len(w) - 2))
             yield pd.DataFrame({"t": sorted(out)}, dtype=object)
 
-    triples = {r.t for r in persons.mapInPandas(cut_triples, "t string").distinct().collect()}
+    triples = persons.mapInPandas(cut_triples, "t string").distinct()
+    if not is_small(triples):
+        raise ValueError("too many letter triples of surnames for a lexicon")
+    triples = {r.t for r in triples.collect()}
     return Lexicon({plain(r.w) for r in given.collect()}, triples)
 
 

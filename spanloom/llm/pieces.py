@@ -39,8 +39,23 @@ def cut_places(text: str, lang: str | None, thai: frozenset[str] | None = None)
     return blocks, sentences, [m.end() for m in CLAUSE.finditer(text)], [m.end() for m in BLANK.finditer(text)]
 
 
+def _without_tiny(cores: list[tuple[int, int]], most: int, least: int) -> list[tuple[int, int]]:
+    """Cores under ``least`` characters put together with the shorter neighbour, where the two fit into one."""
+    out: list[tuple[int, int]] = []
+    for n, (a, b) in enumerate(cores):
+        after = cores[n + 1][1] - b if n + 1 < len(cores) else most
+        tiny = b - a < least or out and out[-1][1] - out[-1][0] < least
+        if out and tiny and b - out[-1][0] <= most and (out[-1][1] - out[-1][0] <= after or b + after - a > most):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def pieces(text: str, limit: int, overlap: int = 0, lang: str | None = None, thai: frozenset[str] | None = None) -> list[tuple[int, int]]:
-    """[(start, end)] of the pieces, none longer than ``limit``; each begins up to about ``overlap`` before the last end."""
+    """[(start, end)] of the pieces, none longer than ``limit``; each begins up to about ``overlap`` before the last end, and
+    behind the last beginning. Borders near the edge of a part are taken only where its middle half has none; what is tiny
+    then joins a neighbour."""
     if len(text) <= limit:
         return [(0, len(text))]
     overlap = max(0, min(overlap, limit // 2))
@@ -61,10 +76,11 @@ def pieces(text: str, limit: int, overlap: int = 0, lang: str | None = None, tha
         at = at or _near(clauses, a + quarter, b - quarter, middle) or _near(blanks, a + quarter, b - quarter, middle)
         at = at or _near(blanks, a, b, middle) or (a + b) // 2
         todo += [(at, b), (a, at)]
-    out = []
-    for n, (a, b) in enumerate(cores):
+    out: list[tuple[int, int]] = []
+    for n, (a, b) in enumerate(_without_tiny(cores, most, max(overlap, most // 4))):
         if n and overlap:
-            room = min(limit - (b - a), a)
+            # a piece never reaches back to where the one before begins
+            room = min(limit - (b - a), a - out[-1][0] - 1)
             low, high = max(0, a - min(room, overlap + overlap // 4)), a - overlap + overlap // 4 + 1
             wanted = a - min(overlap, room)
             at = None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from unicodedata import normalize
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.lookalike import skeleton
 from ..session import table
@@ -33,6 +34,10 @@ l AS (SELECT t, nfc_normalize(string_agg(coalesce(form, ch), '' ORDER BY i)) AS
 x AS (SELECT record_type, id, d, c, r.t, coalesce(look, '') AS look FROM r LEFT JOIN l ON l.t = r.t)"""
 
 ORACLE["p1_found"] = LOOKS + """ SELECT DISTINCT a.record_type, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM x a JOIN x b ON a.record_type = b.record_type AND a.look = b.look AND a.d = b.d AND a.c = b.c AND a.t <> b.t AND a.id < b.id"""
+ORACLE["p1_classes"] = LOOKS + """, m AS (SELECT record_type, d, c, look, min(id) AS class_id, count(*) AS total, count(DISTINCT t) AS spellings FROM x GROUP BY ALL),
+o AS (SELECT record_type, d, c, look, t, count(*) AS n FROM x GROUP BY ALL)
+SELECT record_type, id, class_id, total - n AS n_links FROM x JOIN m USING (record_type, d, c, look) JOIN o USING (record_type, d, c, look, t) WHERE spellings > 1"""
+ORACLE["p1_consistent_text"] = LOOKS + """ SELECT document_key, look AS consistent_text FROM annotated_docs LEFT JOIN x ON record_type = 'annotated_docs' AND id = document_key"""
 
 
 def query(f):
@@ -121,6 +126,19 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_spans(docs, lang_col="lang", with_text=True)
 
 
+@query
+def p6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold for the pieces of every document: within the limit, in order, no character lost."""
+    docs = pieces.with_limits(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "projects"))
+    order = Window.partitionBy("document_key").orderBy("piece")
+    rows = pieces.piece_spans(docs, lang_col="lang").join(docs.select("document_key", "chunk_chars"), "document_key")
+    rows = rows.withColumn("before", F.lag("end_pos", 1, 0).over(order)).withColumn("last", F.lag("start_pos", 1, -1).over(order))
+    whole = F.min((F.col("start_pos") <= F.col("before")) & (F.col("start_pos") > F.col("last")) & (F.col("end_pos") >= F.col("before")))
+    fits = F.min((F.col("end_pos") - F.col("start_pos") <= F.col("chunk_chars")) | F.col("chunk_chars").isNull())
+    return rows.groupBy("document_key").agg(F.max("end_pos").alias("chars"), whole.alias("whole"), fits.alias("fits"), (F.max("piece") > 0).alias("cut"))
+
+
+ORACLE["p6_cover"] = "SELECT document_key, length(text) AS chars, true AS whole, true AS fits, coalesce(length(text) > chunk_chars, false) AS cut FROM annotated_docs LEFT JOIN projects USING (project_id) WHERE text IS NOT NULL"
 ORACLE["p6_found"] = """SELECT document_key FROM annotated_docs JOIN projects USING (project_id) WHERE length(text) > chunk_chars"""
 
 
@@ -130,6 +148,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
 
 
+@query
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold for the containers of each size: every text is there, no place is taken twice, none is too full, and
+    only texts over the capacity are split."""
+    specs = table(spark, sf_dir, "pack_specs")
+    rows = packing.containers(table(spark, sf_dir, "documents"), specs).join(F.broadcast(specs.select("spec_id", "capacity_tokens")), "spec_id")  # one row for each stated size
+    full = rows.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("tokens"), F.max("capacity_tokens").alias("capacity"), F.count("*").alias("n"), F.max("position").alias("last"), F.count_distinct("position").alias("places"))
+    kept = full.groupBy("spec_id").agg(F.min((F.col("tokens") <= F.col("capacity")) & (F.col("n") == F.col("places")) & (F.col("n") == F.col("last") + 1)).alias("fits"))
+    texts = rows.groupBy("spec_id", "doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("capacity_tokens").alias("capacity"))
+    split = texts.groupBy("spec_id").agg(F.count("*").alias("documents"), F.min(F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))).alias("split_only_if_over"))
+    return split.join(kept, "spec_id")
+
+
+ORACLE["p7_places"] = "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, true AS split_only_if_over, true AS fits FROM pack_specs"
+
+
 @query
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each size are."""

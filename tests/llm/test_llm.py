@@ -245,7 +245,13 @@ def test_pieces():
         limit, overlap = rng.randint(20, 300), rng.randint(0, 60)
         spans = pieces.pieces(t, limit, overlap)
         assert all(b - a <= limit for a, b in spans) and spans[0][0] == 0 and spans[-1][1] == len(t)
-        assert all(y[0] <= x[1] for x, y in zip(spans, spans[1:])) and (len(spans) == 1) == (len(t) <= limit)
+        assert all(x[0] < y[0] <= x[1] for x, y in zip(spans, spans[1:])) and (len(spans) == 1) == (len(t) <= limit)
+
+
+def test_no_tiny_pieces_at_the_edges():
+    t = "TERMS OF SUPPLY\n\n" + "x" * 900 + ". " + "y" * 900 + ".\n\nEnd"
+    spans = pieces.pieces(t, 1500, 150)
+    assert len(spans) == 2 and min(b - a for a, b in spans) > 700
 
 
 def test_piece_spans(spark):
