@@ -110,8 +110,8 @@ def test_tagged_words_become_candidates(spark):
     schema = Schema.from_dict({"entities": {"thing": "a thing"}})
     decider_ = LookupDecider(spark, entities={"red door": "thing"})
     for mode in ("tags", "hybrid"):
-        r = extract(spark.createDataFrame([("a", "He saw a red door. It was shut.")], "doc_id string, text string"), schema, decider_, Options(span_source=mode))
-        assert [(x.extraction_text, "tagger" in x.sources) for x in r.extractions.collect()] == [("red door", True)] and r.metrics.first().questions > 7
+        r = extract(spark.createDataFrame([("a", "He saw a red door. The door was shut, the wall red.")], "doc_id string, text string"), schema, decider_, Options(span_source=mode))
+        assert [(x.extraction_text, "tagger" in x.sources) for x in r.extractions.collect()] == [("red door", True)] and r.metrics.first().questions > 7 and r.rejected.count() == 0 and r.scan.selectExpr("size(filter(flatten(windows.candidates), c -> array_contains(c.sources, 'tagger'))) as n").first().n == 3
 
 
 def test_values_and_batches(spark):
