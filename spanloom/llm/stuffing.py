@@ -29,7 +29,7 @@ FEATURES = (
     "near far markers hash_chars url_chars capitals numbers cells"
 ).split()
 #: Pages that the rules label and the trees learn from, about; taken by a hash of the id. Twice as many at most.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 30_000
 #: Weak labels: pages with more (less) than this share of spam units; pages in between stay unlabelled.
 SURE_SPAM, SURE_HAM = 0.6, 0.4
 TREES, DEPTH, LEAF = 40, 10, 2
