@@ -34,7 +34,7 @@ SAMPLE_ROWS = 30_000
 SURE_SPAM, SURE_HAM = 0.6, 0.4
 TREES, DEPTH, LEAF = 40, 10, 2
 #: Each tree sees as many spam pages as there are and so many times as many others, both drawn with replacement.
-OTHERS = 4
+OTHERS = 8
 #: Which weights the host's log odds may get; the one that fits the pages kept back from training best is taken.
 HOST_WEIGHTS = (0.25, 0.5, 1.0)
 #: Every so many-th labelled page is kept back for that choice.
