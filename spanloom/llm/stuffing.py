@@ -5,7 +5,7 @@ smoothed by the spam rate of the page's host (``source``).
 
 The weak labels come from rules that read the page line by line (``spam_share``: what share of it are links, tags, soup,
 stuffed sentences). The trees never see that share nor its parts: their features are counts over the whole page
-(repetition near and far, variety of words, marks, separators, links, tags, capitals). So the forest is free to disagree
+(repetition near and far, variety of words, marks, separators, links, tags, lists). So the forest is free to disagree
 with the rules, and settles the pages on which they are unsure.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from ..session import cut
 
 FEATURES = (
-    "log_words diversity top_word top_words repeated_pairs link_lines links hashes closed ends separators prices words_per_line distinct_lines short_words link_hosts "
-    "near far markers hash_chars url_chars capitals numbers cells"
+    "log_words diversity top_word top_words link_lines links hashes closed ends separators prices words_per_line distinct_lines short_words link_hosts "
+    "near far markers hash_chars url_chars cells"
 ).split()
 #: Pages that the rules label and the trees learn from, about; taken by a hash of the id. Twice as many at most.
 SAMPLE_ROWS = 30_000
@@ -131,6 +131,8 @@ def spam_share(text: str) -> float:
             close_block()
             size["stuffed"] += weight_of(line)
             continue
+        # a stuffed sentence holds a word of four letters three times, and so does its line
+        hot = max((n for w, n in Counter(words).items() if len(w) >= 4), default=0) >= 3
         for k, unit in enumerate(units):
             if not unit:
                 continue
@@ -138,7 +140,8 @@ def spam_share(text: str) -> float:
                 block.append(unit)
                 continue
             close_block()
-            size["stuffed" if _stuffed(unit, LETTERS.findall(unit.lower())) else "clean"] += weight_of(unit)
+            stuffed = (hot or not unit.isascii()) and _stuffed(unit, LETTERS.findall(unit.lower()) if hot else [])
+            size["stuffed" if stuffed else "clean"] += weight_of(unit)
     close_block()
     total = sum(size.values()) or 1
     return (size["link"] + size["tag"] + size["block"] + size["stuffed"]) / total
@@ -153,8 +156,6 @@ HASHTAG = re.compile(r"#\w+")
 LISTED = re.compile(r"(?m)^[ \t]*(?:[-•*–]|\(?\w{1,3}[.)])\s.*$")
 MARKS = re.compile(r"[.!?…。！？؟।]")
 DIVIDERS = re.compile(r"[,|;·•>/、，&+*]")
-CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{3}")
-NUMBERS = re.compile(r"[0-9]+")
 MONEY = re.compile(r"[$€£¥]\s?[0-9]")
 
 
@@ -184,11 +185,11 @@ def page_features(text: str) -> list[float]:
     hosts, urls = (HOST.findall(text), URL.findall(text)) if linked else ([], [])
     top = counts.most_common(8)
     return [
-        math.log1p(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max((k for w, k in top if len(w) >= 4), default=0) / m, sum(k for _, k in top) / m, 1 - len(set(zip(words, words[1:]))) / max(1, n - 1),
+        math.log1p(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max((k for w, k in top if len(w) >= 4), default=0) / m, sum(k for _, k in top) / m,
         sum(len(x) for x in lines if "http" in x or "www." in x) / chars if linked else 0.0, len(hosts) / m, text.count("#") / m, sum(len(x) for x in lines if CLOSED.search(x)) / chars, len(MARKS.findall(text)) / m, len(DIVIDERS.findall(text)) / m, len(MONEY.findall(text)) / m,
         m / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(k for w, k in counts.items() if len(w) <= 3) / m, len(set(hosts)) / max(1, len(hosts)),
         *_returns([w for w in words if len(w) >= 4], 8, 30),
-        sum(map(len, LISTED.findall(text))) / chars, sum(map(len, HASHTAG.findall(text))) / chars, sum(map(len, urls)) / chars, len(CAPITALS.findall(text)) / m, len(NUMBERS.findall(text)) / m, (text.count("|") + text.count("\t")) / m,
+        sum(map(len, LISTED.findall(text))) / chars, sum(map(len, HASHTAG.findall(text))) / chars, sum(map(len, urls)) / chars, (text.count("|") + text.count("\t")) / m,
     ]
 
 
