@@ -178,7 +178,7 @@ class Automaton:
                 runs[item] += _runs(self.items[item][1], words, d)
         out = []
         for item, found in runs.items():
-            for a, b, m in _passages(found, self.units[item]):
+            for a, b, m in _passages(found, self.units[item], len(self.items[item][1])):
                 n = round((b - a) * self.units[item])
                 out += [(i, a, b, n, round(m * self.units[item])) for i in self.items[item][0]]
         return out
@@ -224,9 +224,10 @@ def _runs(item: list[str], words: list[str], d: int) -> list[tuple[int, int, int
         score = matched = best = at_best = 0
 
 
-def _passages(runs: list[tuple[int, int, int, int, int]], unit: float) -> list[tuple[int, int, int]]:
-    """(start, end, matched): runs that are long enough, alone or with those they continue; overlapping ones are one."""
-    good = [(a, b, m) for a, b, m, least, _ in runs if (b - a) * unit >= least and m * unit >= MIN_MATCHED]
+def _passages(runs: list[tuple[int, int, int, int, int]], unit: float, size: int) -> list[tuple[int, int, int]]:
+    """(start, end, matched): runs that are long enough, alone or with those they continue, or hold the whole of a shorter
+    item word for word; overlapping ones are one."""
+    good = [(a, b, m) for a, b, m, least, _ in runs if (b - a) * unit >= least and m * unit >= MIN_MATCHED or m == size and size * unit >= MIN_MATCHED]
     chain: tuple[int, int, int, int] | None = None  # start, end, matched, diagonal
     for a, b, m, _, d in sorted(x for x in runs if x[2] * unit >= LINK):
         if chain and d != chain[3] and abs(d - chain[3]) <= SHIFT / unit and -SHIFT / unit <= a - chain[1] <= SHIFT / unit and b > chain[1]:
@@ -271,7 +272,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, start_pos, end_pos, words, matched): every passage of every item in every document.
 
     A passage has at least 17 words and 13 equal words, 19 words if it is only reached beyond a replaced word near its
-    border, 22 and 19 if words were left out or put in. Two characters of a script without blanks count as a word. Case,
+    border, 22 and 19 if words were left out or put in; an item of 13 to 16 words counts whole. Two characters of a script without blanks count as a word. Case,
     punctuation, blanks and look-alike characters don't count. Null ids or texts, empty texts and empty tables give no
     rows; a repeated row gives its rows again; other columns are ignored.
 

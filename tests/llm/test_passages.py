@@ -71,3 +71,9 @@ def test_removal_leaves_no_second_copy_and_shuffles_nothing(spark):
     assert rows[1].text.startswith("Begin. , and then ! End. filler") and rows[2].text is None and not rows[2].dropped and rows[3].text == "" and len(rows) == 3
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert leakage.leaked_spans(df, items).filter("item_id = 1").count() == 2
+
+
+def test_short_items_count_whole():
+    item = [f"w{k}" for k in range(14)]
+    a = leakage.Automaton([(1, item), (2, [f"v{k}" for k in range(12)])])
+    assert [x[:3] for x in a.passages(["x", *item, "y"])] == [(1, 1, 15)] and a.passages(["x", *item[:13], "y", *(f"v{k}" for k in range(12))]) == []
