@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..config import Options, Schema
 from ..functions import segment, spans
-from ..schemas import SCAN
+from ..schemas import CANDIDATES, SCAN
 
 LINE_FEED = segment.regex.compile("\n")
 #: A regular expression class for every character that counts as a blank.
@@ -66,27 +68,47 @@ def _each(df: DataFrame, id_col: str, text_col: str, rows_of, columns: str) -> D
     return rows.mapInPandas(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataFrame:
-    """One Arrow pass over (doc_id, text): sentences, windows with their state, their sentences and ranked candidates.
+#: What a pass over the texts gives on at once: the rows of about so many characters of text, or so many small rows. A
+#: text has hundreds of candidates, so the rows of all texts that Spark sends at once (10,000) don't fit a worker's memory.
+PORTION_CHARS, PORTION_ROWS = 1 << 16, 1 << 14
 
-    Candidates with the same span are one, with all their sources and the best priority; each sentence keeps the best
-    by (priority, start, end), three times as many where it holds CJK characters. A failing custom generator is an
-    error row, not a failed document.
-    """
+
+def _portions(rows: Iterable[tuple[int, dict]], most: int) -> Iterator[list[dict]]:
+    """Rows, each with its size, in lists of ``most`` in all, or of one row that is larger."""
+    out, size = [], 0
+    for n, row in rows:
+        if out and size + n > most:
+            yield out
+            out, size = [], 0
+        out.append(row)
+        size += n
+    if out:
+        yield out
+
+
+def _in_portions(docs: DataFrame, rows_of: Callable[[str, str], Iterable[tuple[int, dict]]], most: int, columns: str) -> DataFrame:
+    """The rows that a function of (id, text) gives, each with its size, for each text that is not null. One Arrow pass; no
+    more than a portion of the rows is in memory at once."""
+    kind = to_arrow_schema(StructType.fromDDL(columns))
+
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sized = (row for b in batches for key, text in zip(*b.columns) for row in rows_of(key.as_py(), text.as_py()))
+        for rows in _portions(sized, most):
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInArrow(portions, columns)
+
+
+def _candidates_of(schema: Schema, options: Options) -> Callable[[str, list, list], tuple[dict[int, list[tuple]], list[tuple[str, str]]]]:
+    """A function of a text, its sentences and their tokens: ({sentence: its candidates}, [(generator, error)]). There are
+    none where nothing in the schema takes them."""
     stop = spans.STOPWORDS[options.stopwords] if isinstance(options.stopwords, str) else frozenset(w.lower() for w in options.stopwords)
     classes = [(e.id, list(e.patterns), [*e.terms, *e.examples]) for e in schema.entities]
     wanted = bool(schema.entities) or any("any" in f.source for f in schema.fields)
 
-    about: dict[str, object] = {}
-    if schema.description:
-        about["document_type"] = schema.description
-    if schema.instructions:
-        about["guidelines"] = schema.instructions
-    if schema.entities:
-        about["entity_types"] = {e.id: e.definition() for e in schema.entities}
-    tagging = options.span_source in ("tags", "hybrid")
-
     def candidates_of(text: str, sents: list, toks: list) -> tuple[dict[int, list[tuple]], list[tuple[str, str]]]:
+        if not wanted:
+            return {}, []
         got, errors = spans.candidates(text, sents, toks, classes, stop, options.max_ngram, options.span_source != "tags", options.ngrams, options.candidate_generators)
         merged: dict[tuple[int, int, int], list] = {}
         for n, s, e, source, p in got:
@@ -101,29 +123,67 @@ def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataF
             by[n] = sorted((s, e, sources, p) for p, s, e, sources in sorted(rows)[:most])
         return by, errors
 
-    def page(key: str, text: str) -> tuple:
+    return candidates_of
+
+
+def _refs(first: int, last: int) -> dict[int, str]:
+    """How the sentences of a window are called in its state."""
+    return {n: "`text`" if first == last else f"`text.S{n - first + 1}`" for n in range(first, last + 1)}
+
+
+def scan(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataFrame:
+    """One Arrow pass over (doc_id, text): sentences, windows with their state, their sentences and ranked candidates.
+
+    Candidates with the same span are one, with all their sources and the best priority; each sentence keeps the best
+    by (priority, start, end), three times as many where it holds CJK characters. A failing custom generator is an
+    error row, not a failed document.
+    """
+    candidates_of = _candidates_of(schema, options)
+    about: dict[str, object] = {}
+    if schema.description:
+        about["document_type"] = schema.description
+    if schema.instructions:
+        about["guidelines"] = schema.instructions
+    if schema.entities:
+        about["entity_types"] = {e.id: e.definition() for e in schema.entities}
+    tagging = options.span_source in ("tags", "hybrid")
+
+    def page(key: str, text: str) -> Iterator[tuple[int, dict]]:
         sents = segment.sentences(text, options.max_sentence_chars)
-        toks = segment.tokens_of(segment.tokens(text), sents) if wanted or tagging else [[] for _ in sents]
-        cands, errors = candidates_of(text, sents, toks) if wanted else ({}, [])
+        toks = segment.tokens_of(segment.tokens(text), sents)
+        cands, errors = candidates_of(text, sents, toks)
         wins = []
         for w, (first, last) in enumerate(segment.windows(sents, options.window_chars, options.window_sentences)):
             s, e = sents[first][0], sents[last][1]
             own = {f"S{k - first + 1}": text[a:b] for k, (a, b) in enumerate(sents[first : last + 1], first)}
             before, after = segment.context_before(text, s, options.context_chars), segment.context_after(text, e, options.context_chars)
             state = about | ({"preceding_text": before} if before else {}) | {"text": text[s:e] if first == last else own} | ({"following_text": after} if after else {})
-            refs = {n: "`text`" if first == last else f"`text.S{n - first + 1}`" for n in range(first, last + 1)}
+            refs = _refs(first, last)
             wins.append({
                 "window": w, "first": first, "last": last, "s": s, "e": e, "state": json.dumps(state, ensure_ascii=False),
                 "sentences": [{"sentence": n, "s": sents[n][0], "e": sents[n][1], "text": text[sents[n][0] : sents[n][1]], "ref": refs[n], "tokens": [{"s": a, "e": b} for a, b in toks[n]] if tagging else []} for n in refs],
                 "candidates": [candidate(text, n, refs[n], sents[n], *c) for n in refs for c in cands.get(n, ())],
             })
-        return key, text, [{"s": a, "e": b} for a, b in sents], wins, [{"stage": "candidates", "where": f"generator:{g}", "error": e} for g, e in errors]
+        found = {"sentences": [{"s": a, "e": b} for a, b in sents], "windows": wins, "errors": [{"stage": "candidates", "where": f"generator:{g}", "error": e} for g, e in errors]}
+        yield len(text), {"doc_id": key, "text": text} | found
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([page(key, text) for key, text in zip(b.doc_id, b.text)], columns=["doc_id", "text", "sentences", "windows", "errors"])
+    return _in_portions(docs, page, PORTION_CHARS, SCAN)
+
+
+def candidate_spans(docs: DataFrame, schema: Schema, options: Options = Options()) -> DataFrame:
+    """(doc_id, window and a candidate's columns) of (doc_id, text): the candidates of ``scan``, a row each, in one pass
+    that makes no states and puts no document's candidates together."""
+    candidates_of = _candidates_of(schema, options)
+
+    def rows(key: str, text: str) -> Iterator[tuple[int, dict]]:
+        sents = segment.sentences(text, options.max_sentence_chars)
+        cands, _ = candidates_of(text, sents, segment.tokens_of(segment.tokens(text), sents))
+        for w, (first, last) in enumerate(segment.windows(sents, options.window_chars, options.window_sentences)):
+            for n, ref in _refs(first, last).items():
+                for c in cands.get(n, ()):
+                    yield 1, {"doc_id": key, "window": w} | candidate(text, n, ref, sents[n], *c)
 
-    return docs.select("doc_id", "text").filter("text is not null").mapInPandas(pages, SCAN)
+    return _in_portions(docs, rows, PORTION_ROWS, CANDIDATES)
 
 
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()

@@ -257,7 +257,7 @@ def windows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidate spans of every sentence, merged, ranked and capped."""
     schema = Schema.from_dict({"entities": {"town": {"description": "a town", "terms": ["Fairholt", "Kestrel Bay", "Novaluz"]}, "permit": {"description": "a permit", "patterns": [r"AGR-\d{4}-\d+"]}}})
-    return T.candidate_rows(T.scan(T.documents(docs_of(spark, sf_dir), "doc_id"), schema)).drop("state")
+    return T.candidate_spans(T.documents(docs_of(spark, sf_dir), "doc_id"), schema)
 
 
 PERMIT = r"AGR-\d{4}-\d+"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 SPAN = "struct<s:int,e:int>"
 CANDIDATE = "struct<sentence:int,s:int,e:int,text:string,sources:array<string>,priority:int,ref:string,occurrence:string,context:string>"
+CANDIDATES = f"doc_id string, window int, {CANDIDATE[7:-1]}"
 DISTRIBUTION = "array<struct<k:string,p:double>>"
 CRITERIA = "array<struct<key:string,value:string>>"
 

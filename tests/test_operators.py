@@ -216,6 +216,49 @@ def test_scan_handles_odd_rows(spark):
     assert T.scan(df.limit(0), schema).count() == 0
 
 
+def test_scan_gives_its_rows_on_in_portions(spark):
+    import pyarrow as pa
+
+    from spanloom.config import Schema
+
+    class Docs:
+        """Runs a map over one batch of all texts, as a worker does."""
+
+        sizes: list
+
+        def select(self, *_):
+            return self
+
+        filter = select
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            self.sizes = [len(x) for x in f(iter([batch]))]
+
+        def mapInPandas(self, f, _):  # noqa: N802
+            self.sizes = [len(x) for x in f(iter([batch.to_pandas()]))]
+
+    schema = Schema.from_dict({"entities": {"x": {"description": "x", "terms": ["Acme"]}}})
+    text = "Acme Holdings of Kestrel Bay pays 40 dollars on May 3, 2024. " * 20
+    batch = pa.RecordBatch.from_pylist([{"doc_id": str(k), "text": text} for k in range(300)])
+    docs = Docs()
+    T.scan(docs, schema)
+    assert sum(docs.sizes) == 300 and max(docs.sizes) <= T.PORTION_CHARS // len(text)
+    T.candidate_spans(docs, schema)
+    assert len(docs.sizes) > 1 and max(docs.sizes) <= T.PORTION_ROWS
+
+
+def test_candidate_spans_are_those_of_the_scan(spark):
+    from spanloom.config import Schema
+
+    schema = Schema.from_dict({"entities": {"x": {"description": "x", "terms": ["Acme"]}}})
+    df = spark.createDataFrame([("1", "Acme pays Acme. " * 300), ("2", ""), ("3", None), (None, "Acme, Inc. of Rio pays $5 million."), ("4", "会社は東京にある。"), ("4", "Acme.")], "doc_id string, text string")
+    nested, flat = T.candidate_rows(T.scan(df, schema)).drop("state"), T.candidate_spans(df, schema)
+    assert flat.schema == nested.schema and flat.count() > 300
+    assert flat.exceptAll(nested).isEmpty() and nested.exceptAll(flat).isEmpty()
+    fields = Schema.from_dict({"fields": {"total": {"description": "the total", "source": ["money"]}}})
+    assert T.candidate_spans(df, fields).isEmpty() and T.candidate_rows(T.scan(df, fields)).isEmpty()
+
+
 def test_cut_and_clean_up(spark):
     from spanloom import session
 
