@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.cli import main
 from spanloom.config import Limits, Options, Schema
 from spanloom.errors import AuthenticationError, BudgetExceededError, ConfigurationError, ExtractionError, RateLimitError, RequestTooLargeError
+from spanloom.operators import decisions
 from spanloom.operators.decisions import FailingDecider, HashDecider, LookupDecider
 from spanloom.plans.pipeline import extract
 from spanloom.sources.readers import read_jsonl, read_text_files
@@ -292,3 +293,27 @@ def test_facade_budget_and_field_groups(spark, tmp_path):
         extract(docs(spark), schema.__class__.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark), Options(max_cost_usd=0.0))
     write_html_files(extract(docs(spark), Schema.from_dict({"sentence_labels": {"end": "x"}}), LookupDecider(spark)).annotated(), str(tmp_path / "pages"))
     assert sorted(f.name[:4] for f in (tmp_path / "pages").iterdir()) == ["0001", "0002", "0003", "0004"]
+
+
+def test_answers_in_the_own_row_are_those_of_a_join(spark):
+    class Joined(HashDecider):
+        """The same answers as a table of their own."""
+
+        def decide(self, questions):
+            return super().decide(questions)
+
+    schema = Schema.from_dict({
+        "entities": {"party": "a person or organisation", "amount": {"description": "money", "attributes": {"due": "bool", "role": ["price", "fee"]}}},
+        "sentence_labels": {"duty": "somebody must do something"}, "fields": {"total": {"description": "the total", "source": ["money"]}}, "min_confidence": 0.3,
+    })
+    text = "Acme, Inc. of Rio pays Borealis $5 million. Borealis owes Acme 40 dollars on May 3, 2024. Acme pays Acme. "
+    df = spark.createDataFrame([("1", text * 3), ("2", ""), ("3", None), (None, text), ("1", "Zenith pays €9 on May 4.")], "doc_id string, text string")
+    for options in (Options(), Options(field_state_chars=100, limits=Limits(max_options=3))):
+        got, want = (extract(df, schema, d, options) for d in (HashDecider(), Joined()))
+        for name in ("extractions", "rejected", "errors", "metrics"):
+            a, b = ([sorted(map(str, getattr(x, name).select(F.to_json(F.struct(*[c for c in getattr(x, name).columns if c != "row_key"]))).collect()))] for x in (got, want))
+            assert a == b, name
+        assert not got.extractions.isEmpty()
+    q = spark.createDataFrame([("k", "s", "choice", "i", [("a", "b")], "classify", "x", "")], "key string, state string, type string, instructions string, criteria array<struct<key:string,value:string>>, role string, subject string, name string")
+    plans = [decisions._answered(d, q)._jdf.queryExecution().executedPlan().toString() for d in (HashDecider(), Joined())]
+    assert ["Join" in p for p in plans] == [False, True]
